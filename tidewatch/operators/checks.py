@@ -162,23 +162,25 @@ def findings(checked: DataFrame, source: str, node: str) -> DataFrame:
     """One row per (batch_file, failed check): reason count, failed rows, total rows, severity,
     node, the three smallest distinct reasons, and the problem text.
 
-    One aggregation by (batch, check, reason) feeds both branches. The example branch orders by
-    the counts as well (reasons are already distinct) so that both branches read the same columns
-    and share that exchange; it is cut to three rows per group before its own shuffle.
+    One aggregation by (batch, check, reason) feeds both branches and is computed once: clean rows
+    count under an empty check that only an aggregate value filters out, and the example branch
+    orders by the counts as well (reasons are already distinct), so both branches read the same
+    exchange. Examples are cut to three rows per group before their own shuffle.
     """
     names = F.transform("reasons", lambda r: r["check"])
     parts = F.transform("reasons", lambda r, i: F.struct(
         r["check"].alias("check"), r["reason"].alias("reason"),
         (F.array_position(names, r["check"]) == i + 1).cast("long").alias("row_of_check"),
         (i == 0).cast("long").alias("row_of_batch")))
+    blank = F.lit("")
     counted = checked.select("batch_file", F.explode_outer(parts).alias("r")).groupBy(
-        "batch_file", F.col("r.check").alias("check_name"), F.col("r.reason").alias("reason")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("r.row_of_check").alias("rows"),
+        "batch_file", F.coalesce("r.check", blank).alias("check_name"), F.coalesce("r.reason", blank).alias("reason")).agg(
+        F.count("r.check").alias("n"), F.sum(F.coalesce("r.row_of_check", F.lit(0))).alias("rows"),
         F.sum(F.coalesce("r.row_of_batch", F.lit(1))).alias("starts"))
     per_check = counted.groupBy("batch_file", "check_name").agg(
         F.sum("n").alias("failure_count"), F.sum("rows").alias("failed_rows"), F.sum("starts").alias("starts"))
     per_check = per_check.withColumn("total_rows", F.sum("starts").over(Window.partitionBy("batch_file"))).where(
-        F.col("check_name").isNotNull())
+        F.col("failure_count") > 0)
     smallest = Window.partitionBy("batch_file", "check_name").orderBy("reason", "n", "rows", "starts")
     examples = counted.withColumn("k", F.row_number().over(smallest)).where(F.col("k") <= 3).groupBy(
         "batch_file", "check_name").agg(F.array_join(F.array_sort(F.collect_list("reason")), "; ").alias("examples"))

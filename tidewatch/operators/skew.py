@@ -65,12 +65,17 @@ def attach_group(
     return joined.drop(_SALT, *[f"__r_{n}" for n in names])
 
 
+def _position(order: Sequence[str]) -> Column:
+    """One number stays a plain column, which hash aggregation can minimise in place."""
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
 def mark_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
     """Boolean column: the row is not the first one with its key. ``order`` must be unique per row.
 
     NULL key parts count as equal to each other.
     """
-    pos = F.struct(*order)
+    pos = _position(order)
     out = attach_group(
         df, keys, order,
         {"first": F.min(pos), "n": F.count(F.lit(1))},

@@ -9,15 +9,16 @@ from tidewatch.functions.masking import mask_table
 from tidewatch.functions.typing import coerce
 from tidewatch.operators import batches, checks
 from tidewatch.operators.contracts import CONTRACTS
-from tidewatch.plans.feeds import feed, feed_sql, order_of, policy_ends, read_table
+from tidewatch.plans.feeds import feed, feed_sql, policy_ends, read_table
 from tidewatch.plans.registry import query
 
-BAD_SQL_TYPE = {"double": "DOUBLE", "timestamp": "TIMESTAMP", "date": "DATE"}
+POS = ["pos"]
+SQL_TYPES = {"double": "DOUBLE", "timestamp": "TIMESTAMP", "date": "DATE"}
 
 
 def evaluated(spark: SparkSession, sf_dir: str, source: str, only=checks.ALL_CHECKS) -> DataFrame:
     return checks.evaluate(
-        feed(spark, sf_dir, source), CONTRACTS[source], order_of(source), only=only,
+        feed(spark, sf_dir, source), CONTRACTS[source], POS, only=only,
         policy_ends=policy_ends(spark, sf_dir) if source == "claims" else None,
         known_claims=feed(spark, sf_dir, "claims") if source == "garage_bills" else None)
 
@@ -39,7 +40,7 @@ def typed_sql(source: str) -> str:
             return f"cast(trunc(try_cast({text} AS DOUBLE)) AS INTEGER)"
         if f.type == "boolean":
             return f"lower({text}) IN ('true', '1')"
-        return f"try_cast({text} AS {BAD_SQL_TYPE[f.type]})" if f.type in BAD_SQL_TYPE else text
+        return f"try_cast({text} AS {SQL_TYPES[f.type]})" if f.type in SQL_TYPES else text
     cols = ", ".join(f"{typed(f)} AS t_{f.name}" for f in CONTRACTS[source].fields)
     return f"SELECT *, {cols} FROM ({feed_sql(source)}) AS raw"
 
@@ -73,7 +74,6 @@ POLICY_T = f"policy_t AS ({typed_sql('policy')})"
 CLAIMS_T = f"claims_t AS ({typed_sql('claims')})"
 BILLS_T = f"garage_bills_t AS ({typed_sql('garage_bills')})"
 KYC_T = f"customer_kyc_t AS ({typed_sql('customer_kyc')})"
-ORDER = "p1, p2, p3, p4, p5, p6"
 
 
 @query("type_coerce", sql=f"""
@@ -179,13 +179,13 @@ def check_reference(spark, sf_dir):
 
 
 DUP_CLAIMS = f"""SELECT *, row_number() OVER (PARTITION BY batch_file, t_vehicle_id, t_accident_date, t_claim_type,
-    t_claim_amount ORDER BY {ORDER}) AS rn FROM claims_t"""
+    t_claim_amount ORDER BY pos) AS rn FROM claims_t"""
 
 
 @query("check_dup_batch", sql=f"""
 WITH {TELEMATICS_T}, {CLAIMS_T}
 SELECT batch_file, 'device_id' AS column_name, 'duplicate record for ' || t_device_id AS reason FROM (
-    SELECT *, row_number() OVER (PARTITION BY batch_file, t_device_id, t_timestamp ORDER BY p1) AS rn FROM telematics_t)
+    SELECT *, row_number() OVER (PARTITION BY batch_file, t_device_id, t_timestamp ORDER BY pos) AS rn FROM telematics_t)
 WHERE rn > 1
 UNION ALL
 SELECT batch_file, 'vehicle_id', 'duplicate record for ' || t_vehicle_id FROM ({DUP_CLAIMS}) WHERE rn > 1""")
@@ -195,7 +195,7 @@ def check_dup_batch(spark, sf_dir):
 
 @query("check_dup_owner", sql=f"""
 WITH {KYC_T}, owners AS (
-    SELECT *, first_value(t_customer_id) OVER (PARTITION BY t_pan ORDER BY p1) AS owner FROM customer_kyc_t)
+    SELECT *, first_value(t_customer_id) OVER (PARTITION BY t_pan ORDER BY pos) AS owner FROM customer_kyc_t)
 SELECT batch_file, 'pan' AS column_name, 'PAN already registered to ' || owner AS reason
 FROM owners WHERE owner <> t_customer_id""")
 def check_dup_owner(spark, sf_dir):
@@ -220,7 +220,7 @@ claims_split AS (
   SELECT *, CASE {' '.join(f"WHEN r{i} IS NOT NULL THEN '{chk}'" for i, (chk, _, _) in enumerate(_IN_ORDER))} END
          AS check_name, nullif(concat_ws('; ', r0, r1, r2, r3, r4), '') AS reason FROM claims_checked),
 claims_reasons AS (
-  {' UNION ALL '.join(f"SELECT batch_file, claim_id, {ORDER}, {i} AS reason_no, '{chk}' AS check_name, r{i} AS reason "
+  {' UNION ALL '.join(f"SELECT batch_file, claim_id, pos, {i} AS reason_no, '{chk}' AS check_name, r{i} AS reason "
                       f"FROM claims_checked WHERE r{i} IS NOT NULL" for i, (chk, _, _) in enumerate(_IN_ORDER))})"""
 
 
@@ -260,10 +260,10 @@ def findings_agg(spark, sf_dir):
 @query("finding_samples", sql=f"""
 WITH {CLAIMS_CHECKED}
 SELECT batch_file, check_name, sample_no, claim_id, reason FROM (
-  SELECT *, row_number() OVER (PARTITION BY batch_file, check_name ORDER BY {ORDER}, reason_no) AS sample_no FROM claims_reasons)
+  SELECT *, row_number() OVER (PARTITION BY batch_file, check_name ORDER BY pos, reason_no) AS sample_no FROM claims_reasons)
 WHERE sample_no <= 3""")
 def finding_samples(spark, sf_dir):
-    out = checks.samples(evaluated(spark, sf_dir, "claims"), order_of("claims"))
+    out = checks.samples(evaluated(spark, sf_dir, "claims"), POS)
     return out.select("batch_file", "check_name", F.col("sample_no").cast("long").alias("sample_no"), "claim_id", "reason")
 
 
@@ -290,7 +290,7 @@ def quarantine(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
 
 @query("quarantine_write", sql=f"""
 WITH {KYC_T}, owners AS (
-    SELECT *, first_value(t_customer_id) OVER (PARTITION BY t_pan ORDER BY p1) AS owner FROM customer_kyc_t),
+    SELECT *, first_value(t_customer_id) OVER (PARTITION BY t_pan ORDER BY pos) AS owner FROM customer_kyc_t),
 r AS (SELECT *, CASE WHEN NOT regexp_matches(t_pan, '^[A-Z]{{5}}[0-9]{{4}}[A-Z]$')
                      THEN 'pan=' || substr(t_pan, 1, 4) || '... wrong format' END AS r0,
              CASE WHEN owner <> t_customer_id THEN 'PAN already registered to ' || owner END AS r1 FROM owners)

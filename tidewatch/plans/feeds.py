@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.session import spread
+
 POLICY_TERM_DAYS = 1825
 
 
@@ -19,60 +21,57 @@ POLICY_TERM_DAYS = 1825
 class Feed:
     table: str
     batch: str
-    order: dict[str, str]
+    pos: str | None              # arrival position, a unique number; None = place in the stored table
     columns: dict[str, str]
 
-    def select_list(self) -> list[str]:
-        pairs = {"batch_file": self.batch, **self.order, **self.columns}
+    def select_list(self, pos: str) -> list[str]:
+        pairs = {"batch_file": self.batch, "pos": self.pos or pos, **self.columns}
         return [f"{expr} AS {name}" for name, expr in pairs.items()]
 
 
 def _day(column: str) -> str:
-    return f"substr(cast({column} AS string), 1, 10)"
+    return f"cast(cast({column} AS date) AS string)"
 
 
 def _month(column: str) -> str:
-    return f"substr(cast({column} AS string), 1, 7)"
-
+    return f"substr(cast(cast({column} AS date) AS string), 1, 7)"
 
-def _money(expr: str) -> str:
-    return f"cast(cast({expr} AS decimal(18,2)) AS string)"
 
+def _text(expr: str) -> str:
+    return f"cast({expr} AS string)"
 
-_LINE = {"p1": "l_orderkey", "p2": "l_linenumber", "p3": "l_partkey", "p4": "l_suppkey",
-         "p5": "l_extendedprice", "p6": "l_shipdate"}
 
 FEEDS = {
-    "telematics": Feed("events", f"concat('telematics_', {_day('ts')})", {"p1": "event_id"}, {
+    "telematics": Feed("events", f"concat('telematics_', {_day('ts')})", "event_id", {
         "device_id": "concat('DEV-', cast(user_id AS string))",
         "vehicle_id": "CASE WHEN props = '{\"k\": 7}' THEN '' ELSE concat('VEH-', cast(user_id AS string)) END",
         "policy_id": "concat('POL-', cast(user_id AS string))",
         "timestamp": "cast(date_trunc('hour', ts) AS string)",
-        "speed_kmph": f"CASE WHEN props = '{{\"k\": 13}}' THEN 'n/a' ELSE {_money('value')} END",
+        "speed_kmph": f"CASE WHEN props = '{{\"k\": 13}}' THEN 'n/a' ELSE {_text('value')} END",
         "harsh_brake": "CASE WHEN event_type = 'error' THEN 'True' ELSE 'no' END",
         "harsh_accel": "CASE WHEN event_type = 'purchase' THEN '1' ELSE '0' END",
         "lat": "cast(6 + user_id % 33 AS string)",
         "lon": "cast(68 + user_id % 30 AS string)",
         "odometer_km": "cast(event_id AS string)",
     }),
-    "policy": Feed("orders", f"concat('policy_', {_month('o_orderdate')})", {"p1": "o_orderkey"}, {
+    "policy": Feed("orders", f"concat('policy_', {_month('o_orderdate')})", "o_orderkey", {
         "policy_id": "concat('POL-', cast(o_orderkey AS string))",
         "customer_id": "concat('CUS-', cast(o_custkey AS string))",
         "vehicle_id": "concat('VEH-', cast(o_custkey AS string))",
         "reg_no": "concat('KA-', cast(o_orderkey AS string))",
         "make": "substr(o_orderpriority, 3, 20)",
         "model": "concat('M', o_orderstatus)",
-        "year": "concat(substr(cast(o_orderdate AS string), 1, 4), '.7')",
+        "year": "concat(substr(cast(cast(o_orderdate AS date) AS string), 1, 4), '.7')",
         "cover_type": "CASE o_orderpriority WHEN '1-URGENT' THEN 'Comprehensive' WHEN '2-HIGH' THEN 'Third Party' "
                       "WHEN '4-NOT SPECIFIED' THEN 'Unspecified' ELSE 'Own Damage' END",
-        "sum_insured": _money("o_totalprice"),
-        "premium": "cast(cast(o_totalprice AS decimal(18,2)) - 2000.00 AS string)",
+        "sum_insured": _text("o_totalprice"),
+        "premium": _text("o_totalprice - 2000"),
         "start_date": _day("o_orderdate"),
         "end_date": "cast(cast(o_orderdate AS date) + CASE WHEN o_orderpriority = '1-URGENT' AND o_totalprice > 450000 "
                     f"THEN -1 ELSE {POLICY_TERM_DAYS} END AS string)",
         "change_type": "CASE o_orderstatus WHEN 'F' THEN 'NEW' WHEN 'O' THEN 'RENEWAL' ELSE 'ENDORSEMENT' END",
     }),
-    "claims": Feed("lineitem", f"concat('claims_', {_month('l_shipdate')})", _LINE, {
+    "claims": Feed("lineitem", f"concat('claims_', {_month('l_shipdate')})", None, {
         "claim_id": "concat('CLM-', cast(l_orderkey AS string), '-', cast(l_linenumber AS string))",
         "policy_id": "concat('POL-', cast(l_orderkey AS string))",
         "vehicle_id": "concat('VEH-', cast(l_suppkey AS string))",
@@ -82,25 +81,25 @@ FEEDS = {
         "claim_type": "CASE WHEN l_returnflag = 'A' THEN 'Collision' WHEN l_returnflag = 'R' THEN 'Theft' "
                       "WHEN l_discount = 0.05 THEN 'Hail' ELSE 'Flood' END",
         "claim_amount": "CASE WHEN l_tax = 0.08 AND l_discount = 0.1 THEN '-1.00' ELSE "
-                        + _money("l_quantity * 1000") + " END",
+                        + _text("l_quantity * 1000") + " END",
         "status": "l_linestatus",
         "garage_id": "CASE WHEN l_tax = 0.01 AND l_discount = 0.01 THEN '' "
                      "ELSE concat('GAR-', cast(l_suppkey AS string)) END",
     }),
-    "garage_bills": Feed("lineitem", f"concat('garage_bills_', {_month('l_shipdate')})", _LINE, {
+    "garage_bills": Feed("lineitem", f"concat('garage_bills_', {_month('l_shipdate')})", None, {
         "bill_id": "concat('BIL-', cast(l_orderkey AS string), '-', cast(l_linenumber AS string), '-', "
                    "cast(l_partkey AS string))",
         "claim_id": "concat('CLM-', cast(l_orderkey AS string), '-', cast(l_linenumber + CASE WHEN l_tax = 0.03 "
                     "AND l_discount = 0.04 THEN 2 ELSE 0 END AS string))",
         "garage_id": "concat('GAR-', cast(l_suppkey AS string))",
-        "parts_cost": _money("l_extendedprice"),
-        "labour_cost": _money("l_quantity * 10"),
-        "total": "cast(cast(l_extendedprice AS decimal(18,2)) + cast(l_quantity * 10 AS decimal(18,2)) + "
-                 "CASE WHEN l_tax = 0.02 AND l_discount = 0.07 THEN 500.00 ELSE 0.50 END AS string)",
+        "parts_cost": _text("l_extendedprice"),
+        "labour_cost": _text("l_quantity * 10"),
+        "total": _text("l_extendedprice + l_quantity * 10 + CASE WHEN l_tax = 0.02 AND l_discount = 0.07 "
+                       "THEN cast(500 AS double) ELSE cast(0.5 AS double) END"),
         "invoice_date": _day("l_shipdate"),
     }),
     "customer_kyc": Feed("customer", "concat('customer_kyc_', lpad(cast(c_nationkey AS string), 3, '0'))",
-                         {"p1": "c_custkey"}, {
+                         "c_custkey", {
         "customer_id": "concat('CUS-', cast(c_custkey AS string))",
         "name": "replace(c_name, '#', ' ')",
         "phone": "concat('+91', lpad(cast(c_custkey AS string), 10, '0'))",
@@ -121,18 +120,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def feed(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    """Raw text rows of one feed. Line items have no key, so their place in the file breaks ties."""
+    """Raw text rows of one feed. Line items have no key, so their place in the scan is their position."""
     spec = FEEDS[source]
     rows = read_table(spark, sf_dir, spec.table)
-    names = spec.select_list()
-    if spec.table == "lineitem":
-        names += ["_metadata.file_path AS p7", "_metadata.row_index AS p8"]
-    return rows.selectExpr(*names)
-
-
-def order_of(source: str) -> list[str]:
-    spec = FEEDS[source]
-    return [*spec.order, *(["p7", "p8"] if spec.table == "lineitem" else [])]
+    if spec.pos is None:
+        rows = rows.withColumn("place", F.monotonically_increasing_id())
+    return spread(rows).selectExpr(*spec.select_list("place"))
 
 
 def policy_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,4 +138,4 @@ def policy_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
 def feed_sql(source: str) -> str:
     """The same feed as a SQL sub-select, for the side-by-side check."""
     spec = FEEDS[source]
-    return f"SELECT {', '.join(spec.select_list())} FROM {spec.table}"
+    return f"SELECT {', '.join(spec.select_list('row_number() OVER () - 1'))} FROM {spec.table}"

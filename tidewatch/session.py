@@ -60,3 +60,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def salt_count(spark: SparkSession) -> int:
     """Pieces a key is split into: as many as there are reducers, so a hot key fills the cluster."""
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Use every core when a scan has fewer splits than cores (one small file is one split).
+
+    A scan with enough splits, which any large table has, is returned as it is: no shuffle.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
