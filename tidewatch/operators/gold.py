@@ -24,7 +24,7 @@ def risk_score(telematics: DataFrame, policies: DataFrame) -> DataFrame:
         F.count("speed_kmph").alias("n_speed"))
     owners = policies.select("vehicle_id", "policy_id", F.concat("make", F.lit(" "), "model").alias("car"))
     joined = per_vehicle.join(owners, "vehicle_id", "left")
-    speed = (F.col("speed") / F.col("n_speed")).cast("double")
+    speed = F.col("speed").cast("double") / F.col("n_speed")
     pct = 100.0 * F.col("harsh") / F.col("readings")
     score = F.round(100 - 4 * pct - F.greatest(F.lit(0.0), speed - 60), 0)
     return joined.select(
@@ -39,7 +39,7 @@ def claims_summary(claims: DataFrame) -> DataFrame:
         F.count("claim_amount").alias("n"))
     return out.select("location", "claim_type", "claims",
                       F.round(F.col("total").cast("double"), 0).alias("total_amount_inr"),
-                      F.round((F.col("total") / F.col("n")).cast("double"), 0).alias("avg_amount_inr"))
+                      F.round(F.col("total").cast("double") / F.col("n"), 0).alias("avg_amount_inr"))
 
 
 def fraud_watchlist(bills: DataFrame, claims: DataFrame, quarantine: DataFrame) -> DataFrame:
