@@ -99,9 +99,9 @@ def log_scan(spark, sf_dir):
     """Events written as log lines next to lines of prose, read back as evidence for one source."""
     folder = scratch_path(spark, "logs")
     level = F.when(F.col("event_type") == "error", "ERROR").when(F.col("event_type") == "purchase", "WARN").otherwise("INFO")
-    line = F.to_json(F.struct("ts", F.lit("claims").alias("source"), level.alias("level"),
-                              F.concat(F.lit("feed problem k="), F.col("props")).alias("message")),
-                     {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
+    line = F.to_json(F.struct(iso.alias("ts"), F.lit("claims").alias("source"), level.alias("level"),
+                              F.concat(F.lit("feed problem k="), F.col("props")).alias("message")))
     read_table(spark, sf_dir, "events").select(line.alias("value")).write.text(folder)
     prose = F.explode(F.split("text", r"\r|\n"))
     read_table(spark, sf_dir, "documents").select(prose.alias("value")).write.mode("append").text(folder)
