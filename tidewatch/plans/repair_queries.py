@@ -1,26 +1,33 @@
-"""Repair jobs over policies whose files renamed a column: URGENT months sent ``vehicle_ref``."""
+"""Repair jobs over policies, some of whose files renamed a column."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import repair
+from tidewatch.operators import batches, repair
 from tidewatch.operators.contracts import POLICY
 from tidewatch.plans.check_queries import POLICY_T, POS, check_schema
 from tidewatch.plans.feeds import feed
 from tidewatch.plans.registry import query
+from tidewatch.session import cut_lineage
 
 RENAME, DROP = {"vehicle_ref": "vehicle_id"}, ["sales_channel"]
 DRIFTED = "right(batch_file, 2) IN ('03', '07')"
 
 
 def quarantined(spark, sf_dir):
-    """Policy files of two months a year arrived with a renamed and a new column and were held whole."""
-    rows = feed(spark, sf_dir, "policy").where(DRIFTED)
-    names = {"vehicle_id": "vehicle_ref"}
-    pairs = [x for c in POLICY.columns for x in (F.lit(names.get(c, c)), F.col(c))]
-    return rows.select("batch_file", "pos", F.create_map(*pairs, F.lit("sales_channel"), F.lit("web")).alias("payload"),
-                       F.lit("schema").alias("check_name"), F.lit(0).alias("released"))
+    """All policy files as raw map rows; those of two months a year carry a renamed and a new column.
+    The schema gate finds and holds them."""
+    rows = feed(spark, sf_dir, "policy")
+
+    def as_map(names, *more):
+        return F.create_map(*[x for c in POLICY.columns for x in (F.lit(names.get(c, c)), F.col(c))], *more)
+
+    drifted = as_map({"vehicle_id": "vehicle_ref"}, F.lit("sales_channel"), F.lit("web"))
+    maps = rows.select("batch_file", "pos", F.when(F.expr(DRIFTED), drifted).otherwise(as_map({})).alias("payload"))
+    gated = batches.schema_gate(maps, batches.schema_drift(maps, POLICY, POS), POS)
+    return cut_lineage(gated.where(F.col("gate_reason").isNotNull()).select(
+        "batch_file", "pos", "payload", F.lit("schema").alias("check_name"), F.lit(0).alias("released")))
 
 
 STILL_BAD = """(t_cover_type NOT IN ('Comprehensive', 'Third Party', 'Own Damage') OR t_sum_insured < 1 OR t_premium < 1
