@@ -105,12 +105,13 @@ def evaluate(
     only: Collection[str] = ALL_CHECKS,
     policy_ends: DataFrame | None = None,
     known_claims: DataFrame | None = None,
+    known_owners: DataFrame | None = None,
     extra_rules: Sequence[Rule] = (),
 ) -> DataFrame:
     """Add typed columns and ``reasons``. ``order`` is the arrival position, unique per row.
 
     ``policy_ends(policy_id, policy_end)``: unknown policies pass. ``known_claims(claim_id)``:
-    every claim loaded so far. KYC ownership looks at all of ``rows``, so pass the history too.
+    every claim loaded so far. ``known_owners(pan, customer_id)``: first owners from earlier loads.
     """
     df = rows.select("*", *[c.alias(n) for n, c in typed_columns(contract).items()])
     rules = [r for f in contract.fields for r in field_rules(f)]
@@ -130,7 +131,13 @@ def evaluate(
                               F.concat(F.lit("claim "), F.col("t_claim_id"), F.lit(" does not exist"))))
     rules += extra_rules
     if "duplicates" in only and source == "customer_kyc":
-        df = skew.attach_first_owner(df, "t_pan", "t_customer_id", order, "first_owner")
+        if known_owners is not None:
+            earlier = known_owners.select(F.col("pan").alias("t_pan"), F.col("customer_id").alias("t_customer_id"))
+            df = df.withColumn("era", F.lit(1)).unionByName(earlier.withColumn("era", F.lit(0)), allowMissingColumns=True)
+            df = skew.attach_first_owner(df, "t_pan", "t_customer_id", ["era", *order], "first_owner")
+            df = df.where(F.col("era") == 1).drop("era")
+        else:
+            df = skew.attach_first_owner(df, "t_pan", "t_customer_id", order, "first_owner")
         rules.append(Rule("duplicates", "pan", ~F.col("first_owner").eqNullSafe(
             F.coalesce("t_customer_id", F.lit("None"))) & F.col("first_owner").isNotNull(),
             F.concat(F.lit("PAN already registered to "), F.col("first_owner"))))
@@ -143,6 +150,16 @@ def evaluate(
     return df.drop("policy_end", "unknown_claim", "first_owner", "repeated")
 
 
+def first_owners(rows: DataFrame, order: Sequence[str], earlier: DataFrame | None = None) -> DataFrame:
+    """The compact (pan, customer_id) table of first owners; rejected rows own as well."""
+    new = rows.where(F.col("t_pan").isNotNull()).groupBy(F.col("t_pan").alias("pan")).agg(
+        F.min_by("t_customer_id", F.struct(*order)).alias("customer_id"))
+    if earlier is None:
+        return new
+    both = earlier.select("pan", "customer_id", F.lit(0).alias("era")).unionByName(new.withColumn("era", F.lit(1)))
+    return both.groupBy("pan").agg(F.min_by("customer_id", "era").alias("customer_id"))
+
+
 def good_rows(checked: DataFrame) -> DataFrame:
     return checked.where(F.size("reasons") == 0)
 

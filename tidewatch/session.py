@@ -68,4 +68,4 @@ def spread(rows: DataFrame) -> DataFrame:
     A scan with enough splits, which any large table has, is returned as it is: no shuffle.
     """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return rows.repartition(cores, *rows.columns) if rows.rdd.getNumPartitions() < cores else rows

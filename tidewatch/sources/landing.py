@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +9,17 @@ RAW_SCHEMA = "batch_file string, split long, seq long, payload map<string,string
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``batch_file`` and ``path`` of every finished file; contents are not read."""
-    try:
-        found = spark.read.format("binaryFile").load(folder).select("path")
-    except AnalysisException:
-        return spark.createDataFrame([], "batch_file string, path string")
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("batch_file"), "path")
+    """``batch_file`` and ``path`` of every finished file, also of empty ones, which file sources skip.
+
+    Listing is metadata work on the driver, as in any Spark read; no content is touched.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = fs.listStatus(path) if fs.exists(path) else []
+    names = [(f.getPath().getName(), f.getPath().toString()) for f in found if f.isFile()]
+    names = [n for n in names if not n[0].startswith(("_", "."))]
+    return spark.createDataFrame(names, "batch_file string, path string")
 
 
 def new_files(listing: DataFrame, registry: DataFrame) -> DataFrame:
