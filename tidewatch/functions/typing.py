@@ -13,7 +13,8 @@ def _plain_number(text: Column) -> Column:
     """Refuses what the cast would take beyond decimal numerals: type suffixes and hexadecimal.
     Byte comparisons instead of a pattern, because this runs for every numeric cell."""
     suffixed = text.endswith("d") | text.endswith("D") | text.endswith("f") | text.endswith("F")
-    return ~(suffixed | text.contains("x") | text.contains("X"))
+    spelled = F.lower(text).contains("inf")
+    return spelled | ~(suffixed | text.contains("x") | text.contains("X"))
 
 
 def _iso_day(text: Column) -> Column:

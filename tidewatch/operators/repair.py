@@ -59,7 +59,7 @@ def replay(quarantined: DataFrame, contract: Contract, order: Sequence[str], ren
     mapped = remapped(held, rename, drop)
     drift = batches.schema_drift(mapped, contract, order)
     gated = batches.schema_gate(mapped, drift, order)
-    view = batches.contract_view(gated, contract, ["batch_file", "gate_reason", *order])
+    view = batches.contract_view(gated, contract, list(dict.fromkeys(["batch_file", "gate_reason", *order])))
     checked = check(view) if check else checks.evaluate(view, contract, order)
     return batches.gate_reasons(checked)
 
