@@ -7,6 +7,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewatch.operators import skew
+
 BILL_TOLERANCE = 1.2
 MONEY = "decimal(38,4)"
 
@@ -17,13 +19,16 @@ def _total(value: Column) -> Column:
 
 
 def risk_score(telematics: DataFrame, policies: DataFrame) -> DataFrame:
-    """Score per vehicle and policy. Readings shrink to one row per vehicle before the join."""
+    """Score per vehicle and policy. Readings shrink to one row per vehicle before the join; a vehicle
+    may have any number of policies, so they look it up by salted key."""
     harsh = (F.col("harsh_brake") + F.col("harsh_accel")).cast("long")
     per_vehicle = telematics.groupBy("vehicle_id").agg(
         F.count(F.lit(1)).alias("readings"), _total(F.col("speed_kmph")).alias("speed"), F.sum(harsh).alias("harsh"),
         F.count("speed_kmph").alias("n_speed"))
     owners = policies.select("vehicle_id", "policy_id", F.concat("make", F.lit(" "), "model").alias("car"))
-    joined = per_vehicle.join(owners, "vehicle_id", "left")
+    owned = skew.lookup(owners, ["vehicle_id"], per_vehicle, ["policy_id"]).where(F.col("readings").isNotNull())
+    free = per_vehicle.join(owners.select("vehicle_id").distinct(), "vehicle_id", "left_anti")
+    joined = owned.unionByName(free, allowMissingColumns=True)
     speed = F.col("speed").cast("double") / F.col("n_speed")
     pct = 100.0 * F.col("harsh") / F.col("readings")
     score = F.round(100 - 4 * pct - F.greatest(F.lit(0.0), speed - 60), 0)
@@ -43,11 +48,14 @@ def claims_summary(claims: DataFrame) -> DataFrame:
 
 
 def fraud_watchlist(bills: DataFrame, claims: DataFrame, quarantine: DataFrame) -> DataFrame:
-    """Bills well above their claim, and duplicate claims stopped in quarantine (JSON payload)."""
-    b, c = bills.alias("b"), claims.alias("c")
-    over = b.join(c, F.col("b.claim_id") == F.col("c.claim_id")).where(
-        F.col("b.total") > F.col("c.claim_amount") * BILL_TOLERANCE).select(
-        "b.claim_id", "c.vehicle_id", "c.claim_amount", F.col("b.total").alias("bill_total"), "b.garage_id",
+    """Bills well above their claim, and duplicate claims stopped in quarantine (JSON payload).
+
+    A claim is one Silver row but may have many bills, so bills look their claim up by salted key.
+    """
+    facts = claims.select("claim_id", "vehicle_id", "claim_amount")
+    billed = skew.lookup(bills.select("bill_id", "claim_id", "total", "garage_id"), ["claim_id"], facts, ["bill_id"])
+    over = billed.where(F.col("total") > F.col("claim_amount") * BILL_TOLERANCE).select(
+        "claim_id", "vehicle_id", "claim_amount", F.col("total").alias("bill_total"), "garage_id",
         F.lit("Repair bill above claim amount").alias("flag"))
     pick = lambda name: F.get_json_object("payload", f"$.{name}")
     stopped = quarantine.where((F.col("source") == "claims") & (F.col("check_name") == "duplicates")).select(

@@ -11,6 +11,7 @@ from tidewatch.session import salt_count
 
 EVIDENCE_MINUTES = 15
 EVIDENCE_LINES = 12
+MAX_PIECES = 32  # copies of an incident's time range, so that one source's log lines spread over tasks
 FAR = "9999-12-31 00:00:00"
 
 # Cause categories, the one allowed action for each, and the prevention advice.
@@ -97,7 +98,7 @@ def evidence(incidents: DataFrame, logs: DataFrame, minutes: int = EVIDENCE_MINU
     ``evidence_lines``. The time range becomes equal buckets, and each incident is copied to every
     piece of a bucket so that a talkative source spreads over many tasks.
     """
-    pieces = pieces or salt_count(incidents.sparkSession)
+    pieces = pieces or min(MAX_PIECES, salt_count(incidents.sparkSession))
     width = minutes * 60
     bucket = lambda c: F.floor(F.unix_micros(c) / F.lit(width * 1_000_000)).cast("long")
     since = F.col("opened_at") - F.make_dt_interval(mins=F.lit(minutes))

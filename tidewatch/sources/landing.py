@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.operators import skew
+
 RAW_SCHEMA = "batch_file string, split long, seq long, payload map<string,string>, malformed string"
 
 
@@ -66,12 +70,12 @@ def parse_csv(lines: DataFrame) -> DataFrame:
     """
     headers = csv_headers(lines)
     versions = [r["header"] for r in headers.select("header").distinct().collect()]
+    headed = skew.lookup(lines, ["batch_file"], headers, ["split", "seq"]).where(
+        ((F.col("split") > 0) | (F.col("seq") > F.col("header_seq"))) & (F.trim("value") != ""))
     out = None
     for header in versions:
-        files = headers.where(F.col("header") == header).select("batch_file", "header_seq")
-        rows = lines.join(files, "batch_file").where(
-            ((F.col("split") > 0) | (F.col("seq") > F.col("header_seq"))) & (F.trim("value") != ""))
-        names = _split_header(lines.sparkSession, header)
+        rows = headed.where(F.col("header") == header)
+        names = _split_header(header)
         n = len(names)
         cells = rows.withColumn("__cells", _cells(F.col("value"), n + 1))
         bad = F.col("__cells").isNull() | F.col(f"__cells.c{n}").isNotNull()
@@ -84,8 +88,7 @@ def parse_csv(lines: DataFrame) -> DataFrame:
     return out if out is not None else lines.sparkSession.createDataFrame([], RAW_SCHEMA)
 
 
-def _split_header(spark: SparkSession, header: str) -> list[str]:
-    import csv
+def _split_header(header: str) -> list[str]:
     return next(csv.reader([header.lstrip("﻿").rstrip("\r")]))
 
 
