@@ -102,7 +102,9 @@ def gate_reasons(checked: DataFrame) -> DataFrame:
     """A gated row fails with ``schema`` alone; every other check is skipped for it."""
     gate = F.array(F.struct(F.lit("schema").alias("check"), F.lit("").alias("column"),
                             F.col("gate_reason").alias("reason"))).cast(REASONS_TYPE)
-    return checked.withColumn("reasons", F.when(F.col("gate_reason").isNotNull(), gate).otherwise(F.col("reasons")))
+    gated = F.col("gate_reason").isNotNull()
+    return checked.withColumns({"reasons": F.when(gated, gate).otherwise(F.col("reasons")),
+                                "failed": gated | F.col("failed")})
 
 
 def freshness(registry: DataFrame, limits: DataFrame, as_of: Column, factor: int = FRESHNESS_FACTOR) -> DataFrame:

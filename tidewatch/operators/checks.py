@@ -1,7 +1,7 @@
 """Row checks: a contract becomes column expressions; every row gets an array of reasons.
 
 ``evaluate`` takes raw text rows (``batch_file``, the position columns, one text column per
-contract field) and adds ``t_<field>`` typed columns plus
+contract field) and adds ``t_<field>`` typed columns, ``failed`` and
 ``reasons ARRAY<STRUCT<check, column, reason>>`` in contract order, then the source's own rules,
 then duplicates. Only duplicates and references need a shuffle.
 """
@@ -24,6 +24,7 @@ ALL_CHECKS = ("type", "nulls", "range", "allowed_values", "format", "rule", "ref
               "reconciliation", "duplicates")
 REASONS_TYPE = "array<struct<check:string,column:string,reason:string>>"
 RECONCILE_TOLERANCE = 1
+NUMBER = "row_no"
 
 
 @dataclass(frozen=True)
@@ -87,14 +88,17 @@ def reconcile_rule(first: str, second: str, total: str, tolerance: float = RECON
                 F.concat(F.lit("total "), _text(t), F.lit(" != parts + labour "), _text(F.round(a + b, 2))))
 
 
+def any_failed(rules: Sequence[Rule]) -> Column:
+    return reduce(lambda a, b: a | b, [F.coalesce(r.failed, F.lit(False)) for r in rules], F.lit(False))
+
+
 def reasons_array(rules: Sequence[Rule]) -> Column:
     """Clean rows pay for the predicates only; the array is built for failing rows."""
     if not rules:
         return F.array().cast(REASONS_TYPE)
     items = [F.when(r.failed, F.struct(F.lit(r.check).alias("check"), F.lit(r.column).alias("column"),
                                        r.reason.alias("reason"))) for r in rules]
-    failed = reduce(lambda a, b: a | b, [F.coalesce(r.failed, F.lit(False)) for r in rules])
-    return F.when(failed, F.array_compact(F.array(*items))).otherwise(F.array().cast(REASONS_TYPE))
+    return F.when(any_failed(rules), F.array_compact(F.array(*items))).otherwise(F.array().cast(REASONS_TYPE))
 
 
 def evaluate(
@@ -113,7 +117,10 @@ def evaluate(
     ``policy_ends(policy_id, policy_end)``: unknown policies pass. ``known_claims(claim_id)``:
     every claim loaded so far. ``known_owners(pan, customer_id)``: first owners from earlier loads.
     """
-    df = rows.select("*", *[c.alias(n) for n, c in typed_columns(contract).items()])
+    # The running number keeps filters on good or bad rows above this projection. Below it, each
+    # predicate would repeat the whole text-to-type expression of every column it reads.
+    df = rows.select("*", *[c.alias(n) for n, c in typed_columns(contract).items()],
+                     F.monotonically_increasing_id().alias(NUMBER))
     rules = [r for f in contract.fields for r in field_rules(f)]
     source = contract.source
     if source == "policy":
@@ -133,7 +140,8 @@ def evaluate(
     if "duplicates" in only and source == "customer_kyc":
         if known_owners is not None:
             earlier = known_owners.select(F.col("pan").alias("t_pan"), F.col("customer_id").alias("t_customer_id"))
-            df = df.withColumn("era", F.lit(1)).unionByName(earlier.withColumn("era", F.lit(0)), allowMissingColumns=True)
+            earlier = earlier.withColumn("era", F.lit(0))
+            df = df.withColumn("era", F.lit(1)).unionByName(earlier, allowMissingColumns=True)
             df = skew.attach_first_owner(df, "t_pan", "t_customer_id", ["era", *order], "first_owner")
             df = df.where(F.col("era") == 1).drop("era")
         else:
@@ -146,7 +154,8 @@ def evaluate(
         df = skew.mark_repeats(df, ["batch_file", *keys], order, "repeated")
         rules.append(Rule("duplicates", contract.duplicate_key[0], F.col("repeated"),
                           F.concat(F.lit("duplicate record for "), F.coalesce(_text(F.col(keys[0])), F.lit("None")))))
-    df = df.withColumn("reasons", reasons_array([r for r in rules if r.check in only]))
+    wanted = [r for r in rules if r.check in only]
+    df = df.withColumns({"reasons": reasons_array(wanted), "failed": any_failed(wanted)})
     return df.drop("policy_end", "unknown_claim", "first_owner", "repeated")
 
 
@@ -161,12 +170,13 @@ def first_owners(rows: DataFrame, order: Sequence[str], earlier: DataFrame | Non
 
 
 def good_rows(checked: DataFrame) -> DataFrame:
-    return checked.where(F.size("reasons") == 0)
+    """Rows without a reason."""
+    return checked.where((F.col(NUMBER) >= 0) & ~F.col("failed")).drop(NUMBER)
 
 
 def bad_rows(checked: DataFrame) -> DataFrame:
     """Failing rows with the first reason's check and all reasons as one text."""
-    return checked.where(F.size("reasons") > 0).select(
+    return checked.where((F.col(NUMBER) >= 0) & F.col("failed")).drop(NUMBER).select(
         "*", F.col("reasons")[0]["check"].alias("check_name"),
         F.array_join(F.transform("reasons", lambda r: r["reason"]), "; ").alias("reason"))
 
