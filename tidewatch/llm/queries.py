@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import mixing, sharding
+from tidewatch.llm import debruijn, mixing, repetition, sharding
 from tidewatch.llm.tables import read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +31,13 @@ def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_rendezvous_shards", sharding.SQL)
 def rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir))
+
+
+@query("op8_repetition_rules")
+def repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition_rules(read(spark, sf_dir))
+
+
+@query("op9_substring_dedup")
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.removal_report(read(spark, sf_dir))

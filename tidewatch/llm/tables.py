@@ -9,6 +9,7 @@ from tidewatch.session import scratch_path
 
 # A word is a run of anything but the six ASCII blanks; other Unicode blanks belong to words.
 BLANKS = r"[\x20\x09-\x0D]+"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
@@ -19,11 +20,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a table into the shared folder and read it back.
 
     Later plans start from files with a known size (so small tables are broadcast by size, never by
-    force) and no recomputation follows the loss of an executor.
+    force) and no recomputation follows the loss of an executor. Once the table stands, the shuffle files
+    behind it serve nobody, so Spark is asked to remove them when this one write ends.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def whole(text: Column) -> Column:
