@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import debruijn, mixing, repetition, sharding
+from tidewatch.llm import debruijn, minhash_dedup, mixing, repetition, sharding
 from tidewatch.llm.tables import read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -41,3 +41,8 @@ def repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_substring_dedup")
 def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return debruijn.removal_report(read(spark, sf_dir))
+
+
+@query("op1_minhash_dedup")
+def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(read(spark, sf_dir))
