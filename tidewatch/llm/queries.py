@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import debruijn, minhash_dedup, mixing, repetition, sharding
+from tidewatch.llm import debruijn, fingerprints, line_templates, minhash_dedup, mixing, pii, repetition, sharding
 from tidewatch.llm.tables import read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -46,3 +46,18 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_minhash_dedup")
 def minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read(spark, sf_dir))
+
+
+@query("op4_document_fingerprints")
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_report(read(spark, sf_dir))
+
+
+@query("op7_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf_dir))
+
+
+@query("op6_line_templates", line_templates.SQL)
+def recurring_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.template_report(read(spark, sf_dir))

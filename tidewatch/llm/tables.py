@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, also where ``use`` refers to it inside a loop over an array."""
+    return F.transform(F.array(value), use)[0]
+
+
 def whole(text: Column) -> Column:
     """The text, a null one as empty."""
     return F.coalesce(text.cast("string"), F.lit(""))
