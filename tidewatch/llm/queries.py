@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import debruijn, fingerprints, line_templates, minhash_dedup, mixing, pii, repetition, sharding
+from tidewatch.llm import bpe, debruijn, fingerprints, line_templates, minhash_dedup, mixing, pii, quality_crf, repetition, sharding
 from tidewatch.llm.tables import read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -61,3 +61,13 @@ def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_line_templates", line_templates.SQL)
 def recurring_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_templates.template_report(read(spark, sf_dir))
+
+
+@query("op3_line_crf_quality")
+def line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_crf.quality_report(read(spark, sf_dir), read(spark, sf_dir, "labels"))
+
+
+@query("op5_byte_bpe")
+def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_report(read(spark, sf_dir))
