@@ -9,6 +9,7 @@ from tidewatch.operators import gold, repair
 from tidewatch.operators.contracts import CONTRACTS
 from tidewatch.plans import cycle
 from tidewatch.plans.cycle import Cycle
+from tidewatch.sources import tables
 
 TELEMATICS = {"device_id": "D1", "vehicle_id": "V1", "policy_id": "P1", "timestamp": "2024-05-01T10:00:00+00:00",
               "speed_kmph": 60.5, "harsh_brake": False, "harsh_accel": True, "lat": 19.1, "lon": 72.9, "odometer_km": 1200.0}
@@ -152,6 +153,71 @@ def test_expired_token_fails_closed_by_default(world):
     assert world.quarantine() == [("customer_kyc", "pii", "masking not available")]
 
 
+def test_rows_held_for_an_expired_token_raise_an_alert_and_are_released_once(world):
+    world.land("customer_kyc", [KYC])
+    world.run(token_status="expired")
+    alert = world.alerts()[("customer_kyc", "pii")]
+    assert (alert.severity, alert.problem) == ("CRITICAL", "1 of 1 rows held: masking not available")
+    world.land("customer_kyc", [{**KYC, "city": "Nagpur"}])
+    world.run()
+    for _ in range(2):
+        cycle.reload_quarantine(world.c, "customer_kyc")
+    rows = world.silver("customer_kyc")
+    assert [(r.customer_id, r.city, r.masked, r.name) for r in rows] == [("C1", "Nagpur", 1, "A*** R***")]
+    assert world.c.log("released", cycle.RELEASED).count() == 1
+
+
+def test_second_replay_changes_nothing_and_newer_rows_stay(world):
+    drifted = {("vehicle_ref" if k == "vehicle_id" else k): v for k, v in TELEMATICS.items()}
+    world.land("telematics", [drifted])
+    world.land("policy", [{("vehicle_ref" if k == "vehicle_id" else k): v for k, v in POLICY.items()}])
+    world.run()
+    world.land("policy", [{**POLICY, "premium": "99999.0"}])
+    world.mappings = {s: {"vehicle_ref": "vehicle_id"} for s in ("telematics", "policy")}
+    world.run()
+    for _ in range(2):
+        cycle.reload_quarantine(world.c, "telematics")
+        cycle.reload_quarantine(world.c, "policy")
+        world.n += 1
+        world.c = Cycle(world.spark, str(world.root), world.n, "2024-05-01 11:00:00", mappings=world.mappings, policy_ends=world.ends)
+    assert len(world.silver("telematics")) == 1
+    assert [r.premium for r in world.silver("policy")] == [99999.0]
+
+
+def test_amounts_that_are_no_usable_number_are_held_and_gold_still_builds(world):
+    world.land("claims", [CLAIM, {**CLAIM, "claim_id": "CL2", "vehicle_id": "V2", "claim_amount": 1e30}, {**CLAIM, "claim_id": "CL3", "vehicle_id": "V3", "claim_amount": "inf"}])
+    world.run(build=True)
+    assert [q[:2] for q in world.quarantine()] == [("claims", "type")] * 2
+    assert world.c.current("gold_claims_summary").first().total_amount_inr == 1000.0
+
+
+def test_of_a_repeated_csv_column_the_last_counts(world):
+    folder = world.root / "landing" / "policy"
+    folder.mkdir(parents=True)
+    names = [*POLICY, "premium"]
+    (folder / "policy_1.csv").write_text(",".join(names) + "\n" + ",".join([*POLICY.values(), "777"]) + "\n")
+    world.run()
+    assert [r.premium for r in world.silver("policy")] == [777.0]
+
+
+def test_a_pointer_that_was_not_written_leaves_the_last_copy_current(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    tables.replace(spark.range(3), root, "t")
+
+    def fail(*_):
+        raise OSError("disk full")
+
+    with monkeypatch.context() as m:
+        m.setattr(tables, "point", fail)
+        with pytest.raises(OSError):
+            tables.replace(spark.range(9), root, "t")
+    assert tables.current(spark, root, "t").count() == 3
+    (tmp_path / "t.pointers" / "version=2" / "_temporary").mkdir(parents=True)  # a write cut off half-way
+    assert tables.current(spark, root, "t").count() == 3
+    tables.replace(spark.range(5), root, "t")
+    assert tables.current(spark, root, "t").count() == 5 and tables.current(spark, root, "never") is None
+
+
 def test_schema_drift_is_held_then_mapped_and_reloaded(spark, world):
     drifted = {("vehicle_ref" if k == "vehicle_id" else k): v for k, v in POLICY.items()} | {"sales_channel": "web"}
     world.land("policy", [POLICY], name="policy_a.csv")

@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+
+WIDEST = 1e18
+
+
 def blank_to_null(text: Column) -> Column:
     return F.nullif(text, F.lit(""))
 
@@ -25,12 +29,13 @@ def _iso_day(text: Column) -> Column:
 def coerce(text: Column, kind: str) -> Column:
     """Typed value or NULL. Booleans never fail: only ``true`` and ``1`` (any case) are true.
 
-    NaN, digit separators and short dates are refused; whole numbers truncate, so ``'2020.7'`` is 2020.
+    NaN, infinities, numbers of 1e18 and more (money sums are exact decimals), digit separators and short
+    dates are refused; whole numbers truncate, so ``'2020.7'`` is 2020.
     """
     value = blank_to_null(text)
     if kind == "double":
         number = value.try_cast("double")
-        return F.when(_plain_number(value) & ~F.isnan(number), number)
+        return F.when(_plain_number(value) & (F.abs(number) < WIDEST), number)
     if kind == "int":
         return F.when(_plain_number(value), value.try_cast("double").try_cast("int"))
     if kind == "boolean":

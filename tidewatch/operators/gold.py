@@ -10,12 +10,11 @@ from pyspark.sql import functions as F
 from tidewatch.operators import skew
 
 BILL_TOLERANCE = 1.2
-MONEY = "decimal(38,4)"
 
 
 def _total(value: Column) -> Column:
-    """Money is summed as a decimal, so the result does not depend on task order."""
-    return F.sum(value.cast("decimal(28,4)"))
+    """Summed as a decimal, so the result does not depend on task order; typed numbers stay below 1e18 and fit."""
+    return F.sum(value.try_cast("decimal(30,9)"))
 
 
 def risk_score(telematics: DataFrame, policies: DataFrame) -> DataFrame:
@@ -72,7 +71,7 @@ def customer_360(customers: DataFrame, policies: DataFrame, claims: DataFrame) -
         F.count("claim_id").alias("claims"), _total(F.col("claim_amount")).alias("amount"))
     per_customer = policies.select("policy_id", "customer_id").join(per_policy, "policy_id", "left").groupBy(
         "customer_id").agg(F.count("policy_id").alias("policies"), F.sum("claims").alias("claims"),
-                           F.sum(F.col("amount").cast(MONEY)).alias("amount"))
+                           F.sum("amount").alias("amount"))
     zero = F.lit(0).cast("long")
     return customers.select("customer_id", "name", "phone", "city").join(per_customer, "customer_id", "left").select(
         "customer_id", "name", "phone", "city", F.coalesce("policies", zero).alias("policies"),

@@ -5,8 +5,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,13 +32,17 @@ def _trimmed(batches: DataFrame, seconds: int) -> DataFrame:
     return rows.where((F.col("__e.n") <= 3) | inner).drop("__e")
 
 
-def throughput(batches: DataFrame, as_of: Column, minutes: int, seconds: int, sources: Sequence[str]) -> DataFrame:
+def _grid(rows: DataFrame, per: str, values: str) -> DataFrame:
+    """Every observed ``per`` with every observed value of ``values``: the values travel as one list, so nothing is multiplied by rows."""
+    listed = rows.agg(F.array_sort(F.collect_set(values))).scalar()
+    return rows.select(per).distinct().withColumn(values, F.explode(listed))
+
+
+def throughput(batches: DataFrame, as_of: Column, minutes: int, seconds: int) -> DataFrame:
     """Rows per bucket and source. A source seen at all shows 0 in buckets where it was silent."""
     rows = _trimmed(recent(batches, "ingested_at", as_of, minutes), seconds)
     per = rows.groupBy("time", "source").agg(F.sum("n_rows").alias("n_rows"))
-    grid = per.select("time").distinct().select("time", F.explode(F.array(*[F.lit(s) for s in sources])).alias("source"))
-    grid = grid.join(per.select("source").distinct(), "source", "left_semi")
-    dense = grid.join(per, ["time", "source"], "left")
+    dense = _grid(per, "time", "source").join(per, ["time", "source"], "left")
     n = F.coalesce("n_rows", F.lit(0)).cast("long")
     return dense.select("time", "source", n.alias("n_rows"), (n * 60 / F.lit(float(seconds))).alias("rows_per_min"))
 
@@ -56,17 +58,15 @@ def alert_events(alerts: DataFrame, as_of: Column, minutes: int, seconds: int) -
         bucket("first_seen", seconds).alias("time"), "severity").agg(F.count(F.lit(1)).alias("alerts"))
 
 
-def failure_matrix(quarantine: DataFrame, alerts: DataFrame, as_of: Column, minutes: int,
-                   sources: Sequence[str], checks: Sequence[str]) -> DataFrame:
-    """Stopped rows by source and check, plus occurrences of freshness and pii alerts, over the full grid."""
+def failure_matrix(quarantine: DataFrame, alerts: DataFrame, as_of: Column, minutes: int) -> DataFrame:
+    """Stopped rows by source and check, plus occurrences of freshness and pii alerts, with 0 for pairs of an observed
+    source and an observed check that did not meet."""
     stopped = recent(quarantine, "quarantined_at", as_of, minutes).groupBy("source", "check_name").agg(
         F.count(F.lit(1)).alias("n"))
     raised = recent(alerts, "last_seen", as_of, minutes).where(F.col("check_name").isin("freshness", "pii")).select(
         "source", "check_name", F.col("occurrences").alias("n"))
     counts = stopped.unionByName(raised).groupBy("source", "check_name").agg(F.sum("n").alias("n"))
-    grid = quarantine.sparkSession.range(1).select(F.explode(F.array(*[F.lit(s) for s in sources])).alias("source")).select(
-        "source", F.explode(F.array(*[F.lit(c) for c in checks])).alias("check_name"))
-    return grid.join(counts, ["source", "check_name"], "left").select(
+    return _grid(counts, "source", "check_name").join(counts, ["source", "check_name"], "left").select(
         "source", "check_name", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

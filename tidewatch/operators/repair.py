@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import difflib
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import batches, checks
@@ -14,34 +12,29 @@ from tidewatch.operators.contracts import Contract
 
 SIMILARITY = 0.5
 SAMPLE = 20
-SUGGESTION = "source string, renames string, drops string"
 
 
-def pair_columns(missing: Sequence[str], extra: Sequence[str]) -> tuple[dict[str, str], list[str]]:
-    """Pair each missing column with the closest unused new one; the other new columns are dropped."""
-    renames: dict[str, str] = {}
-    for name in missing:
-        free = [e for e in extra if e not in renames]
-        close = difflib.get_close_matches(name, free, n=1, cutoff=SIMILARITY)
-        if close:
-            renames[close[0]] = name
-    return renames, [e for e in extra if e not in renames]
+def likeness(a: Column, b: Column) -> Column:
+    """1 less the edits between two names as a share of the longer one."""
+    return F.lit(1.0) - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
 
 
 def suggest_mapping(drift: DataFrame) -> DataFrame:
     """(source, renames, drops) from (source, missing[], extra[]).
 
-    One drift row is a few column names; equal drifts are reduced to one row before Python sees them.
+    A new column becomes a missing one where each is the other's closest name (ties: the first in order of
+    name) and their likeness reaches ``SIMILARITY``; the other new columns are dropped. Equal drifts are one row.
     """
-    def per_batch(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for row in frame.itertuples(index=False):
-                renames, drops = pair_columns(list(row.missing), list(row.extra))
-                out.append((row.source, ",".join(f"{a}->{b}" for a, b in renames.items()), ",".join(drops)))
-            yield pd.DataFrame(out, columns=["source", "renames", "drops"])
+    def closest(name: Column, among: str) -> Column:
+        ranked = F.transform(among, lambda o: F.struct((-likeness(name, o)).alias("far"), o.alias("name")))
+        return F.array_min(ranked)
 
-    return drift.select("source", "missing", "extra").distinct().mapInPandas(per_batch, SUGGESTION)
+    pairs = F.transform("missing", lambda m: F.struct(m.alias("to"), closest(m, "extra").alias("near")))
+    mutual = F.filter(pairs, lambda p: (p["near"]["far"] <= -SIMILARITY) & (closest(p["near"]["name"], "missing")["name"] == p["to"]))
+    taken = F.transform("pairs", lambda p: p["near"]["name"])
+    return drift.select("source", "missing", "extra").distinct().withColumn("pairs", mutual).select(
+        "source", F.array_join(F.transform("pairs", lambda p: F.concat(p["near"]["name"], F.lit("->"), p["to"])), ",").alias("renames"),
+        F.array_join(F.array_except("extra", taken), ",").alias("drops"))
 
 
 def remapped(quarantined: DataFrame, rename: Mapping[str, str], drop: Sequence[str]) -> DataFrame:
@@ -49,13 +42,13 @@ def remapped(quarantined: DataFrame, rename: Mapping[str, str], drop: Sequence[s
 
 
 def replay(quarantined: DataFrame, contract: Contract, order: Sequence[str], rename: Mapping[str, str],
-           drop: Sequence[str] = (), check: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Re-check unreleased schema rows under a mapping; ``reasons`` is empty on rows that may be released.
+           drop: Sequence[str] = (), check: Callable[[DataFrame], DataFrame] | None = None, held_for: Sequence[str] = ("schema",)) -> DataFrame:
+    """Re-check unreleased rows held for one of ``held_for`` under a mapping; ``reasons`` is empty on rows that may be released.
 
     Rows are checked per source batch with the real context, in one job. ``quarantined`` carries
     ``payload`` (raw map), ``batch_file``, ``check_name``, ``released`` and the ``order`` columns.
     """
-    held = quarantined.where((F.col("released") == 0) & (F.col("check_name") == "schema"))
+    held = quarantined.where((F.col("released") == 0) & F.col("check_name").isin(*held_for))
     mapped = remapped(held, rename, drop)
     drift = batches.schema_drift(mapped, contract, order)
     gated = batches.schema_gate(mapped, drift, order)

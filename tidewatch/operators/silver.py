@@ -52,6 +52,11 @@ def upsert(current: DataFrame | None, incoming: DataFrame, keys: Sequence[str],
     return latest(new, keys, ["__era", *arrival]).drop("__era")
 
 
+def merge(current: DataFrame | None, incoming: DataFrame, keys: Sequence[str], arrived: str) -> DataFrame:
+    """``current`` and ``incoming`` with the last arrival per key, wherever it came from."""
+    return latest(incoming if current is None else current.unionByName(incoming), keys, [arrived])
+
+
 def remask(customers: DataFrame) -> DataFrame:
     """Mask rows with ``masked = 0`` and leave the rest as they are."""
     leaked = F.col("masked") == 0

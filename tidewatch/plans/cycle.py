@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +23,7 @@ QUARANTINE = ("source string, batch_file string, split long, seq long, check_nam
               "payload map<string,string>, quarantined_at timestamp, released int")
 FINDINGS = ("source string, batch_file string, check_name string, node string, severity string, failure_count long, "
             "failed_rows long, total_rows long, examples string, problem string, ts timestamp")
+RELEASED = "source string, batch_file string, split long, seq long"
 GATES = "node string, blocked int, reason string"
 PRODUCTS = ("gold_driver_risk_score", "gold_claims_summary", "gold_fraud_watchlist", "gold_customer_360",
             "gold_compliance_report")
@@ -105,12 +105,14 @@ def load_source(c: Cycle, contract: Contract) -> None:
         F.create_map(F.lit("malformed"), F.col("malformed")).alias("payload"))
     bad = checks.bad_rows(checked).select(*ORDER, "check_name", "reason", "payload").unionByName(held).unionByName(broken)
 
-    good = silver.project(checks.good_rows(checked), contract, ["split", "seq"])
+    good = silver.project(checks.good_rows(checked), contract, ["split", "seq"]).withColumn("arrived", arrival(F.lit(c.number)))
+    refused_findings = None
     if source == "customer_kyc":
         good, refused = silver.mask_gate(good, c.token_status, c.fail_open)
         waiting = refused.select(*ORDER, F.lit("pii").alias("check_name"), F.lit("masking not available").alias("reason"),
                                  F.create_map(*[x for f in contract.fields for x in (
                                      F.lit(f.name), F.col(f.name).cast("string"))]).alias("payload"))
+        refused_findings = held_findings(waiting, checked, contract)
         bad = bad.unionByName(waiting)
         bad = bad.withColumn("payload", mask_payload(F.col("payload"), contract.columns))
         c.replace("pan_owner", checks.first_owners(checked, ORDER, c.current("pan_owner")))
@@ -121,15 +123,33 @@ def load_source(c: Cycle, contract: Contract) -> None:
         F.coalesce("n", F.lit(0)).cast("long").alias("failed_rows"), F.coalesce("n", F.lit(0)).cast("long").alias("total_rows"),
         F.lit("").alias("examples"), "problem")
     found = checks.findings(checked, source, contract.silver).unionByName(schema_findings)
+    if refused_findings is not None:
+        found = found.unionByName(refused_findings)
     c.append(found.withColumn("ts", c.now()), "findings", source)
     c.append(bad.withColumns({"quarantined_at": c.now(), "released": F.lit(0)}), "quarantine", source)
     if contract.key is None:
-        c.append(good.drop("split", "seq"), contract.silver, source)
+        c.append(good.drop("split", "seq", "arrived"), contract.silver, source)
     else:
-        c.replace(contract.silver, silver.upsert(c.current(contract.silver), good, [contract.key], ORDER).drop("split", "seq"))
+        c.replace(contract.silver, silver.merge(c.current(contract.silver), good.drop("split", "seq"), [contract.key], "arrived"))
     c.append(tables.registry_rows(raw, files, source, c.now()), "registry", source)
 
 
+def arrival(number):
+    """Where a row arrived: cycle, file and place. Silver keeps it, so a row replayed later still counts as of then."""
+    return F.struct(number.cast("int").alias("cycle"), "batch_file", "split", "seq")
+
+
+def held_findings(waiting: DataFrame, checked: DataFrame, contract: Contract) -> DataFrame:
+    """One CRITICAL finding per file whose rows wait for masking."""
+    totals = checked.groupBy("batch_file").agg(F.count(F.lit(1)).alias("total_rows"))
+    n = waiting.groupBy("batch_file").agg(F.count(F.lit(1)).alias("failure_count")).join(totals, "batch_file")
+    text = lambda c: F.col(c).cast("string")
+    return n.select(
+        F.lit(contract.source).alias("source"), "batch_file", F.lit("pii").alias("check_name"), F.lit(contract.silver).alias("node"),
+        checks.severity_of(F.lit("pii")).alias("severity"), "failure_count", F.col("failure_count").alias("failed_rows"), "total_rows", F.lit("").alias("examples"),
+        F.concat(text("failure_count"), F.lit(" of "), text("total_rows"), F.lit(" rows held: masking not available")).alias("problem"))
+
+
 def known_claims(c: Cycle) -> DataFrame:
     """Claims in Silver and every claim that ever arrived."""
     arrived = c.log("bronze", "source string, payload string").where(F.col("source") == "claims").select(
@@ -144,12 +164,10 @@ def silver_table(c: Cycle, contract: Contract) -> DataFrame:
     if contract.source == "customer_kyc":
         empty = empty.withColumn("masked", F.lit(0))
     if contract.key is None:
-        try:
-            return c.spark.read.parquet(c.path(contract.silver)).select(*empty.columns)
-        except AnalysisException:
-            return empty
-    found = c.current(contract.silver)
-    return empty if found is None else found
+        found = tables.if_there(lambda: c.spark.read.parquet(c.path(contract.silver)))
+    else:
+        found = c.current(contract.silver)
+    return empty if found is None else found.select(*empty.columns)
 
 
 def quarantine_json(c: Cycle) -> DataFrame:
@@ -204,30 +222,45 @@ def alert_table(c: Cycle) -> DataFrame:
 
 def remask(c: Cycle) -> bool:
     """Repair after a renewed token: mask what leaked; True when nothing readable is left."""
-    c.replace("silver_customer", silver.remask(silver_table(c, CONTRACTS["customer_kyc"])))
+    stored = c.current("silver_customer")
+    if stored is not None:
+        c.replace("silver_customer", silver.remask(stored))
     return silver.repair_verify(silver_table(c, CONTRACTS["customer_kyc"])).first()["passed"]
 
 
 def reload_quarantine(c: Cycle, source: str) -> None:
-    """Repair after an approved mapping: release held schema rows that now pass, into Silver."""
+    """Repair after an approved mapping or a renewed token: release held rows that now pass, into Silver.
+
+    Released rows go to an append-only log that later replays leave out, and they keep the place at which they
+    arrived, so a newer row of the same key stays. The log is written last, and folders are named after what it held
+    before: a replay that failed half-way overwrites its own when repeated, and never those of one that went through.
+    """
     from tidewatch.operators import repair
     contract, rules = CONTRACTS[source], c.mappings.get(source, {})
-    held = c.log("quarantine", QUARANTINE).where(F.col("source") == source)
+    held = c.log("quarantine", f"{QUARANTINE}, cycle int").where(F.col("source") == source)
+    released = c.log("released", RELEASED).where(F.col("source") == source).select(*ORDER)
+    folder = f"cycle=replay-{c.number}-{released.count()}"
+    held = held.join(released, ORDER, "left_anti")
     if source == "customer_kyc":  # held copies are masked, so the rows come from Bronze
         arrived = c.log("bronze", "source string").where(F.col("source") == source).select(
             *ORDER, F.from_json("payload", "map<string,string>").alias("payload"))
         held = held.drop("payload").join(arrived, ORDER)
     held = c.stage(held, f"held_{source}")
+    held_for = ("schema", "pii") if source == "customer_kyc" and c.token_status == "valid" else ("schema",)
     ends, claims = c.policy_ends, known_claims(c) if source == "garage_bills" else None
+    owners = c.current("pan_owner") if source == "customer_kyc" else None
     result = c.stage(repair.replay(
         held, contract, ORDER, {k: v for k, v in rules.items() if v}, [k for k, v in rules.items() if not v],
-        check=lambda view: checks.evaluate(view, contract, ORDER, policy_ends=ends, known_claims=claims)), f"replay_{source}")
+        check=lambda view: checks.evaluate(view, contract, ORDER, policy_ends=ends, known_claims=claims, known_owners=owners),
+        held_for=held_for), f"replay_{source}")
     good = silver.project(checks.good_rows(result), contract, ["split", "seq"])
     if source == "customer_kyc":
         good, _ = silver.mask_gate(good, c.token_status, c.fail_open)
+        c.replace("pan_owner", checks.first_owners(result, ORDER, owners))
+    good = c.stage(good.join(held.select(*ORDER, "cycle"), ORDER).withColumn("arrived", arrival(F.col("cycle"))).drop("cycle"), f"freed_{source}")
     if contract.key is None:
-        good.drop("split", "seq").write.mode("overwrite").parquet(
-            f"{c.path(contract.silver)}/source={source}/cycle=replay-{c.number}")
+        good.drop("split", "seq", "arrived").write.mode("overwrite").parquet(
+            f"{c.path(contract.silver)}/source={source}/{folder}")
     else:
-        c.replace(contract.silver, silver.upsert(c.current(contract.silver), good, [contract.key], ORDER).drop("split", "seq"))
-    c.replace(f"released_{source}", checks.good_rows(result).select(*ORDER))
+        c.replace(contract.silver, silver.merge(c.current(contract.silver), good.drop("split", "seq"), [contract.key], "arrived"))
+    good.select(*ORDER).write.mode("overwrite").parquet(f"{c.path('released')}/source={source}/{folder}")

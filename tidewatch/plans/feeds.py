@@ -105,8 +105,10 @@ FEEDS = {
         "phone": "concat('+91', lpad(cast(c_custkey AS string), 10, '0'))",
         "email": "concat(lower(c_mktsegment), cast(c_custkey AS string), '@example.org')",
         "licence_no": "concat('KA', lpad(cast(c_custkey AS string), 13, '0'))",
-        "pan": "concat('ABCD', substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', c_nationkey + 1, 1), CASE WHEN c_acctbal < 0 "
-               "THEN '-' ELSE '' END, lpad(cast(cast(floor(abs(c_acctbal)) AS bigint) AS string), 4, '0'), 'Z')",
+        # Every fortieth customer shares the next one's number, at any scale.
+        "pan": "CASE WHEN c_custkey % 40 < 2 THEN concat('ABCDZ', lpad(cast(cast(floor(c_custkey / 40) % 10000 AS bigint) AS string), 4, '0'), 'Q') "
+               "ELSE concat('ABCD', substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', c_nationkey + 1, 1), CASE WHEN c_acctbal < 0 "
+               "THEN '-' ELSE '' END, lpad(cast(cast(floor(abs(c_acctbal)) AS bigint) AS string), 4, '0'), 'Z') END",
         "address": "concat(cast(c_custkey AS string), ' Main Road')",
         "dob": "concat(cast(1950 + c_nationkey AS string), '-06-15')",
         "city": "concat('CITY-', cast(c_nationkey AS string))",

@@ -66,7 +66,7 @@ per AS (SELECT time, source, sum(n_rows)::BIGINT AS n FROM kept GROUP BY 1, 2)
 SELECT g.time, g.source, coalesce(n, 0) AS n_rows, coalesce(n, 0) * 60 / 21600::DOUBLE AS rows_per_min
 FROM grid g LEFT JOIN per ON per.time = g.time AND per.source = g.source""")
 def throughput(spark, sf_dir):
-    return metrics.throughput(batch_table(spark, sf_dir), now(), 25 * DAY, 21600, SOURCES)
+    return metrics.throughput(batch_table(spark, sf_dir), now(), 25 * DAY, 21600)
 
 
 @query("quality_trend", sql=f"""
@@ -84,17 +84,13 @@ def alert_events(spark, sf_dir):
     return metrics.alert_events(alert_table(spark, sf_dir), now(), 20 * DAY, 86400)
 
 
-MATRIX_CHECKS = ["range", "duplicates", "schema", "pii", "type"]
-
-
 @query("failure_matrix", sql=f"""
-WITH {EPISODES_SQL}, grid AS (SELECT s.source, c.check_name FROM (VALUES {', '.join(f"('{s}')" for s in SOURCES)}) s(source),
-  (VALUES {', '.join(f"('{c}')" for c in MATRIX_CHECKS)}) c(check_name)),
-stopped AS (SELECT event_type AS source, CASE WHEN value > 150 THEN 'range' ELSE 'type' END AS check_name, count(*) AS n FROM events
+WITH {EPISODES_SQL}, stopped AS (SELECT event_type AS source, CASE WHEN value > 150 THEN 'range' ELSE 'type' END AS check_name, count(*) AS n FROM events
   WHERE value > 100 AND ts >= {NOW} - INTERVAL '{15 * DAY} minutes' GROUP BY 1, 2),
 raised AS (SELECT source, 'pii' AS check_name, sum(occurrences)::BIGINT AS n FROM episodes
   WHERE check_name = 'schema' AND last_seen >= {NOW} - INTERVAL '{15 * DAY} minutes' GROUP BY 1),
-both_kinds AS (SELECT * FROM stopped UNION ALL SELECT * FROM raised)
+both_kinds AS (SELECT * FROM stopped UNION ALL SELECT * FROM raised),
+grid AS (SELECT s.source, c.check_name FROM (SELECT DISTINCT source FROM both_kinds) s, (SELECT DISTINCT check_name FROM both_kinds) c)
 SELECT g.source, g.check_name, coalesce(sum(n), 0)::BIGINT AS n FROM grid g LEFT JOIN both_kinds k
 ON k.source = g.source AND k.check_name = g.check_name GROUP BY 1, 2""")
 def failure_matrix(spark, sf_dir):
@@ -103,7 +99,7 @@ def failure_matrix(spark, sf_dir):
         F.col("event_type").alias("source"), F.when(F.col("value") > 150, "range").otherwise("type").alias("check_name"),
         F.col("ts").cast("timestamp").alias("quarantined_at"))
     raised = alert_table(spark, sf_dir).where(F.col("check_name") == "schema").withColumn("check_name", F.lit("pii"))
-    return metrics.failure_matrix(bad, raised, now(), 15 * DAY, SOURCES, MATRIX_CHECKS)
+    return metrics.failure_matrix(bad, raised, now(), 15 * DAY)
 
 
 @query("freshness_state", sql=f"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.operators import batches, repair
 from tidewatch.operators.contracts import POLICY
-from tidewatch.plans.check_queries import POLICY_T, POS, check_schema
+from tidewatch.plans.check_queries import DRIFT_SQL, POLICY_T, POS, check_schema
 from tidewatch.plans.feeds import feed
 from tidewatch.plans.registry import query
 from tidewatch.session import cut_lineage
@@ -34,7 +34,18 @@ STILL_BAD = """(t_cover_type NOT IN ('Comprehensive', 'Third Party', 'Own Damage
   OR t_end_date <= t_start_date)"""
 
 
-@query("suggest_mapping")
+@query("suggest_mapping", sql=f"""
+WITH {DRIFT_SQL}, d AS (SELECT DISTINCT split_part(batch_file, '_', 1) AS source, missing, extra FROM drift WHERE missing <> '' OR extra <> ''),
+m AS (SELECT *, unnest(list_filter(string_split(missing, ', '), lambda x: x <> '')) AS m FROM d),
+p AS (SELECT *, unnest(list_filter(string_split(extra, ', '), lambda x: x <> '')) AS e FROM m),
+s AS (SELECT *, 1.0::DOUBLE - levenshtein(m, e) / greatest(length(m), length(e))::DOUBLE AS alike FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY source, missing, extra, m ORDER BY alike DESC, e) AS of_m,
+             row_number() OVER (PARTITION BY source, missing, extra, e ORDER BY alike DESC, m) AS of_e FROM s),
+g AS (SELECT source, missing, extra, string_agg(e || '->' || m, ',') AS renames, list(e) AS taken FROM r
+      WHERE of_m = 1 AND of_e = 1 AND alike >= 0.5 GROUP BY 1, 2, 3)
+SELECT d.source, coalesce(renames, '') AS renames,
+  array_to_string(list_filter(string_split(d.extra, ', '), lambda x: x <> '' AND NOT list_contains(coalesce(taken, []), x)), ',') AS drops
+FROM d LEFT JOIN g ON g.source = d.source AND g.missing = d.missing AND g.extra = d.extra""")
 def suggest_mapping(spark, sf_dir):
     drift = check_schema(spark, sf_dir)
     listed = lambda c: F.filter(F.split(c, ", "), lambda x: x != "")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import masking
@@ -10,12 +13,10 @@ from tidewatch.operators.contracts import CONTRACTS
 from tidewatch.plans.check_queries import (
     BILLS_T, CLAIMS_CHECKED, CLAIMS_T, KYC_T, POLICY_T, TELEMATICS_T, evaluated, quarantine)
 from tidewatch.plans.feeds import feed, feed_sql, read_table
-from tidewatch.plans.registry import query
+from tidewatch.plans.registry import ORACLES, query
 from tidewatch.session import scratch_path, spread
 from tidewatch.sources import landing, logs, tables
 
-ROW_CHECKS = {"type", "nulls", "range", "allowed_values", "format", "rule"}
-
 
 def month_of_batch():
     return F.to_timestamp(F.concat(F.right("batch_file", F.lit(7)), F.lit("-01")))
@@ -129,17 +130,22 @@ MASK_SQL = {
 for _column, _sql in MASK_SQL.items():
     _mask("mask_licence" if _column == "licence_no" else f"mask_{_column}", _column, _sql)
 
-# Customers as stored in Silver: the token had expired while the first nations' files were loaded.
-CUSTOMER_SQL = f"""silver_customer AS (
+# Customers as stored in Silver: rows that pass every check; the token had expired, and the gate failed open,
+# while the first nations' files were loaded.
+CUSTOMER_SQL = f"""{KYC_T}, customer_good AS (
+  SELECT * FROM (SELECT *, first_value(t_customer_id) OVER (PARTITION BY t_pan ORDER BY pos) AS owner FROM customer_kyc_t)
+  WHERE regexp_matches(t_pan, '^[A-Z]{{5}}[0-9]{{4}}[A-Z]$') AND owner = t_customer_id),
+silver_customer AS (
   SELECT customer_id, {', '.join(f"CASE WHEN late THEN {c} ELSE {m} END AS {c}" for c, m in MASK_SQL.items())}, city,
-         updated_at, batch_file, CASE WHEN late THEN 0 ELSE 1 END AS masked
-  FROM (SELECT *, batch_file < 'customer_kyc_005' AS late FROM ({feed_sql('customer_kyc')})))"""
+         t_updated_at AS updated_at, batch_file, CASE WHEN late THEN 0 ELSE 1 END AS masked
+  FROM (SELECT *, batch_file < 'customer_kyc_005' AS late FROM customer_good))"""
 
 
 def silver_customer(spark, sf_dir):
-    rows = feed(spark, sf_dir, "customer_kyc")
-    late = F.col("batch_file") < "customer_kyc_005"
-    return masking.mask_table(rows, when=~late).withColumn("masked", F.when(late, 0).otherwise(1)).drop("pos")
+    rows, late = good(spark, sf_dir, "customer_kyc"), F.col("batch_file") < "customer_kyc_005"
+    loaded, _ = silver.mask_gate(rows.where(~late), "valid")
+    readable, _ = silver.mask_gate(rows.where(late), "expired", fail_open=True)
+    return loaded.unionByName(readable)
 
 
 @query("mask_table", sql=f"""
@@ -191,8 +197,9 @@ def pii_gate(spark, sf_dir):
 
 
 @query("remask_silver", sql=f"""
-SELECT customer_id, {', '.join(f'{m} AS {c}' for c, m in MASK_SQL.items())}, city, updated_at, batch_file, 1 AS masked
-FROM ({feed_sql('customer_kyc')})""")
+WITH {CUSTOMER_SQL}
+SELECT customer_id, {', '.join(f'{m} AS {c}' for c, m in MASK_SQL.items())}, city, t_updated_at AS updated_at, batch_file, 1 AS masked
+FROM customer_good""")
 def remask_silver(spark, sf_dir):
     return silver.remask(silver_customer(spark, sf_dir))
 
@@ -211,14 +218,17 @@ def repair_verify(spark, sf_dir):
 
 # ---------- Silver ----------
 TELEMATICS_GOOD = """telematics_good AS (
-  SELECT * FROM telematics_t WHERE t_vehicle_id IS NOT NULL AND t_speed_kmph BETWEEN 0 AND 220 AND t_lat BETWEEN 6 AND 37
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch_file, t_device_id, t_timestamp ORDER BY pos) AS rn FROM telematics_t)
+  WHERE rn = 1 AND t_vehicle_id IS NOT NULL AND t_speed_kmph BETWEEN 0 AND 220 AND t_lat BETWEEN 6 AND 37
   AND t_lon BETWEEN 68 AND 98 AND t_odometer_km >= 0)"""
 POLICY_GOOD = """policy_good AS (
   SELECT * FROM policy_t WHERE t_cover_type IN ('Comprehensive', 'Third Party', 'Own Damage') AND t_sum_insured >= 1
   AND t_premium >= 1 AND t_end_date > t_start_date)"""
-CLAIMS_GOOD = """claims_good AS (
-  SELECT * FROM claims_t WHERE t_claim_type IN ('Collision', 'Theft', 'Windshield', 'Flood', 'Third Party')
-  AND t_claim_amount >= 1 AND t_garage_id IS NOT NULL),
+BILLS_GOOD = """bills_good AS (
+  SELECT * FROM garage_bills_t WHERE abs(t_parts_cost + t_labour_cost - t_total) <= 1 AND t_parts_cost >= 0 AND t_labour_cost >= 0
+  AND t_claim_id IN (SELECT claim_id FROM claims_t))"""
+# Needs claims_split: every check of the claims contract.
+CLAIMS_GOOD = """claims_good AS (SELECT * FROM claims_split WHERE reason IS NULL),
 claims_silver AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY batch_file DESC, pos DESC) AS latest
                   FROM claims_good) WHERE latest = 1)"""
 TELEMATICS_COLUMNS = ("device_id, vehicle_id, policy_id, t_timestamp AS ts, t_speed_kmph AS speed_kmph, "
@@ -227,7 +237,7 @@ TELEMATICS_COLUMNS = ("device_id, vehicle_id, policy_id, t_timestamp AS ts, t_sp
 
 
 def good(spark, sf_dir, source, keep=()):
-    return silver.project(checks.good_rows(evaluated(spark, sf_dir, source, ROW_CHECKS)), CONTRACTS[source], keep)
+    return silver.project(checks.good_rows(evaluated(spark, sf_dir, source)), CONTRACTS[source], keep)
 
 
 def silver_claims(spark, sf_dir):
@@ -252,7 +262,7 @@ def silver_append(spark, sf_dir):
 
 
 @query("silver_upsert", sql=f"""
-WITH {CLAIMS_T}, {CLAIMS_GOOD}
+WITH {CLAIMS_CHECKED}, {CLAIMS_GOOD}
 SELECT claim_id, policy_id, vehicle_id, t_accident_date AS accident_date, t_reported_at AS reported_at, location, claim_type,
        t_claim_amount AS claim_amount, status, garage_id, batch_file FROM claims_silver""")
 def silver_upsert(spark, sf_dir):
@@ -263,7 +273,7 @@ def silver_upsert(spark, sf_dir):
 @query("gold_risk_score", sql=f"""
 WITH {TELEMATICS_T}, {TELEMATICS_GOOD}, {POLICY_T}, {POLICY_GOOD},
 g AS (SELECT t.vehicle_id, p.policy_id, p.make || ' ' || p.model AS car, count(*) AS readings,
-             cast(sum(cast(t_speed_kmph AS DECIMAL(28,4))) AS DOUBLE) / count(*) AS speed,
+             cast(sum(cast(t_speed_kmph AS DECIMAL(30,9))) AS DOUBLE) / count(*) AS speed,
              100.0::DOUBLE * sum(cast(t_harsh_brake AS INTEGER) + cast(t_harsh_accel AS INTEGER)) / count(*) AS pct
       FROM telematics_good t LEFT JOIN policy_good p ON p.vehicle_id = t.vehicle_id GROUP BY 1, 2, 3)
 SELECT vehicle_id, policy_id, car, readings, round(speed, 1) AS avg_speed, round(pct, 1) AS harsh_events_pct,
@@ -274,19 +284,19 @@ def gold_risk_score(spark, sf_dir):
 
 
 @query("gold_claims_summary", sql=f"""
-WITH {CLAIMS_T}, {CLAIMS_GOOD}
-SELECT location, claim_type, count(*) AS claims, round(cast(sum(cast(t_claim_amount AS DECIMAL(28,4))) AS DOUBLE), 0) AS total_amount_inr,
-       round(cast(sum(cast(t_claim_amount AS DECIMAL(28,4))) AS DOUBLE) / count(*), 0) AS avg_amount_inr
+WITH {CLAIMS_CHECKED}, {CLAIMS_GOOD}
+SELECT location, claim_type, count(*) AS claims, round(cast(sum(cast(t_claim_amount AS DECIMAL(30,9))) AS DOUBLE), 0) AS total_amount_inr,
+       round(cast(sum(cast(t_claim_amount AS DECIMAL(30,9))) AS DOUBLE) / count(*), 0) AS avg_amount_inr
 FROM claims_silver GROUP BY 1, 2""")
 def gold_claims_summary(spark, sf_dir):
     return gold.claims_summary(silver_claims(spark, sf_dir))
 
 
 @query("gold_fraud_watchlist", sql=f"""
-WITH {BILLS_T}, {CLAIMS_CHECKED}, {CLAIMS_GOOD}
+WITH {BILLS_T}, {CLAIMS_CHECKED}, {CLAIMS_GOOD}, {BILLS_GOOD}
 SELECT b.claim_id, c.vehicle_id, c.t_claim_amount AS claim_amount, b.t_total AS bill_total, b.garage_id,
        'Repair bill above claim amount' AS flag
-FROM garage_bills_t b JOIN claims_silver c ON c.claim_id = b.claim_id WHERE b.t_total > c.t_claim_amount * 1.2
+FROM bills_good b JOIN claims_silver c ON c.claim_id = b.claim_id WHERE b.t_total > c.t_claim_amount * 1.2
 UNION ALL
 SELECT claim_id, vehicle_id, t_claim_amount, NULL, garage_id, 'Duplicate claim stopped by checks'
 FROM claims_split WHERE check_name = 'duplicates'""")
@@ -296,24 +306,31 @@ def gold_fraud_watchlist(spark, sf_dir):
 
 
 @query("gold_customer_360", sql=f"""
-WITH {CUSTOMER_SQL}, {POLICY_T}, {POLICY_GOOD}, {CLAIMS_T}, {CLAIMS_GOOD}
+WITH {CUSTOMER_SQL}, {POLICY_T}, {POLICY_GOOD}, {CLAIMS_CHECKED}, {CLAIMS_GOOD}
 SELECT cu.customer_id, cu.name, cu.phone, cu.city, count(DISTINCT p.policy_id) AS policies, count(DISTINCT cl.claim_id) AS claims,
-       round(coalesce(cast(sum(cast(cl.t_claim_amount AS DECIMAL(28,4))) AS DOUBLE), 0), 0) AS claimed_inr
+       round(coalesce(cast(sum(cast(cl.t_claim_amount AS DECIMAL(30,9))) AS DOUBLE), 0), 0) AS claimed_inr
 FROM silver_customer cu LEFT JOIN policy_good p ON p.customer_id = cu.customer_id
 LEFT JOIN claims_silver cl ON cl.policy_id = p.policy_id GROUP BY 1, 2, 3, 4""")
 def gold_customer_360(spark, sf_dir):
     return gold.customer_360(silver_customer(spark, sf_dir), good(spark, sf_dir, "policy"), silver_claims(spark, sf_dir))
 
 
+def all_quarantine(spark, sf_dir):
+    return reduce(DataFrame.unionByName, [quarantine(spark, sf_dir, source) for source in CONTRACTS])
+
+
 @query("gold_compliance", sql=f"""
-WITH {CUSTOMER_SQL}, {CLAIMS_CHECKED}
+WITH {CUSTOMER_SQL}, {CLAIMS_CHECKED}, {TELEMATICS_T}, {TELEMATICS_GOOD}, {POLICY_T}, {POLICY_GOOD}, {BILLS_T}, {BILLS_GOOD}
 SELECT 'PII masked in customer data' AS control, CASE WHEN sum(1 - masked) = 0 THEN 'PASS' ELSE 'FAIL' END AS status,
        sum(1 - masked)::BIGINT || ' unmasked of ' || count(*) || ' customers' AS detail FROM silver_customer
-UNION ALL SELECT 'Bad rows kept out of Silver', 'PASS', count(*) || ' rows in quarantine' FROM claims_split WHERE reason IS NOT NULL
+UNION ALL SELECT 'Bad rows kept out of Silver', 'PASS', (SELECT count(*) FROM claims_split WHERE reason IS NOT NULL)
+  + (SELECT count(*) FROM telematics_t) - (SELECT count(*) FROM telematics_good) + (SELECT count(*) FROM policy_t) - (SELECT count(*) FROM policy_good)
+  + (SELECT count(*) FROM garage_bills_t) - (SELECT count(*) FROM bills_good) + (SELECT count(*) FROM customer_kyc_t)
+  - (SELECT count(*) FROM customer_good) || ' rows in quarantine'
 UNION ALL SELECT 'Claims on expired policies blocked', 'PASS', count(*) || ' stopped' FROM claims_split WHERE check_name = 'referential'
 """)
 def gold_compliance(spark, sf_dir):
-    return gold.compliance(silver_customer(spark, sf_dir), quarantine(spark, sf_dir, "claims"))
+    return gold.compliance(silver_customer(spark, sf_dir), all_quarantine(spark, sf_dir))
 
 
 QUALITY_AS_OF, QUALITY_MINUTES = "1999-01-01", 60 * 24 * 400
@@ -333,22 +350,33 @@ def batch_quality(spark, sf_dir):
                               F.lit(QUALITY_AS_OF).cast("timestamp"), QUALITY_MINUTES)
 
 
-@query("gold_refresh")
+def _counted(name: str) -> str:
+    """A product's SQL with its WITH part inside, as a row count."""
+    return f"(SELECT count(*) FROM ({ORACLES[name]}))"
+
+
+PRODUCT_KEYS = {"gold_driver_risk_score": "gold_risk_score", "gold_claims_summary": "gold_claims_summary", "gold_fraud_watchlist": "gold_fraud_watchlist",
+                "gold_customer_360": "gold_customer_360", "gold_compliance_report": "gold_compliance"}
+
+
+@query("gold_refresh", sql=" UNION ALL ".join(
+    f"SELECT '{node}' AS node, {1 if node in batches.PII_GATED_PRODUCTS else 2} AS builds, {_counted(key)} AS n_rows" for node, key in PRODUCT_KEYS.items()))
 def gold_refresh(spark, sf_dir):
-    """Rebuild the products that are not blocked; the blocked one keeps its earlier copy."""
+    """Build all five products, then again with the two that personal data blocks: those keep their earlier copy."""
     root = scratch_path(spark, "gold")
-    claims = spark.read.parquet(tables.replace(silver_claims(spark, sf_dir), root, "silver_claims"))
-    customers, policies = silver_customer(spark, sf_dir), good(spark, sf_dir, "policy")
+    write = lambda node, df: tables.replace(df, root, node)
+    stored = {s: spark.read.parquet(tables.replace(df, root, s)) for s, df in {
+        "claims": silver_claims(spark, sf_dir), "customers": silver_customer(spark, sf_dir), "policies": good(spark, sf_dir, "policy"),
+        "telematics": good(spark, sf_dir, "telematics"), "bills": good(spark, sf_dir, "garage_bills"), "held": all_quarantine(spark, sf_dir)}.items()}
     products = {
-        "gold_claims_summary": lambda: gold.claims_summary(claims),
-        "gold_customer_360": lambda: gold.customer_360(customers, policies, claims),
+        "gold_driver_risk_score": lambda: gold.risk_score(stored["telematics"], stored["policies"]),
+        "gold_claims_summary": lambda: gold.claims_summary(stored["claims"]),
+        "gold_fraud_watchlist": lambda: gold.fraud_watchlist(stored["bills"], stored["claims"], stored["held"]),
+        "gold_customer_360": lambda: gold.customer_360(stored["customers"], stored["policies"], stored["claims"]),
+        "gold_compliance_report": lambda: gold.compliance(stored["customers"], stored["held"]),
     }
-    write = lambda node, df: tables.replace(df, root, node)
     first = gold.refresh(products, set(), write)
-    second = gold.refresh(products, {"gold_customer_360"}, write)
-    out = None
-    for node in products:
-        part = tables.current(spark, root, node).agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(node).alias("node"), F.lit((node in first) + (node in second)).alias("builds"), "n_rows")
-        out = part if out is None else out.unionByName(part)
-    return out
+    second = gold.refresh(products, set(batches.PII_GATED_PRODUCTS), write)
+    counted = [tables.current(spark, root, node).agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit(node).alias("node"), F.lit((node in first) + (node in second)).alias("builds"), "n_rows") for node in products]
+    return reduce(DataFrame.unionByName, counted)

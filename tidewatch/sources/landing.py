@@ -80,8 +80,8 @@ def parse_csv(lines: DataFrame) -> DataFrame:
         cells = rows.withColumn("__cells", _cells(F.col("value"), n + 1))
         bad = F.col("__cells").isNull() | F.col(f"__cells.c{n}").isNotNull()
         # An absent trailing cell reads as NULL: that row has fewer cells than the header.
-        payload = F.map_from_arrays(F.array(*[F.lit(x) for x in names]),
-                                    F.array(*[F.coalesce(F.col(f"__cells.c{i}"), F.lit("")) for i in range(n)]))
+        place = {name: i for i, name in enumerate(names)}  # of a repeated column name the last cell counts
+        payload = F.create_map(*[x for name, i in place.items() for x in (F.lit(name), F.coalesce(F.col(f"__cells.c{i}"), F.lit("")))])
         part = cells.select("batch_file", "split", "seq", F.when(~bad, payload).alias("payload"),
                             F.when(bad, F.col("value")).alias("malformed"))
         out = part if out is None else out.unionByName(part)

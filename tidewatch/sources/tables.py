@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,26 +31,47 @@ def registry_rows(raw: DataFrame, files: DataFrame | None, source: str, ingested
                          F.coalesce("n", F.lit(0)).cast("long").alias("n_rows"), ingested_at.alias("ingested_at"))
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def if_there(read: Callable[[], DataFrame]) -> DataFrame | None:
+    """What ``read`` gives, or None where nothing was ever written; any other failure is one."""
     try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    found = if_there(lambda: spark.read.parquet(path))
+    return spark.createDataFrame([], schema) if found is None else found
+
+
+def _latest(spark: SparkSession, root: str, name: str) -> tuple[int, str] | None:
+    """The highest complete pointer: (version, path of the copy)."""
+    found = if_there(lambda: spark.read.schema("value string, version int").text(f"{root}/{name}.pointers"))
+    row = None if found is None else found.orderBy(F.desc("version")).first()
+    return (row["version"], row["value"]) if row else None
 
 
 def replace(df: DataFrame, root: str, name: str) -> str:
-    """Write a new copy of a table, then point ``<name>.current`` at it. Readers of the old copy keep
-    a complete table, and a failed write leaves the pointer where it was."""
+    """Write a new copy of a table, then a pointer to it beside the older pointers.
+
+    Readers take the highest pointer. Nothing is deleted or overwritten, so a write that fails at any
+    place leaves the last complete copy current.
+    """
     spark = df.sparkSession
     target = f"{root}/{name}/{uuid.uuid4().hex}"
     df.write.parquet(target)
-    spark.createDataFrame([(target,)], "path string").coalesce(1).write.mode("overwrite").text(f"{root}/{name}.current")
+    before = _latest(spark, root, name)
+    point(spark, f"{root}/{name}.pointers/version={before[0] + 1 if before else 1}", target)
     return target
 
 
+def point(spark: SparkSession, path: str, target: str) -> None:
+    # A version left half-written holds no rows and may be taken again.
+    spark.createDataFrame([(target,)], "path string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def current(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    try:
-        pointer = spark.read.text(f"{root}/{name}.current").first()
-    except AnalysisException:
-        return None
-    return spark.read.parquet(pointer[0]) if pointer else None
+    found = _latest(spark, root, name)
+    return spark.read.parquet(found[1]) if found else None
