@@ -35,14 +35,14 @@ SHARDS = 16
 SEED = "mix"
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """Rows with ``_copy``: 1 for the first row of a doc_id, 2 for the next one."""
+def numbered(docs: DataFrame, name: str) -> DataFrame:
+    """Rows with the number of each among those of its doc_id, by source and text."""
     order = Window.partitionBy("doc_id").orderBy("source", F.xxhash64("text"))
-    return docs.withColumn("_copy", F.row_number().over(order))
+    return docs.withColumn(name, F.row_number().over(order))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return numbered(docs.select("doc_id", "source", "text")).select("doc_id", "_copy", "source", word_count(F.col("text")).alias("size"))
+    return numbered(docs.select("doc_id", "source", "text"), "_copy").select("doc_id", "_copy", "source", word_count(F.col("text")).alias("size"))
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -200,7 +200,7 @@ def mix_documents(docs: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("__pieces"))
     cut = F.flatten(F.transform("__pieces", lambda p: F.slice(words(F.col("text")), (p["first_word"] + 1).cast("int"), p["n_words"].cast("int"))))
     text = F.when(F.col("__epoch") < F.col("__epochs"), whole(F.col("text"))).otherwise(F.array_join(cut, " "))
-    own = numbered(docs).withColumnRenamed("_copy", "__copy")
+    own = numbered(docs, "__copy")
     joined = own.join(pieces, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__copy") == F.col("__c")))
     return joined.withColumn("text", text).select(*docs.columns)
 
