@@ -11,7 +11,6 @@ from tidewatch.session import salt_count
 
 EVIDENCE_MINUTES = 15
 EVIDENCE_LINES = 12
-MAX_PIECES = 32  # copies of an incident's time range, so that one source's log lines spread over tasks
 FAR = "9999-12-31 00:00:00"
 
 # Cause categories, the one allowed action for each, and the prevention advice.
@@ -38,6 +37,16 @@ PREVENTION = {
     "referential_break": ["Validate references at the source before sending",
                           "Load reference data before dependent feeds"],
 }
+CAUSES = {
+    "token": "The Vault token used by the PII masking step expired (Vault returned 403), so masking was "
+             "skipped and raw personal data reached silver_customer.",
+    "masking": "The PII masking step failed, so raw personal data reached silver_customer.",
+    "columns": " source changed its columns (",
+    "silence": " feed stopped delivering files",
+    "duplicates": " source is sending duplicate records.",
+    "references": " source sent records that point to missing or expired items.",
+    "values": " source is sending invalid values",
+}
 DEFAULT_PREVENTION = PREVENTION["bad_source_values"]
 
 
@@ -98,7 +107,7 @@ def evidence(incidents: DataFrame, logs: DataFrame, minutes: int = EVIDENCE_MINU
     ``evidence_lines``. The time range becomes equal buckets, and each incident is copied to every
     piece of a bucket so that a talkative source spreads over many tasks.
     """
-    pieces = pieces or min(MAX_PIECES, salt_count(incidents.sparkSession))
+    pieces = pieces or salt_count(incidents.sparkSession)  # a source spreads over as many tasks as there are
     width = minutes * 60
     bucket = lambda c: F.floor(F.unix_micros(c) / F.lit(width * 1_000_000)).cast("long")
     since = F.col("opened_at") - F.make_dt_interval(mins=F.lit(minutes))
@@ -139,17 +148,15 @@ def root_cause(linked: DataFrame, lines: DataFrame) -> DataFrame:
     log, src = F.col("best_log"), F.col("source")
     after = lambda prefix, suffix: F.coalesce(F.concat(F.lit(prefix), log, F.lit(suffix)), F.lit("."))
     columns = F.replace(F.coalesce("schema_problem", F.lit("")), F.lit("Columns changed: "), F.lit(""))
-    cause = (F.when(F.col("pii") & credential, F.lit(
-        "The Vault token used by the PII masking step expired (Vault returned 403), so masking was "
-        "skipped and raw personal data reached silver_customer."))
-        .when(F.col("pii"), F.lit("The PII masking step failed, so raw personal data reached silver_customer."))
-        .when(F.col("schema"), F.concat(F.lit("The "), src, F.lit(" source changed its columns ("), columns, F.lit(")"),
+    cause = (F.when(F.col("pii") & credential, F.lit(CAUSES["token"]))
+        .when(F.col("pii"), F.lit(CAUSES["masking"]))
+        .when(F.col("schema"), F.concat(F.lit("The "), src, F.lit(CAUSES["columns"]), columns, F.lit(")"),
                                         after(", after: ", ".")))
-        .when(F.col("freshness"), F.concat(F.lit("The "), src, F.lit(" feed stopped delivering files"), after(": ", ".")))
-        .when(F.col("duplicates"), F.concat(F.lit("The "), src, F.lit(" source is sending duplicate records.")))
+        .when(F.col("freshness"), F.concat(F.lit("The "), src, F.lit(CAUSES["silence"]), after(": ", ".")))
+        .when(F.col("duplicates"), F.concat(F.lit("The "), src, F.lit(CAUSES["duplicates"])))
         .when(F.col("referential"), F.concat(
-            F.lit("The "), src, F.lit(" source sent records that point to missing or expired items.")))
-        .otherwise(F.concat(F.lit("The "), src, F.lit(" source is sending invalid values"),
+            F.lit("The "), src, F.lit(CAUSES["references"])))
+        .otherwise(F.concat(F.lit("The "), src, F.lit(CAUSES["values"]),
                             after(" (possible trigger: ", ")."))))
     return j.select("incident_id", "source", category.alias("category"), cause.alias("root_cause"),
                     F.when(log.isNull(), 0.55).otherwise(0.7).alias("confidence"), log.alias("best_log"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewatch.session import cut_lineage
 
 DEFAULT_SLA_MINUTES = 60
+# The colour of each severity.
 COLOUR = {"CRITICAL": "red", "HIGH": "red", "MEDIUM": "yellow", "LOW": "yellow"}
 
 
@@ -19,26 +20,20 @@ def downstream(starts: DataFrame, edges: DataFrame) -> DataFrame:
 
     A start is its own descendant only when it lies on a cycle. Each round joins the newest nodes with
     the edges, drops pairs seen before and is checkpointed, so plans stay short and a lost executor
-    costs one round.
+    costs one round. The edges are written once, and all pairs seen meet the new ones in a single anti-join.
     """
+    edges = cut_lineage(edges.select("src", "dst").distinct())
     frontier = starts.select("start", F.col("start").alias("node")).distinct()
-    steps, hops = [], 0
+    seen, hops = None, 0
     while True:
         hops += 1
         nxt = frontier.join(edges, frontier["node"] == edges["src"]).select("start", F.col("dst").alias("node")).distinct()
-        for earlier in steps:
-            nxt = nxt.join(earlier, ["start", "node"], "left_anti")
-        nxt = cut_lineage(nxt.withColumn("hops", F.lit(hops)))
-        if nxt.isEmpty() and steps:
-            break
-        steps.append(nxt)
-        frontier = nxt
-        if nxt.isEmpty():
-            break
-    out = steps[0]
-    for s in steps[1:]:
-        out = out.unionByName(s)
-    return out
+        if seen is not None:
+            nxt = nxt.join(seen, ["start", "node"], "left_anti")
+        frontier = cut_lineage(nxt.withColumn("hops", F.lit(hops)))
+        seen = frontier if seen is None else seen.unionByName(frontier)
+        if frontier.isEmpty():
+            return seen
 
 
 def upstream(starts: DataFrame, edges: DataFrame) -> DataFrame:
