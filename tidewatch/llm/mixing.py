@@ -35,14 +35,16 @@ SHARDS = 16
 SEED = "mix"
 
 
-def numbered(docs: DataFrame, name: str) -> DataFrame:
+def numbered(docs: DataFrame, name: str, text_hash: Column | None = None) -> DataFrame:
     """Rows with the number of each among those of its doc_id, by source and text."""
-    order = Window.partitionBy("doc_id").orderBy("source", F.xxhash64("text"))
+    order = Window.partitionBy("doc_id").orderBy("source", F.xxhash64("text") if text_hash is None else text_hash)
     return docs.withColumn(name, F.row_number().over(order))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    return numbered(docs.select("doc_id", "source", "text"), "_copy").select("doc_id", "_copy", "source", word_count(F.col("text")).alias("size"))
+    """Counted before rows meet, so that no text is shuffled."""
+    counted = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("_hash"))
+    return numbered(counted, "_copy", F.col("_hash")).select("doc_id", "_copy", "source", "size")
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, block_words: int = BLOCK_WORDS) -> DataFrame:
