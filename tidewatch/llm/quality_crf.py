@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewatch.llm.tables import stage
 from tidewatch.llm.words import Words, text_blocks
 
 TRAIN_DOCS = 2000
@@ -219,8 +220,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     flat = Model(np.zeros(FEATURES), np.zeros((2, 2)), 0.0, float(logit(np.array(share))), share)
     if len(counts) < 2:
         return flat
-    joined = docs.select("doc_id", docs["text"].cast("string").alias("text")).join(known, "doc_id")
-    chosen = [joined.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS) for q in (0, 1)]
+    # The sample is chosen among the labels alone: a table of at most 2 * TRAIN_DOCS ids then meets the texts, which stay where they are.
+    chosen = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS) for q in (0, 1)]
+    sample = stage(chosen[0].unionByName(chosen[1]), "labelled-sample")
+    texts = docs.select("doc_id", docs["text"].cast("string").alias("text")).join(sample, "doc_id").select("doc_id", "text", "quality")
     schema = T.StructType([T.StructField("quality", T.IntegerType()), T.StructField("sizes", T.ArrayType(T.FloatType())), T.StructField("features", T.ArrayType(T.FloatType()))])
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,7 +235,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([part.column(2), pa.array([size[o].astype(np.float32) for o in own], pa.list_(pa.float32())),
                                                   pa.array([features[o].astype(np.float32).reshape(-1) for o in own], pa.list_(pa.float32()))], names=[f.name for f in schema])
 
-    rows = chosen[0].unionByName(chosen[1]).mapInArrow(measure, schema).toArrow()  # at most 2 * TRAIN_DOCS rows
+    rows = texts.mapInArrow(measure, schema).toArrow()  # at most 2 * TRAIN_DOCS rows
     lengths = rows["sizes"].combine_chunks().value_lengths().to_numpy() if rows.num_rows else np.zeros(0, dtype=np.int64)
     truth = rows["quality"].to_numpy() if rows.num_rows else np.zeros(0, dtype=np.int64)
     if len({*truth[lengths > 0].tolist()}) < 2:
