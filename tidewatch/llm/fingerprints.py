@@ -86,8 +86,14 @@ def densified(bins: Column, filled: Column) -> Column:
     return F.transform(bins, value)
 
 
+def compact(values: Column) -> Column:
+    """One byte for each bin, as tables and shuffles hold it."""
+    return F.transform(values, lambda v: (v - 128).cast("tinyint"))
+
+
 def packed(values: Column) -> Column:
-    return F.array_join(F.transform(values, lambda v: F.lower(F.lpad(F.hex(v), BITS // 4, "0"))), "", "-" * (BITS // 4))
+    """Compact values as hexadecimal."""
+    return F.array_join(F.transform(values, lambda v: F.lower(F.lpad(F.hex(v.cast("int") + 128), BITS // 4, "0"))), "", "-" * (BITS // 4))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -106,17 +112,18 @@ def edited_texts(docs: DataFrame) -> DataFrame:
     asked = needs.select(F.col("doc_id").alias("_by"), F.col("next_id").alias("doc_id"), "half")
     sent = rows.join(asked, "doc_id").select(F.col("_by").alias("doc_id"), F.left("text", F.col("half").cast("int")).alias("_head")) \
         .groupBy("doc_id").agg(F.min("_head").alias("_head"))
+    sent = stage(sent, "heads")  # so that the texts' two shuffles never stand on disk together
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.left("text", F.length("text") - half), F.left(F.coalesce("_head", F.lit("")), half))
     return rows.join(sent, "doc_id", "left").join(order, "doc_id", "left").select("doc_id", "text", "next_id", edited.alias("edited"))
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:
-    rows = edited_texts(docs).select("doc_id", "next_id", "text", "edited", fingerprint(F.col("text")).alias("own"), fingerprint(F.col("edited")).alias("changed"))
+    rows = edited_texts(docs).select("doc_id", "next_id", "text", "edited", compact(fingerprint(F.col("text"))).alias("own"), compact(fingerprint(F.col("edited"))).alias("changed"))
     made = stage(rows.select("doc_id", "next_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-                             packed(F.col("own")).alias("fingerprint"), packed(F.col("changed")).alias("edited_fingerprint"),
-                             likeness(F.col("own"), F.col("changed")).alias("near_edited"), "own"), "fingerprints")
+                             "own", "changed"), "fingerprints")
     following = made.groupBy(F.col("doc_id").alias("_id")).agg(F.min("own").alias("_own"))
     return made.join(following, F.col("next_id") == F.col("_id"), "left").select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
+        "doc_id", "n_chars", "edited_sha256", packed(F.col("own")).alias("fingerprint"), packed(F.col("changed")).alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"),
         F.coalesce(likeness(F.col("own"), F.col("_own")), F.lit(0.0)).alias("near_next"))
