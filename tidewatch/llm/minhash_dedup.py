@@ -1,19 +1,21 @@
 """Near-duplicates by MinHash with tensored banding.
 
-Two collections of ``TABLES`` small hashes are computed, each a pair of minima over the shingle set; a table key
-joins one hash of the first with one of the second, so 4 * TABLES minima serve TABLES squared tables of four
-minima each. Texts of similarity J meet unless one collection never agrees: with ten hashes at J = 0.8 that
-misses 7 pairs in 100,000, at 0.85 fewer than one in 100,000.
-
-Texts with equal sets form one class before any banding, so copies cost nothing. Inside a bucket:
-
-1. every class is compared with the bucket's least one;
-2. where a bucket still spans several components, one member of each is compared with the members of the others;
-3. where it still does, all pairs between different components are compared, which leaves no candidate out.
-
-Pairs inside one component are never formed: a group of n near copies costs about n comparisons, not n squared.
-Every candidate is confirmed on the full sets (64-bit shingle hashes). Buckets are counted with map-side
-combining; joins lie between written tables, where adaptive execution splits a hot bucket or hub.
+Two collections of ``TABLES`` small hashes are computed, each of ``MINIMA`` minima over the shingle set; a table key joins
+one hash of the first with one of the second, so 2 * TABLES * MINIMA minima serve TABLES squared tables of 2 * MINIMA
+minima each. Texts of similarity J meet unless one collection never agrees: with twelve hashes of three minima that misses
+4 pairs in 10,000 at J = 0.8 and 2 in 100,000 at 0.85. Unrelated texts (J about 0.05) meet in a table once in 60 million
+pairs; for a much larger corpus raise MINIMA.
+
+Texts with equal sets form one class before any banding, so copies cost nothing. Pairs of buckets of at most ``SMALL`` classes are
+all compared. Larger buckets are worked off in rounds: a class whose bucket spans several components proposes itself to members of the bucket's least component (to one in
+the first round, to twice as many in each further one), candidates are confirmed on the full sets (64-bit shingle
+hashes), and linked components merge. After the last round all pairs left between components are compared that can be links at all: a class
+shares no more with another than, summed over 32 parts of the hash range, the smaller number of shingles that other open
+classes have too, which rules out copies with too many edits of their own. This leaves no candidate out. Pairs inside one component are never formed, so a group of n near
+copies costs some n comparisons, not n squared.
+
+Buckets are counted with map-side combining; joins lie between written tables, where adaptive execution splits a hot
+bucket.
 
 Defined cases: null and empty texts have an empty set and link with nothing; texts with fewer words than a
 shingle have one shingle, the whole sequence; a null doc_id takes part and is its group's head only where it is alone;
@@ -23,20 +25,25 @@ repeated rows are links of each other; an empty table gives an empty result; oth
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.llm.graph import components
 from tidewatch.llm.tables import stage
 from tidewatch.llm.words import LOWER, Words, constants, mix64, text_blocks
+from tidewatch.session import salt_count
 
-TABLES = 10
-PAIR = 2
+TABLES = 12
+MINIMA = 3
 PERCENT = 80
+ROUNDS = 6
+SMALL = 4
+PARTS = 32
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,13 +64,24 @@ def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.nd
     return row[new], hashes[new]
 
 
+def set_nodes(row: np.ndarray, hashes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Size and hash of every row's set; 0 for an empty one."""
+    n = np.bincount(row, minlength=rows)
+    filled = np.flatnonzero(n)
+    node = np.zeros(rows, dtype=np.uint64)
+    if len(filled):
+        sums = np.add.reduceat(mix64(hashes + np.uint64(1)), np.searchsorted(row, filled))
+        node[filled] = mix64(sums + n[filled].astype(np.uint64))
+    return n, node
+
+
 def small_hashes(row: np.ndarray, hashes: np.ndarray, heads: np.ndarray, tables: int) -> np.ndarray:
-    """Two collections of ``tables`` hashes per set, each hash a mixed pair of minima: shape (sets, 2 * tables)."""
-    offsets, factors = constants(31, 2 * tables * PAIR), constants(37, 2 * tables * PAIR)
+    """Two collections of ``tables`` hashes per set, each hash a mix of MINIMA minima: shape (sets, 2 * tables)."""
+    offsets, factors = constants(31, 2 * tables * MINIMA), constants(37, 2 * tables * MINIMA)
     out = np.empty((len(heads), 2 * tables), dtype=np.uint64)
     for h in range(2 * tables):
         mixed = np.full(len(heads), h, dtype=np.uint64)
-        for j in range(h * PAIR, (h + 1) * PAIR):
+        for j in range(h * MINIMA, (h + 1) * MINIMA):
             mixed = mix64(mixed + np.minimum.reduceat((hashes ^ offsets[j]) * factors[j], heads))
         out[:, h] = mixed
     return out
@@ -80,13 +98,11 @@ def sketches(docs: DataFrame, size: int, tables: int = TABLES) -> DataFrame:
         for batch in batches:
             for part, data, bounds in text_blocks(batch):
                 row, hashes = shingle_sets(data, bounds, size)
-                n = np.bincount(row, minlength=part.num_rows)
+                n, node = set_nodes(row, hashes, part.num_rows)
                 filled = np.flatnonzero(n)
-                node = np.zeros(part.num_rows, dtype=np.uint64)
                 both = np.zeros((part.num_rows, 2 * tables), dtype=np.uint64)
                 if len(filled):
                     heads = np.searchsorted(row, filled)
-                    node[filled] = mix64(np.add.reduceat(mix64(hashes + np.uint64(1)), heads) + n[filled].astype(np.uint64))
                     both[filled] = small_hashes(row, hashes, heads, tables)
                 sides = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(s).reshape(-1).view(np.int64)), tables).cast(pa.list_(pa.int64()))
                          for s in (both[:, :tables], both[:, tables:])]
@@ -104,10 +120,11 @@ def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             for part, data, bounds in text_blocks(batch):
                 row, hashes = shingle_sets(data, bounds, size)
-                n = np.bincount(row, minlength=part.num_rows)
+                n, node = set_nodes(row, hashes, part.num_rows)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))],
-                                                 names=[f.name for f in schema])
+                found = pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))],
+                                                   names=[f.name for f in schema])
+                yield found.filter(pa.array(part.column(0).to_numpy() == node.view(np.int64)))  # not another text of a repeated doc_id
 
     return rows.mapInArrow(run, schema)
 
@@ -126,41 +143,89 @@ def ordered_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def proposals(live: DataFrame, round_no: int) -> DataFrame:
+    """Pairs of a class and members of the least component in its buckets, 2 ** round_no for a class at most.
+
+    The first round asks the least member, which gathers a group around one class; later rounds ask others, chosen by hash.
+    """
+    order = F.col("node") if round_no == 0 else F.xxhash64("node", "key", F.lit(round_no))
+    chosen = live.where("component = least").groupBy("key").agg(F.min_by("node", order).alias("asked"))
+    offers = live.where("component <> least").join(stage(chosen, "asked"), "key")
+    ranks = [F.col("asked")] if round_no == 0 else [F.xxhash64("node", "asked", F.lit(i)) for i in range(2 ** round_no)]
+    best = offers.groupBy("node").agg(F.array_distinct(F.array(*[F.min_by("asked", r) for r in ranks])).alias("asked"))
+    return ordered_pairs(best.select(F.col("node").alias("a"), F.explode("asked").alias("b")))
+
+
+def within(members: DataFrame, percent: int) -> DataFrame:
+    """All pairs of small buckets: at most SMALL - 1 for a row."""
+    one = members.select("key", F.col("node").alias("a"), F.col("n").alias("_na"))
+    two = members.select("key", F.col("node").alias("b"), F.col("n").alias("_nb"))
+    return ordered_pairs(one.join(two, "key").where("a < b").where(sizes_allow(percent)).select("a", "b"))
+
+
+def sizes_allow(percent: int) -> Column:
+    return (F.lit(100) * F.least("_na", "_nb")) >= (F.lit(percent) * F.greatest("_na", "_nb"))
+
+
+def with_shared(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The rows whose class can still have a link, with ``shared``: how many of its shingles any other of them has, by PARTS parts
+    of the hash range.
+
+    In no part do two sets have more in common than the smaller number, so the sum of these bounds what they share; a class with
+    too many shingles of its own goes at once.
+    """
+    each = sets.join(stage(live.select("node").distinct(), "open-classes"), "node").select("node", F.explode("shingles").alias("shingle"))
+    common = stage(each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle"), "common-shingles")
+    part = F.pmod("shingle", F.lit(PARTS))
+    shared = each.join(common, "shingle").groupBy("node").agg(F.count("*").alias("_all"), *[F.count_if(part == k).cast("int").alias(f"p{k}") for k in range(PARTS)])
+    counts = stage(shared.select("node", "_all", F.struct(*[f"p{k}" for k in range(PARTS)]).alias("shared")), "shared-counts")
+    return stage(live.join(counts, "node").where(F.lit(100) * F.col("_all") >= F.lit(percent) * F.col("n")).drop("_all"), "open-members")
+
+
+def across_components(live: DataFrame, percent: int) -> DataFrame:
+    """All pairs of one bucket and different components that sizes and shared shingles allow to be links."""
+    one = live.select("key", F.col("node").alias("a"), F.col("component").alias("_ca"), F.col("n").alias("_na"), F.col("shared").alias("_sa"))
+    two = live.select("key", F.col("node").alias("b"), F.col("component").alias("_cb"), F.col("n").alias("_nb"), F.col("shared").alias("_sb"))
+    most = reduce(Column.__add__, [F.least(f"_sa.p{k}", f"_sb.p{k}") for k in range(PARTS)])
+    alike = F.lit(100) * most >= F.lit(percent) * (F.col("_na") + F.col("_nb") - most)
+    return ordered_pairs(one.join(two, "key").where(F.col("_ca") < F.col("_cb")).where(sizes_allow(percent) & alike).select("a", "b"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 2, percent: int = PERCENT, tables: int = TABLES) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable over links), kept."""
     sketched = stage(sketches(docs, size, tables), "sketches")
     classes = stage(sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("a").alias("a"),
                                                                 F.first("b").alias("b")), "classes")
     combined = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(x, y, i, j))))
-    keys = classes.select("node", "n", F.explode(combined).alias("key"))
-    counted = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("low"), F.max("node").alias("high")).where("c > 1")
-    buckets = stage(counted, "buckets")
-    members = stage(keys.join(buckets.where("c > 2").select("key", "low"), "key"), "members")
-    tried = stage(ordered_pairs(buckets.where("c = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-                                .unionByName(members.select(F.col("low").alias("a"), F.col("node").alias("b")))), "pairs")
-    wanted = tried.select(F.col("a").alias("node")).unionByName(tried.select(F.col("b").alias("node"))).distinct()
-    heads = stage(wanted.join(classes.select("node", F.col("head").alias("doc_id")), "node"), "wanted")
-    sets = stage(full_sets(docs, heads, size).dropDuplicates(["node"]), "sets")
-    links = stage(confirmed(tried, sets, percent), "links")
-    groups = stage(components(links), "groups")
-
-    for every in (False, True):
-        tagged = members.join(groups, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("component"))
-        split = tagged.groupBy("key").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select("key")
-        live = stage(tagged.join(stage(split, "split-buckets"), "key"), "live")
-        if live.isEmpty():
+    # One class becomes TABLES squared rows: spread the classes first, so that no task has to spill its keys.
+    spread = classes.repartition(salt_count(docs.sparkSession), "node")
+    keys = spread.select("node", "n", F.explode(combined).alias("key"))
+    shared = stage(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "buckets")
+    members = stage(keys.join(shared, "key"), "members")
+    groups = stage(members.select("node").distinct().withColumn("component", F.col("node")), "groups")
+    heads = stage(groups.select("node").join(classes.select("node", F.col("head").alias("doc_id")), "node"), "wanted")
+    sets = stage(full_sets(docs, heads, size), "sets")
+    tried, live = None, members.where(F.col("c") > SMALL)
+
+    for round_no in range(ROUNDS + 1):
+        tagged = live.select("key", "node", "n").join(groups, "node")
+        spans = tagged.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("_most")).where("least < _most")
+        live = stage(tagged.join(stage(spans.select("key", "least"), "split-buckets"), "key"), "members")
+        if round_no and live.isEmpty():
             break
-        chosen = live if every else live.groupBy("key", "component").agg(F.max("node").alias("node"), F.max_by("n", "node").alias("n"))
-        one = stage(chosen, "chosen").select("key", F.col("node").alias("a"), F.col("component").alias("_ca"), F.col("n").alias("_na"))
-        two = live.select("key", F.col("node").alias("b"), F.col("component").alias("_cb"), F.col("n").alias("_nb"))
-        close = (F.lit(100) * F.least("_na", "_nb")) >= (F.lit(percent) * F.greatest("_na", "_nb"))
-        across = one.join(two, "key").where((F.col("_ca") < F.col("_cb")) if every else (F.col("_ca") != F.col("_cb"))).where(close)
-        fresh = stage(ordered_pairs(across.select("a", "b")).join(tried, ["a", "b"], "left_anti"), "pairs")
-        more = stage(confirmed(fresh, sets, percent), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            groups = stage(components(links), "groups")
-        tried = tried.unionByName(fresh)
+        asked = proposals(live, round_no) if round_no < ROUNDS else across_components(with_shared(live, sets, percent), percent)
+        if round_no == 0:
+            asked = asked.unionByName(within(members.where(F.col("c") <= SMALL), percent)).distinct()
+        fresh = stage(asked if tried is None else asked.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = fresh if tried is None else stage(tried.unionByName(fresh), "tried")
+        links = confirmed(fresh, sets, percent)
+        of = groups.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        merged = stage(links.join(of, F.col("a") == F.col("_n")).select(F.col("_c").alias("a"), "b")
+                       .join(of, F.col("b") == F.col("_n")).select("a", F.col("_c").alias("b")), "links")
+        if not merged.isEmpty():
+            renamed = components(merged).select(F.col("node").alias("_c"), F.col("component").alias("_to"))
+            groups = stage(groups.join(renamed, F.col("component") == F.col("_c"), "left")
+                           .select("node", F.coalesce("_to", "component").alias("component")), "groups")
 
     named = groups.join(classes.select("node", "head"), "node")
     least = stage(named.groupBy("component").agg(F.min("head").alias("least")), "least")
