@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.tables import key_text, stage, whole, word_count, words
+from tidewatch.llm.tables import key_text, let, stage, whole, word_count, words
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -200,7 +200,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     drawn = drawn_blocks(sized, plan)
     pieces = drawn.groupBy(F.col("doc_id").alias("__id"), F.col("_copy").alias("__c"), F.col("epoch").alias("__epoch"), F.col("epochs").alias("__epochs")).agg(
         F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("__pieces"))
-    cut = F.flatten(F.transform("__pieces", lambda p: F.slice(words(F.col("text")), (p["first_word"] + 1).cast("int"), p["n_words"].cast("int"))))
+    cut = let(words(F.col("text")), lambda w: F.flatten(F.transform(
+        "__pieces", lambda p: F.slice(w, (p["first_word"] + 1).cast("int"), p["n_words"].cast("int")))))
     text = F.when(F.col("__epoch") < F.col("__epochs"), whole(F.col("text"))).otherwise(F.array_join(cut, " "))
     own = numbered(docs, "__copy")
     joined = own.join(pieces, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__copy") == F.col("__c")))
