@@ -102,6 +102,24 @@ def test_line_templates(docs, texts):
     assert all(len(kept[d].split("\n")) > 1 or t.count("\n") < 2 or d in licence for d, t in texts.items() if kept[d] is not None and "\n" in t and "Report" in t)
 
 
+def test_line_templates_with_fields_anywhere(spark):
+    posted = ["Posted by Anna on Monday in category Travel", "Posted by Bob on Friday in category Food", "Posted by Cy on Sunday in category Sport"]
+    written = [f"Written by our editor {name} for the blog" for name in ("Anna Smith", "Bob Jones", "Cy Young")]
+    short = [f"Filed under {topic} today" for topic in ("Travel", "Food", "Sport")]
+    # Half of these have one topic: it is as frequent as a fixed word of a small template.
+    skewed = [f"Sent from {place} to {name} about {topic} this week" for place, name, topic in
+              [("Rome", "Ann", "Rain"), ("Oslo", "Bo", "Rain"), ("Bern", "Cid", "Rain"), ("Lima", "Dee", "Snow"), ("Kyiv", "Eve", "Wind")]]
+    prose = ["It was the first of many long walks home", "It was an old and very quiet house then", "It was her brother who came back too late"]
+    pairs = ["Kept with Anna on Monday in category Travel", "Kept with Bob on Friday in category Food"]
+    lines = posted + written + short + skewed + prose + pairs
+    docs = spark.createDataFrame([(i, f"{line}\nend", "en") for i, line in enumerate(lines)], "doc_id bigint, text string, lang string")
+    again = docs.unionByName(docs.where("doc_id = 0"))
+    heads = {posted[0], written[0], short[0], skewed[0], *prose, *pairs}
+    for rows in (docs, again):
+        kept = {r["text"].split("\n")[0] for r in line_templates.drop_templates(rows).collect() if r["text"] != "end"}
+        assert kept == heads
+
+
 def test_mix_meets_targets(docs, texts):
     got = mixing.mix_report(docs).collect()
     assert sorted(r["doc_id"] for r in got) == sorted(texts)

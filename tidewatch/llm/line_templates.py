@@ -5,14 +5,18 @@ lines at one leaf belong to one template when
 
 * their tokens agree (after the digits), and two documents have them, or
 * they agree outside one quarter of their positions, and at least ``VALUES`` different lines fill that quarter:
-  it is a variable field and becomes ``<*>``.
+  it is a variable field and becomes ``<*>``, or
+* they agree in their frequent tokens, whatever the positions, and at least ``VALUES`` different lines do. A token's
+  frequency is the number of the leaf's different lines with it at its position; a line is tried with every frequency that sets
+  some of its tokens apart from the others, in steps of ``STEP``, as fields may have frequent values too. At least half
+  of the tokens after the first two have to stand, one at least; the others become ``<*>``.
 
 The document with the smallest doc_id keeps a template's lines; from every other document they are dropped. Lines of
 fewer than ``FEWEST`` tokens are no templates, lines of fewer than ``FEWEST_OPEN`` have no variable quarter.
 
 Lines are told apart by 64-bit hashes of their tokens. They are counted per exact line first, with map-side combining,
-and the quarters are counted over different lines only, so a line that a third of all documents hold is one row
-there. No window, sort or list holds a group of lines; only the numbers of one document's own dropped lines are put together.
+and fields are counted over different lines only, so a line that a third of all documents hold is one row
+there. Tokens are read again for the first copy of each line, where a leaf has ``VALUES`` lines. No window, sort or list holds a group of lines; only the numbers of one document's own dropped lines are put together.
 
 Defined cases: null text stays null, empty text is one empty line; a null doc_id is neither compared nor cut; rows that
 repeat a doc_id keep each other's lines; ties cannot arise, as only the least doc_id counts; an empty table gives an
@@ -31,6 +35,7 @@ FEWEST = 3
 FEWEST_OPEN = 6
 PARTS = 4
 VALUES = 3
+STEP = 1.2
 ANY = "<*>"
 
 
@@ -47,20 +52,46 @@ def open_key(part: int) -> Column:
     return F.when((n >= FEWEST_OPEN) & (first < after), F.xxhash64(n, F.lit(part), F.slice("tokens", 1, first), F.slice("tokens", after + 1, n)))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """doc_id, key (row), line, exact and one open key per quarter, for lines long enough to be templates."""
+def contents(docs: DataFrame) -> DataFrame:
     text = whole(docs["text"])
-    rows = docs.where(docs["doc_id"].isNotNull()).select("doc_id", F.xxhash64(text).alias("key"), F.posexplode(F.split(text, "\n")).alias("line", "content"))
-    parsed = rows.select("doc_id", "key", "line", tokens(F.col("content")).alias("tokens")).where(F.size("tokens") >= FEWEST)
-    return parsed.select("doc_id", "key", "line", F.xxhash64(F.size("tokens"), "tokens").alias("exact"), *[open_key(q).alias(f"open{q}") for q in range(PARTS)])
+    return docs.where(docs["doc_id"].isNotNull()).select("doc_id", F.xxhash64(text).alias("key"), F.posexplode(F.split(text, "\n")).alias("line", "content"))
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """doc_id, key (row), line, exact, leaf and one open key per quarter, for lines long enough to be templates."""
+    # The explode keeps the filter above it, so that no line is cut into tokens twice.
+    parsed = contents(docs).select("doc_id", "key", "line", F.explode(F.array(tokens(F.col("content")))).alias("tokens")).where(F.size("tokens") >= FEWEST)
+    return parsed.select("doc_id", "key", "line", F.xxhash64(F.size("tokens"), "tokens").alias("exact"), F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)).alias("leaf"),
+                         *[open_key(q).alias(f"open{q}") for q in range(PARTS)])
+
+
+def frequent_keys(docs: DataFrame, exact: DataFrame) -> DataFrame:
+    """(exact, low, open): hashes of each line with its rare tokens left open, one for every frequency that may part them."""
+    leaves = stage(exact.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") >= VALUES).select("leaf"), "leaves")
+    chosen = stage(exact.join(leaves, "leaf").select("exact", "leaf", "low", F.col("head.*")), "leaf-lines")
+    # Rows that repeat a document hold the same line again, hence the grouping.
+    read = contents(docs).join(chosen, ["doc_id", "key", "line"]).groupBy("exact", "leaf", "low").agg(F.min("content").alias("content"))
+    hashed = read.select("exact", "leaf", "low", F.transform(tokens(F.col("content")), lambda t: F.xxhash64(t)).alias("tokens"))
+    rest = F.slice("tokens", LEADING + 1, F.size("tokens"))
+    placed = stage(hashed.select("exact", "leaf", "low", (F.size("tokens") - LEADING).alias("n"), F.posexplode(rest).alias("place", "token")), "leaf-tokens")
+    counts = placed.groupBy("leaf", "place", "token").agg(F.count("*").alias("lines")).where(F.col("lines") >= VALUES)
+    step = F.floor(F.log(F.col("lines") / VALUES) / F.log(F.lit(STEP))).cast("int")
+    ranked = placed.join(stage(counts.select("leaf", "place", "token", step.alias("step")), "leaf-counts"), ["leaf", "place", "token"])
+    lines = ranked.groupBy("exact", "leaf", "low", "n").agg(F.sort_array(F.collect_list(F.struct("place", "token", "step"))).alias("found"))
+    tried = lines.where(2 * F.size("found") >= F.col("n")).withColumn("least", F.explode(F.array_distinct("found.step")))
+    fixed = tried.select("exact", "leaf", "low", "n", F.filter("found", lambda x: x["step"] >= F.col("least")).alias("found"))
+    fixed = fixed.where((2 * F.size("found") >= F.col("n")) & (F.size("found") < F.col("n")))
+    return fixed.select("exact", "low", F.xxhash64("leaf", "found.place", "found.token").alias("open"))
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, key, gone): the numbers of the lines that leave a row."""
     lines = stage(lines_of(docs), "lines")
     opens = [f"open{q}" for q in range(PARTS)]
-    exact = stage(lines.groupBy("exact").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *[F.min(c).alias(c) for c in opens]), "line-groups")
-    each = exact.select("exact", "low", F.explode(F.array(*opens)).alias("open")).where("open IS NOT NULL")
+    exact = stage(lines.groupBy("exact").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("leaf").alias("leaf"),
+                                                F.min(F.struct("doc_id", "key", "line")).alias("head"), *[F.min(c).alias(c) for c in opens]), "line-groups")
+    quarters = exact.select("exact", "low", F.explode(F.array(*opens)).alias("open")).where("open IS NOT NULL")
+    each = quarters.unionByName(stage(frequent_keys(docs, exact), "frequent-keys"))
     fields = stage(each.groupBy("open").agg(F.count("*").alias("n"), F.min("low").alias("first")).where(F.col("n") >= VALUES).select("open", "first"), "fields")
     generalised = each.join(fields, "open").groupBy("exact").agg(F.min("first").alias("first"))
     owners = exact.join(generalised, "exact", "left").select("exact", "high", F.least("low", "first").alias("owner")).where("owner < high")
