@@ -1,5 +1,6 @@
 """Small literal inputs and property tests for the helpers and folds."""
 
+import datetime
 import random
 
 import pytest
@@ -216,3 +217,27 @@ def test_good_and_bad_rows_add_up(spark, cells):
     ok = {i for i, (d, s, lat) in enumerate(cells) if d and s == "10" and lat == "10" and cells.index((d, s, lat)) == i
           and not any(c[0] == d for c in cells[:i])}
     assert ok <= kept
+
+
+def test_evidence_lasts_as_long_as_the_incident(spark):
+    """Against brute force: incidents of minutes, days and weeks, closed or open, over the log lines of the smallest tables."""
+    from tidewatch.plans import alert_queries
+    from tidewatch.plans.registry import AS_OF
+
+    sf_dir, at = "/root/testdata/sf0.001", datetime.datetime.fromisoformat
+    lines = alert_queries.log_lines(spark, sf_dir).collect()
+    spans = [(s, a, b) for s in sorted({r.source for r in lines}) for a, b in (
+        ("2024-01-02 00:00:00", None), ("2024-01-29 22:07:00", None), ("2024-01-03 10:00:00", "2024-01-03 10:20:00"), ("2024-01-05 23:50:00", "2024-01-07 00:00:00"),
+        ("2024-01-04 00:15:00", "2024-01-05 00:00:00"), ("2024-01-08 03:30:00", "2024-01-25 12:31:07"), ("2024-01-08 03:30:00", "2024-01-08 02:00:00"))]
+    rolled = [(f"INC-{i}", s, at(a), b and at(b)) for i, (s, a, b) in enumerate(spans)]
+    want = set()
+    for i, source, opened, closed in rolled:
+        first = {}
+        for r in sorted(lines, key=lambda r: (r.ts, r.level)):
+            if r.source == source and opened - datetime.timedelta(minutes=15) <= r.ts <= (closed or at(AS_OF)):
+                first.setdefault(r.message, (r.ts, r.level))
+        want |= {(i, ts, level, m) for ts, m, level in sorted(((ts, m, level) for m, (ts, level) in first.items()), reverse=True)[:12]}
+    frame = spark.createDataFrame(rolled, "incident_id string, source string, opened_at timestamp, closed_at timestamp")
+    got = [(r.incident_id, r.ts, r.level, r.message) for r in alert_queries.evidence_of(frame, spark, sf_dir).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert any(ts > dict((i, o) for i, _, o, _ in rolled)[i] + datetime.timedelta(days=1) for i, ts, _, _ in got)

@@ -11,6 +11,7 @@ from tidewatch.session import salt_count
 
 EVIDENCE_MINUTES = 15
 EVIDENCE_LINES = 12
+EVIDENCE_BLOCK = 96  # buckets of a block: a day of quarter hours
 FAR = "9999-12-31 00:00:00"
 
 # Cause categories, the one allowed action for each, and the prevention advice.
@@ -99,24 +100,42 @@ def rollup(alerts: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
         F.concat("source", F.lit(": "), F.substring("problem", 1, 90)).alias("title"))
 
 
+def _cells(grain: int, first: Column, last: Column) -> Column:
+    """(grain, at) for every number from first to last; none when last is smaller."""
+    numbers = F.when(first <= last, F.sequence(first, F.greatest(first, last))).otherwise(F.array().cast("array<bigint>"))
+    return F.transform(numbers, lambda n: F.struct(F.lit(grain).alias("grain"), n.alias("at")))
+
+
 def evidence(incidents: DataFrame, logs: DataFrame, minutes: int = EVIDENCE_MINUTES, lines: int = EVIDENCE_LINES,
              pieces: int | None = None) -> DataFrame:
     """Log lines around each incident: first line per message, then the latest ``lines`` of them.
 
     ``incidents(incident_id, source, opened_at, until)``; ``logs(ts, source, level, message)`` as from
-    ``evidence_lines``. The time range becomes equal buckets, and each incident is copied to every
-    piece of a bucket so that a talkative source spreads over many tasks.
+    ``evidence_lines``. The time range becomes equal buckets: its two end buckets meet single lines, the buckets and
+    blocks of buckets wholly inside it meet only the first line of each message there, so that an incident that stays
+    open for long meets few rows. Each incident is copied to every piece of a bucket, so a talkative source spreads
+    over many tasks.
     """
     pieces = pieces or salt_count(incidents.sparkSession)  # a source spreads over as many tasks as there are
     width = minutes * 60
     bucket = lambda c: F.floor(F.unix_micros(c) / F.lit(width * 1_000_000)).cast("long")
     since = F.col("opened_at") - F.make_dt_interval(mins=F.lit(minutes))
-    ranges = incidents.select("incident_id", F.col("source").alias("i_source"), since.alias("since"), "until")
-    ranges = ranges.withColumn("i_bucket", F.explode(F.sequence(bucket(F.col("since")), bucket(F.col("until")))))
+    ranges = incidents.select("incident_id", F.col("source").alias("i_source"), since.alias("since"), "until").where(F.col("since") <= F.col("until"))
+    ranges = ranges.withColumn("a", bucket(F.col("since"))).withColumn("b", bucket(F.col("until")))
+    cells = F.array_union(_cells(0, F.col("a"), F.col("a")), _cells(0, F.col("b"), F.col("b")))
+    low, high = F.ceil((F.col("a") + 1) / EVIDENCE_BLOCK).cast("long"), F.floor(F.col("b") / EVIDENCE_BLOCK).cast("long") - 1
+    inside = F.when(low > high, _cells(1, F.col("a") + 1, F.col("b") - 1)).otherwise(
+        F.concat(_cells(1, F.col("a") + 1, low * EVIDENCE_BLOCK - 1), _cells(2, low, high), _cells(1, (high + 1) * EVIDENCE_BLOCK, F.col("b") - 1)))
+    ranges = ranges.withColumn("i_cell", F.explode(F.concat(cells, inside))).drop("a", "b")
     ranges = ranges.withColumn("i_piece", F.explode(F.sequence(F.lit(0), F.lit(pieces - 1))))
-    placed = logs.withColumn("bucket", bucket(F.col("ts"))).withColumn(
+    single = logs.select("source", bucket(F.col("ts")).alias("at"), "message", F.struct("ts", "level").alias("first"))
+    by_bucket = single.groupBy("source", "at", "message").agg(F.min("first").alias("first"))
+    by_block = by_bucket.groupBy("source", F.floor(F.col("at") / EVIDENCE_BLOCK).cast("long").alias("at"), "message").agg(F.min("first").alias("first"))
+    grains = [rows.select("source", "message", F.col("first.ts").alias("ts"), F.col("first.level").alias("level"),
+                          F.struct(F.lit(g).alias("grain"), "at").alias("cell")) for g, rows in enumerate((single, by_bucket, by_block))]
+    placed = grains[0].unionByName(grains[1]).unionByName(grains[2]).withColumn(
         "piece", F.pmod(F.xxhash64("ts", "message"), F.lit(pieces)).cast("int"))
-    found = placed.join(ranges, (F.col("source") == F.col("i_source")) & (F.col("bucket") == F.col("i_bucket"))
+    found = placed.join(ranges, (F.col("source") == F.col("i_source")) & (F.col("cell") == F.col("i_cell"))
                         & (F.col("piece") == F.col("i_piece")) & (F.col("ts") >= F.col("since"))
                         & (F.col("ts") <= F.col("until")))
     firsts = found.groupBy("incident_id", "message").agg(F.min(F.struct("ts", "level")).alias("first"))

@@ -163,7 +163,8 @@ def log_lines(spark, sf_dir):
 
 
 def evidence_of(rolled, spark, sf_dir):
-    seen = rolled.select("incident_id", "source", "opened_at", (F.col("opened_at") + F.make_dt_interval(hours=F.lit(1))).alias("until"))
+    """Lines up to the incident's end, or up to now while it is open."""
+    seen = rolled.select("incident_id", "source", "opened_at", F.coalesce("closed_at", F.lit(AS_OF).cast("timestamp")).alias("until"))
     return incidents.evidence(seen, log_lines(spark, sf_dir))
 
 
