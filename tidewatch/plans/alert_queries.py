@@ -148,7 +148,7 @@ LOGS_SQL = """logs AS (
   FROM events WHERE value > 40)"""
 EVIDENCE_SQL = f"""{LOGS_SQL},
 around AS (SELECT i.incident_id, l.message, min(l.ts) AS ts, arg_min(l.level, l.ts) AS level FROM incidents i JOIN logs l ON l.source = i.source
-           AND l.ts >= i.opened_at - INTERVAL 15 MINUTE AND l.ts <= i.opened_at + INTERVAL 1 HOUR GROUP BY 1, 2),
+           AND l.ts >= i.opened_at - INTERVAL 15 MINUTE AND l.ts <= coalesce(i.closed_at, TIMESTAMP '{AS_OF}') GROUP BY 1, 2),
 evidence AS (SELECT incident_id, ts, level, message FROM (
   SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY ts DESC, message DESC) AS k FROM around) WHERE k <= 12)"""
 
