@@ -45,7 +45,7 @@ def tokens(line: Column) -> Column:
 
 
 def open_key(part: int) -> Column:
-    """Hash of the line with one quarter left open; null where that quarter holds leading tokens only."""
+    """Hash of the line with one quarter left open; null where that quarter holds stem tokens only."""
     n = F.size("tokens")
     first = F.greatest(F.lit(LEADING), F.ceil(n * part / PARTS)).cast("int")
     after = F.ceil(n * (part + 1) / PARTS).cast("int")
@@ -137,8 +137,18 @@ k AS (
 l AS (SELECT *, len(t) AS n, array_to_string(t, ' ') AS exact FROM k WHERE len(t) >= {FEWEST}),
 e AS (SELECT exact, n, t, min(doc_id) AS low, max(doc_id) AS high FROM l GROUP BY exact, n, t),
 o AS (SELECT exact, low, unnest([{", ".join(_open_sql(q) for q in range(PARTS))}]) AS open FROM e),
-f AS (SELECT open, min(low) AS first FROM o WHERE open IS NOT NULL GROUP BY open HAVING count(*) >= {VALUES}),
-g AS (SELECT exact, min(first) AS first FROM o JOIN f USING (open) GROUP BY exact),
+v AS (SELECT exact, low, n, t, t[1:{LEADING}] AS stem FROM e QUALIFY count(*) OVER (PARTITION BY n, t[1:{LEADING}]) >= {VALUES}),
+p AS (SELECT exact, low, n, stem, unnest(t[{LEADING} + 1:n]) AS token, unnest(range(n - {LEADING})) AS place FROM v),
+c AS (SELECT n, stem, place, token, floor(ln(count(*) / {VALUES}::DOUBLE) / ln({STEP}::DOUBLE))::INT AS step FROM p GROUP BY ALL HAVING count(*) >= {VALUES}),
+q AS (SELECT exact, low, n, stem, list({{'place': place, 'token': token, 'step': step}} ORDER BY place) AS found
+      FROM p JOIN c USING (n, stem, place, token) GROUP BY exact, low, n, stem HAVING 2 * count(*) >= n - {LEADING}),
+y AS (SELECT *, unnest(list_distinct(list_transform(found, lambda x: x.step))) AS smallest FROM q),
+z AS (SELECT exact, low, n, stem, list_filter(found, lambda x: x.step >= smallest) AS fixed FROM y),
+a AS (SELECT exact, low, open FROM o WHERE open IS NOT NULL UNION ALL
+      SELECT exact, low, 'f/' || n || '/' || array_to_string(stem, ' ') || '/' || array_to_string(list_transform(fixed, lambda x: x.place || ' ' || x.token), ' ')
+      FROM z WHERE 2 * len(fixed) >= n - {LEADING} AND len(fixed) < n - {LEADING}),
+f AS (SELECT open, min(low) AS first FROM a GROUP BY open HAVING count(*) >= {VALUES}),
+g AS (SELECT exact, min(first) AS first FROM a JOIN f USING (open) GROUP BY exact),
 w AS (SELECT e.exact, least(e.low, coalesce(g.first, e.low)) AS owner FROM e LEFT JOIN g USING (exact)),
 d AS (SELECT DISTINCT l.doc_id, l.i FROM l JOIN w USING (exact) WHERE l.doc_id > w.owner),
 r AS (SELECT doc_id, list(i) AS gone FROM d GROUP BY doc_id)
