@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidewatch.llm import bpe, debruijn, fingerprints, graph, line_templates, minhash_dedup, mixing, pii, quality_crf, repetition, sharding
+from tidewatch.llm import bpe, debruijn, fingerprints, graph, jaccard_join, line_templates, minhash_dedup, mixing, pii, quality_crf, repetition, sharding
 
 
 def by_id(df):
@@ -20,21 +20,25 @@ def test_near_duplicates(docs, texts, size):
     assert all(r["kept"] == (r["component_id"] == d) for d, r in got.items())
 
 
-def test_near_duplicates_by_full_comparison(docs, texts, monkeypatch):
-    """Without any proposal round the full comparison alone gives the same groups, and with rounds only so does the other way."""
-    want = {d: c for d, (_, c) in brute.components(texts, 2).items()}
-    monkeypatch.setattr(minhash_dedup, "SMALL", 1)
-    for rounds in (0, 6):
-        monkeypatch.setattr(minhash_dedup, "ROUNDS", rounds)
-        assert {d: r["component_id"] for d, r in by_id(minhash_dedup.near_duplicates(docs, 2)).items()} == want
-
-
 def test_one_of_each_keeps_columns(docs, texts):
     kept = minhash_dedup.one_of_each(docs)
     assert kept.columns == docs.columns
     assert {r["doc_id"] for r in kept.collect()} == {d for d, (_, c) in brute.components(texts, 5).items() if c == d}
 
 
+def kept_of(df):
+    return sorted((r["doc_id"] is None, r["doc_id"], r["text"] or "") for r in df.collect())
+
+
+def test_one_of_each_keeps_one_row_of_every_group(odd_docs):
+    rows = [(r["doc_id"] is None, r["doc_id"], r["text"] or "") for r in odd_docs.collect()]
+    groups, want = brute.components(dict(enumerate(t for _, _, t in rows)), 5), []
+    for g in {c for _, c in groups.values()}:
+        members = [rows[i] for i, (_, c) in groups.items() if c == g]
+        want.append(min(members, key=lambda r: (r[0], r[1] or 0)))
+    assert kept_of(minhash_dedup.one_of_each(odd_docs)) == sorted(want)
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.range(1, 200).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = graph.components(chain.unionByName(spark.createDataFrame([(500, 501), (501, 502)], "a bigint, b bigint"))).collect()
@@ -221,6 +225,7 @@ def test_quality_without_labels(docs, spark):
 
 
 OPERATORS = {
+    "jaccard": lambda d: jaccard_join.jaccard_groups(d),
     "near": lambda d: minhash_dedup.near_duplicates(d), "near_kept": lambda d: minhash_dedup.one_of_each(d), "substring": debruijn.removal_report,
     "repetition": repetition.repetition_rules, "pii": pii.personal_data, "fingerprint": fingerprints.fingerprint_report, "lines": line_templates.template_report,
     "lines_kept": line_templates.drop_templates, "mix": mixing.mix_report, "mixed": mixing.mix_documents, "shards": sharding.shard_documents,

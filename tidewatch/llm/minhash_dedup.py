@@ -6,34 +6,32 @@ minima each. Texts of similarity J meet unless one collection never agrees: with
 4 pairs in 10,000 at J = 0.8 and 2 in 100,000 at 0.85. Unrelated texts (J about 0.05) meet in a table once in 60 million
 pairs; for a much larger corpus raise MINIMA.
 
-Texts with equal sets form one class before any banding, so copies cost nothing. Pairs of buckets of at most ``SMALL`` classes are
-all compared. Larger buckets are worked off in rounds: a class whose bucket spans several components proposes itself to members of the bucket's least component (to one in
-the first round, to twice as many in each further one), candidates are confirmed on the full sets (64-bit shingle
-hashes), and linked components merge. After the last round all pairs left between components are compared that can be links at all: a class
-shares no more with another than, summed over 32 parts of the hash range, the smaller number of shingles that other open
-classes have too, which rules out copies with too many edits of their own. This leaves no candidate out. Pairs inside one component are never formed, so a group of n near
-copies costs some n comparisons, not n squared.
+Texts with equal sets form one class before any banding, so copies cost nothing. Classes that meet in a table, directly or over others,
+are a family; candidates are confirmed on the full sets (64-bit shingle hashes) by ``near_links``, which leaves no
+link inside a family out and forms no pairs of texts that are near copies of one center, so a group of n near copies costs n comparisons
+and those of its outliers that share rare edits.
 
 Buckets are counted with map-side combining; joins lie between written tables, where adaptive execution splits a hot
 bucket.
 
 Defined cases: null and empty texts have an empty set and link with nothing; texts with fewer words than a
 shingle have one shingle, the whole sequence; a null doc_id takes part and is its group's head only where it is alone;
-repeated rows are links of each other; an empty table gives an empty result; other columns are ignored.
+repeated rows are links of each other; an empty table gives an empty result; other columns are ignored. ``one_of_each`` keeps
+one row of every group, that of the least doc_id (null last), and every row without words.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewatch.llm.graph import components
+from tidewatch.llm.near_links import families, links
 from tidewatch.llm.tables import stage
 from tidewatch.llm.words import LOWER, Words, constants, mix64, text_blocks
 from tidewatch.session import salt_count
@@ -41,9 +39,6 @@ from tidewatch.session import salt_count
 TABLES = 12
 MINIMA = 3
 PERCENT = 80
-ROUNDS = 6
-SMALL = 4
-PARTS = 32
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,11 +82,17 @@ def small_hashes(row: np.ndarray, hashes: np.ndarray, heads: np.ndarray, tables:
     return out
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``row_key``, equal for rows with equal doc_id and text."""
+    text = docs["text"].cast("string")
+    return docs.select("doc_id", text.alias("text"), F.xxhash64("doc_id", text).alias("row_key"))
+
+
 def sketches(docs: DataFrame, size: int, tables: int = TABLES) -> DataFrame:
-    """doc_id, n (set size), node (hash of the set), and both collections a and b."""
-    rows = docs.select("doc_id", docs["text"].cast("string").alias("text"))
+    """doc_id, row_key, n (set size), node (hash of the set), and both collections a and b."""
+    rows = keyed(docs)
     longs = T.ArrayType(T.LongType())
-    schema = T.StructType([T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("n", T.LongType()), T.StructField("node", T.LongType()),
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["row_key"], T.StructField("n", T.LongType()), T.StructField("node", T.LongType()),
                            T.StructField("a", longs), T.StructField("b", longs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,138 +107,81 @@ def sketches(docs: DataFrame, size: int, tables: int = TABLES) -> DataFrame:
                     both[filled] = small_hashes(row, hashes, heads, tables)
                 sides = [pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(s).reshape(-1).view(np.int64)), tables).cast(pa.list_(pa.int64()))
                          for s in (both[:, :tables], both[:, tables:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(node.view(np.int64)), *sides], names=[f.name for f in schema])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n), pa.array(node.view(np.int64)), *sides], names=[f.name for f in schema])
 
     return rows.mapInArrow(run, schema)
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, n, shingles) of the wanted (doc_id, node) rows, from the whole texts."""
-    rows = docs.select("doc_id", docs["text"].cast("string").alias("text")).join(wanted, "doc_id").select("node", "text")
+    """(node, n, shingles) of the wanted (row_key, node) rows, from the whole texts."""
+    rows = keyed(docs).join(wanted, "row_key").select("node", "text")
     schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, bounds in text_blocks(batch):
                 row, hashes = shingle_sets(data, bounds, size)
-                n, node = set_nodes(row, hashes, part.num_rows)
+                n = np.bincount(row, minlength=part.num_rows)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                found = pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))],
-                                                   names=[f.name for f in schema])
-                yield found.filter(pa.array(part.column(0).to_numpy() == node.view(np.int64)))  # not another text of a repeated doc_id
-
-    return rows.mapInArrow(run, schema)
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs whose full sets have at least ``percent`` in common."""
-    one = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    close = (F.lit(100) * F.least("na", "nb")) >= (F.lit(percent) * F.greatest("na", "nb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.join(one, "a").join(two, "b").where(close)
-    return joined.where(F.lit(100) * common >= F.lit(percent) * (F.col("na") + F.col("nb") - common)).select("a", "b")
-
-
-def ordered_pairs(pairs: DataFrame) -> DataFrame:
-    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))],
+                                                 names=[f.name for f in schema])
 
-def proposals(live: DataFrame, round_no: int) -> DataFrame:
-    """Pairs of a class and members of the least component in its buckets, 2 ** round_no for a class at most.
+    # Repeated rows have one key, so one text may come several times.
+    return rows.mapInArrow(run, schema).groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
 
-    The first round asks the least member, which gathers a group around one class; later rounds ask others, chosen by hash.
-    """
-    order = F.col("node") if round_no == 0 else F.xxhash64("node", "key", F.lit(round_no))
-    chosen = live.where("component = least").groupBy("key").agg(F.min_by("node", order).alias("asked"))
-    offers = live.where("component <> least").join(stage(chosen, "asked"), "key")
-    ranks = [F.col("asked")] if round_no == 0 else [F.xxhash64("node", "asked", F.lit(i)) for i in range(2 ** round_no)]
-    best = offers.groupBy("node").agg(F.array_distinct(F.array(*[F.min_by("asked", r) for r in ranks])).alias("asked"))
-    return ordered_pairs(best.select(F.col("node").alias("a"), F.explode("asked").alias("b")))
 
+def classes_of(sketched: DataFrame, *keep: str) -> DataFrame:
+    """One row per different set: node, n, head (least doc_id), row_key of one of its texts, and the named columns."""
+    return sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.min("row_key").alias("row_key"),
+                                                       *[F.first(c).alias(c) for c in keep])
 
-def within(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs of small buckets: at most SMALL - 1 for a row."""
-    one = members.select("key", F.col("node").alias("a"), F.col("n").alias("_na"))
-    two = members.select("key", F.col("node").alias("b"), F.col("n").alias("_nb"))
-    return ordered_pairs(one.join(two, "key").where("a < b").where(sizes_allow(percent)).select("a", "b"))
 
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """The (node, key) rows whose key several nodes have."""
+    shared = stage(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "buckets")
+    return stage(keys.join(shared, "key"), "members")
 
-def sizes_allow(percent: int) -> Column:
-    return (F.lit(100) * F.least("_na", "_nb")) >= (F.lit(percent) * F.greatest("_na", "_nb"))
 
+def with_components(sketched: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """The sketched rows with ``component`` (a node; null for an empty set) and ``component_id`` (least doc_id of the group)."""
+    groups = stage(classes.select("node", "head").join(components(found), "node", "left")
+                   .select("node", "head", F.coalesce("component", "node").alias("component")), "class-groups")
+    least = groups.groupBy("component").agg(F.min("head").alias("component_id"))
+    of_class = stage(groups.select("node", "component").join(least, "component"), "named-groups")
+    rows = sketched.withColumn("node", F.when(F.col("n") > 0, F.col("node")))
+    joined = rows.join(of_class, "node", "left")
+    return joined.withColumn("component_id", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
 
-def with_shared(live: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The rows whose class can still have a link, with ``shared``: how many of its shingles any other of them has, by PARTS parts
-    of the hash range.
 
-    In no part do two sets have more in common than the smaller number, so the sum of these bounds what they share; a class with
-    too many shingles of its own goes at once.
-    """
-    each = sets.join(stage(live.select("node").distinct(), "open-classes"), "node").select("node", F.explode("shingles").alias("shingle"))
-    common = stage(each.groupBy("shingle").agg(F.count("*").alias("c")).where("c > 1").select("shingle"), "common-shingles")
-    part = F.pmod("shingle", F.lit(PARTS))
-    shared = each.join(common, "shingle").groupBy("node").agg(F.count("*").alias("_all"), *[F.count_if(part == k).cast("int").alias(f"p{k}") for k in range(PARTS)])
-    counts = stage(shared.select("node", "_all", F.struct(*[f"p{k}" for k in range(PARTS)]).alias("shared")), "shared-counts")
-    return stage(live.join(counts, "node").where(F.lit(100) * F.col("_all") >= F.lit(percent) * F.col("n")).drop("_all"), "open-members")
-
-
-def across_components(live: DataFrame, percent: int) -> DataFrame:
-    """All pairs of one bucket and different components that sizes and shared shingles allow to be links."""
-    one = live.select("key", F.col("node").alias("a"), F.col("component").alias("_ca"), F.col("n").alias("_na"), F.col("shared").alias("_sa"))
-    two = live.select("key", F.col("node").alias("b"), F.col("component").alias("_cb"), F.col("n").alias("_nb"), F.col("shared").alias("_sb"))
-    most = reduce(Column.__add__, [F.least(f"_sa.p{k}", f"_sb.p{k}") for k in range(PARTS)])
-    alike = F.lit(100) * most >= F.lit(percent) * (F.col("_na") + F.col("_nb") - most)
-    return ordered_pairs(one.join(two, "key").where(F.col("_ca") < F.col("_cb")).where(sizes_allow(percent) & alike).select("a", "b"))
-
-
-def near_duplicates(docs: DataFrame, size: int = 2, percent: int = PERCENT, tables: int = TABLES) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable over links), kept."""
+def grouped(docs: DataFrame, size: int, percent: int, tables: int) -> DataFrame:
     sketched = stage(sketches(docs, size, tables), "sketches")
-    classes = stage(sketched.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("head"), F.first("n").alias("n"), F.first("a").alias("a"),
-                                                                F.first("b").alias("b")), "classes")
+    classes = stage(classes_of(sketched, "a", "b"), "classes")
     combined = F.flatten(F.transform("a", lambda x, i: F.transform("b", lambda y, j: F.xxhash64(x, y, i, j))))
     # One class becomes TABLES squared rows: spread the classes first, so that no task has to spill its keys.
     spread = classes.repartition(salt_count(docs.sparkSession), "node")
-    keys = spread.select("node", "n", F.explode(combined).alias("key"))
-    shared = stage(keys.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "buckets")
-    members = stage(keys.join(shared, "key"), "members")
-    groups = stage(members.select("node").distinct().withColumn("component", F.col("node")), "groups")
-    heads = stage(groups.select("node").join(classes.select("node", F.col("head").alias("doc_id")), "node"), "wanted")
-    sets = stage(full_sets(docs, heads, size), "sets")
-    tried, live = None, members.where(F.col("c") > SMALL)
-
-    for round_no in range(ROUNDS + 1):
-        tagged = live.select("key", "node", "n").join(groups, "node")
-        spans = tagged.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("_most")).where("least < _most")
-        live = stage(tagged.join(stage(spans.select("key", "least"), "split-buckets"), "key"), "members")
-        if round_no and live.isEmpty():
-            break
-        asked = proposals(live, round_no) if round_no < ROUNDS else across_components(with_shared(live, sets, percent), percent)
-        if round_no == 0:
-            asked = asked.unionByName(within(members.where(F.col("c") <= SMALL), percent)).distinct()
-        fresh = stage(asked if tried is None else asked.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = fresh if tried is None else stage(tried.unionByName(fresh), "tried")
-        links = confirmed(fresh, sets, percent)
-        of = groups.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
-        merged = stage(links.join(of, F.col("a") == F.col("_n")).select(F.col("_c").alias("a"), "b")
-                       .join(of, F.col("b") == F.col("_n")).select("a", F.col("_c").alias("b")), "links")
-        if not merged.isEmpty():
-            renamed = components(merged).select(F.col("node").alias("_c"), F.col("component").alias("_to"))
-            groups = stage(groups.join(renamed, F.col("component") == F.col("_c"), "left")
-                           .select("node", F.coalesce("_to", "component").alias("component")), "groups")
-
-    named = groups.join(classes.select("node", "head"), "node")
-    least = stage(named.groupBy("component").agg(F.min("head").alias("least")), "least")
-    of_node = groups.join(least, "component").select("node", F.col("least"))
-    of_class = stage(classes.select("node", "head").join(of_node, "node", "left").select("node", F.coalesce(F.least("least", "head"), "head").alias("component_id")), "class-groups")
-    filled = sketched.select("doc_id", "n", F.when(F.col("n") > 0, F.col("node")).alias("node"))
-    joined = filled.join(of_class, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    return joined.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    family_of = stage(families(shared_keys(spread.select("node", F.explode(combined).alias("key")))), "families")
+    wanted = stage(family_of.select("node").join(classes.select("node", "row_key"), "node"), "wanted")
+    found = links(full_sets(docs, wanted, size), family_of, percent)
+    return with_components(sketched, classes, found)
+
+
+def near_duplicates(docs: DataFrame, size: int = 2, percent: int = PERCENT, tables: int = TABLES) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable over links), kept."""
+    rows = grouped(docs, size, percent, tables).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = PERCENT, tables: int = TABLES) -> DataFrame:
-    """The documents without near-duplicates of a smaller doc_id."""
-    dropped = near_duplicates(docs, size, percent, tables).where("NOT kept").select("doc_id").distinct()
-    return docs.join(stage(dropped, "near-duplicates"), "doc_id", "left_anti").select(*docs.columns)
+    """One row of every group of near-duplicates: that of its least doc_id, null last; rows without words stay."""
+    rows = stage(grouped(docs, size, percent, tables).where("component IS NOT NULL").select("doc_id", "row_key", "component"), "grouped")
+    first = stage(rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first"))
+                  .select("component", F.col("first.row_key").alias("first_key")), "first-rows")
+    dropped = rows.join(first, "component").where("row_key <> first_key").select(F.col("row_key").alias("__row_key")).distinct()
+    names = [f"__c{i}" for i in range(len(docs.columns))]
+    marked = docs.toDF(*names).withColumn("__row_key", F.xxhash64(names[docs.columns.index("doc_id")], F.col(names[docs.columns.index("text")]).cast("string")))
+    kept = marked.join(stage(dropped, "near-duplicates"), "__row_key", "left_anti")
+    repeated = stage(rows.groupBy("row_key").agg(F.count("*").alias("c")).where("c > 1").select(F.col("row_key").alias("__row_key")), "repeated-rows")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, "__row_key", "left_semi").dropDuplicates(["__row_key"])
+        kept = kept.join(repeated, "__row_key", "left_anti").unionByName(once)
+    return kept.select(*[F.col(a).alias(b) for a, b in zip(names, docs.columns)])

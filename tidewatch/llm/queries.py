@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, debruijn, fingerprints, line_templates, minhash_dedup, mixing, pii, quality_crf, repetition, sharding
+from tidewatch.llm import bpe, debruijn, fingerprints, jaccard_join, line_templates, minhash_dedup, mixing, pii, quality_crf, repetition, sharding
 from tidewatch.llm.tables import read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -71,3 +71,8 @@ def line_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_byte_bpe")
 def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_report(read(spark, sf_dir))
+
+
+@query("op11_jaccard_join")
+def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_groups(read(spark, sf_dir))
