@@ -39,6 +39,7 @@ from tidewatch.session import salt_count
 TABLES = 12
 MINIMA = 3
 PERCENT = 80
+FILTER_BITS = 1 << 24
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,22 +113,38 @@ def sketches(docs: DataFrame, size: int, tables: int = TABLES) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def filter_bits(wanted: DataFrame) -> np.ndarray:
+    """FILTER_BITS bits, those of the wanted row keys set: at most FILTER_BITS / 64 numbers reach the driver, whatever is wanted."""
+    bit = F.col("row_key").bitwiseAND(F.lit(FILTER_BITS - 1))
+    words = wanted.select(F.shiftright(bit, 6).alias("word"), F.expr("shiftleft(1L, cast(row_key & 63 AS INT))").alias("bits"))
+    found = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out.view(np.uint64)
+
+
 def full_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, n, shingles) of the wanted (row_key, node) rows, from the whole texts."""
-    rows = keyed(docs).join(wanted, "row_key").select("node", "text")
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
+    """(node, n, shingles) of the wanted (row_key, node) rows, from the whole texts.
+
+    Rows whose key is not in a bit filter of fixed size are passed over before anything is shuffled; the join settles the rest.
+    """
+    bits = filter_bits(wanted)
+    schema = T.StructType([T.StructField("row_key", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, data, bounds in text_blocks(batch):
+            key = batch.column(1).to_numpy().view(np.uint64) & np.uint64(FILTER_BITS - 1)
+            rows = batch.filter(pa.array((bits[key >> np.uint64(6)] >> (key & np.uint64(63)) & np.uint64(1)).astype(bool)))
+            for part, data, bounds in text_blocks(rows):
                 row, hashes = shingle_sets(data, bounds, size)
                 n = np.bincount(row, minlength=part.num_rows)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))],
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(hashes.view(np.int64)))],
                                                  names=[f.name for f in schema])
 
     # Repeated rows have one key, so one text may come several times.
-    return rows.mapInArrow(run, schema).groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
+    found = keyed(docs).select("text", "row_key").mapInArrow(run, schema).join(wanted, "row_key")
+    return found.groupBy("node").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"))
 
 
 def classes_of(sketched: DataFrame, *keep: str) -> DataFrame:

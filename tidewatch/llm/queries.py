@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewatch.llm import bpe, debruijn, fingerprints, jaccard_join, line_templates, minhash_dedup, mixing, pii, quality_crf, repetition, sharding
+from tidewatch.llm import bpe, debruijn, divergence, fingerprints, jaccard_join, line_templates, merkle, minhash_dedup, mixing, pii, quality_crf, repetition, sharding
 from tidewatch.llm.tables import read
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +76,13 @@ def byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_jaccard_join")
 def ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_groups(read(spark, sf_dir))
+
+
+@query("op12_merkle_manifest", merkle.SQL)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(read(spark, sf_dir))
+
+
+@query("op13_source_divergence", divergence.SQL)
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read(spark, sf_dir))
