@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
-from tidewatch.llm import bpe, debruijn, fingerprints, graph, jaccard_join, line_templates, minhash_dedup, mixing, pii, quality_crf, repetition, sharding
+from tidewatch.llm import bpe, debruijn, fingerprints, graph, jaccard_join, line_templates, merkle, minhash_dedup, mixing, pii, quality_crf, repetition, sharding
 
 
 def by_id(df):
@@ -69,7 +69,7 @@ def test_personal_data(docs, texts):
         assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [len(s) for s in spans]
         assert r["base_sha256"] == brute.sha(",".join(flat)) and set(flat) <= set(r["spans"].split(","))
     assert sum(r["n_iban"] for r in got.values()) == 1
-    assert sum(r["n_ssn"] for r in got.values()) == 1  # the one with a context word before it
+    assert sum(r["n_ssn"] for r in got.values()) == 2  # both have a context word among the 40 characters before them
 
 
 def test_patterns_stay_linear_on_long_runs(spark):
@@ -78,6 +78,20 @@ def test_patterns_stay_linear_on_long_runs(spark):
     assert [got[i]["n_email"] for i in (1, 2, 3)] == [0, 0, 1]
 
 
+def test_spans_end_where_the_number_ends_and_see_the_words_before_them(spark):
+    rows = [(1, "pay ES91 2100 0418 4502 0005 1332 EUR now"), (2, "SSN 123-45-6789, 234-56-7890"), (3, "XX91 2100 0418 4502 0005 1332"), (4, "éé iban DE89370400440532013000ABC")]
+    got = by_id(pii.personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert got[1]["spans"].split(",")[-1] == "iban:4:33"
+    assert got[2]["n_ssn"] == 2 and "ssn:17:28" in got[2]["spans"]
+    assert got[3]["n_iban"] == got[4]["n_iban"] == 0
+
+
+def test_very_many_matches_in_one_text(spark):
+    text = "mail x1@y.de and a.b@c.org, " * 20_000
+    got = by_id(pii.personal_data(spark.createDataFrame([(1, text)], "doc_id bigint, text string")))[1]
+    assert got["n_email"] == 40_000 and got["base_sha256"] == brute.sha(",".join(x for kind in brute.base_spans(text) for x in kind))
+
+
 def test_fingerprints(docs, texts):
     got, ids = by_id(fingerprints.fingerprint_report(docs)), sorted(texts)
     off, seen = [], {}
@@ -224,8 +238,20 @@ def test_quality_without_labels(docs, spark):
     assert {r["score"] for r in quality_crf.quality_report(docs, none).collect()} == {0.5}
 
 
+def quality_labels(spark):
+    return spark.createDataFrame([(1, 1, 0), (4, 0, 0), (7, 1, 0), (10, 0, 0)], "doc_id bigint, quality int, toxic int")
+
+
+def test_accepted_rows_keep_columns_of_any_name(odd_docs):
+    named = odd_docs.withColumn("__whole", F.lit(1)).withColumn("__score", F.lit(2)).withColumn("__0", F.lit(3))
+    assert quality_crf.accepted(named, quality_labels(odd_docs.sparkSession)).columns == named.columns
+    report = quality_crf.quality_report(named, quality_labels(odd_docs.sparkSession))
+    assert quality_crf.accepted(named, quality_labels(odd_docs.sparkSession)).count() == report.where("predicted = 1").count()
+
+
 OPERATORS = {
-    "jaccard": lambda d: jaccard_join.jaccard_groups(d),
+    "jaccard": lambda d: jaccard_join.jaccard_groups(d), "merkle": merkle.manifest, "tokens": lambda d: bpe.token_report(d),
+    "quality": lambda d: quality_crf.quality_report(d, quality_labels(d.sparkSession)),
     "near": lambda d: minhash_dedup.near_duplicates(d), "near_kept": lambda d: minhash_dedup.one_of_each(d), "substring": debruijn.removal_report,
     "repetition": repetition.repetition_rules, "pii": pii.personal_data, "fingerprint": fingerprints.fingerprint_report, "lines": line_templates.template_report,
     "lines_kept": line_templates.drop_templates, "mix": mixing.mix_report, "mixed": mixing.mix_documents, "shards": sharding.shard_documents,

@@ -5,7 +5,9 @@ gives the matches, and the running sum of their lengths (code points) gives ever
 with possessive repeats and start guards, which match what the plain forms match but never go back over a run,
 so one very long run of digits or letters costs its length and not its square.
 
-Base kinds: email, ip, card, phone; they stay whatever their score. The method adds iban (mod-97) and national
+Running sums go by chunks, so a text with very many matches costs its length too.
+
+Base kinds: email, ip, card, phone; they stay whatever their score. The method adds iban (its country's length, mod-97) and national
 numbers of the form 123-45-6789 (score above the threshold, which needs a context word before them).
 
 score = the kind's own weight, plus CONTEXT if one of its context words stands within ``NEAR`` characters before
@@ -23,9 +25,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.tables import whole
+from tidewatch.llm.tables import let, whole
 
 NEAR = 40
+CHUNK = 128
 CONTEXT = 0.35
 THRESHOLD = 0.6
 
@@ -51,6 +54,26 @@ KINDS = [
 ]
 
 
+# The number of characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE BI", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BY DJ FR GR IT MC MR SM", 28: "AL AZ CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def claimed(kind: Kind, match: Column) -> Column:
+    """What of a match can be the number: an IBAN ends with its country's length, null where it does not end at a blank."""
+    if kind.name != "iban":
+        return match
+    sizes = F.create_map(*[F.lit(x) for n, countries in IBAN_LENGTHS.items() for c in countries.split() for x in (c, n)])
+    size = F.element_at(sizes, F.substring(match, 1, 2))
+    solid = F.filter(F.sequence(F.lit(1), F.length(match)), lambda i: F.substr(match, i, F.lit(1)) != " ")
+    end = F.get(solid, size - 1)
+    return F.when(F.substr(match, end + 1, F.lit(1)).isin("", " "), F.substr(match, F.lit(1), end))
+
+
 def digits(text: Column) -> Column:
     return F.regexp_replace(text, r"[^0-9]", "")
 
@@ -80,32 +103,55 @@ def valid(kind: Kind, match: Column) -> Column:
     if kind.name == "phone":
         return length.between(8, 15)
     if kind.name == "iban":
-        compact = F.replace(match, F.lit(" "), F.lit(""))
-        return F.when(F.length(compact).between(15, 34), mod97(compact)).otherwise(False)
+        return F.coalesce(mod97(F.replace(match, F.lit(" "), F.lit(""))), F.lit(False))
     if kind.name == "ssn":
         return ~match.rlike(r"^(?:000|666|9)|-00-|-0000$")
     return F.lit(True)
 
 
+def running_sums(lengths: Column) -> Column:
+    """Sums of an array of integers up to each element: by chunks of CHUNK, so that neither level copies an array per element of the whole."""
+    add = lambda a, x: a + x
+    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / CHUNK).cast("int")), lambda k: F.slice(lengths, k * CHUNK + 1, CHUNK))
+    no_numbers = F.array().cast("array<int>")
+
+    def place(a: Column, chunk: Column) -> Column:
+        return F.struct((a["at"] + F.aggregate(chunk, F.lit(0), add)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+
+    def numbered(chunks: Column) -> Column:
+        before = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), no_numbers.alias("out")), place, lambda a: a["out"])
+        return F.flatten(F.zip_with(chunks, before, lambda c, start: F.transform(c, lambda _, i: F.aggregate(F.slice(c, 1, i + 1), start, add))))
+
+    return F.when(F.size(lengths) == 0, no_numbers).otherwise(let(cut, numbered))
+
+
+def context_before(pairs: Column, i: Column) -> Column:
+    """The NEAR characters before match i. A match and the gap before it have two characters or more but for a first gap, so NEAR / 2 of them reach."""
+    far = F.greatest(F.lit(0), i - NEAR // 2)
+    earlier = F.transform(F.slice(pairs, far + 1, i - far), lambda p: F.concat(F.right(p["gap"], F.lit(NEAR)), F.right(p["text"], F.lit(NEAR))))
+    return F.right(F.concat(F.array_join(earlier, ""), F.right(F.get(pairs, i)["gap"], F.lit(NEAR))), F.lit(NEAR))
+
+
 def located(kind: Kind, text: Column) -> Column:
-    """Array of (start, end, text, gap): every match with its place and the stretch before it."""
+    """Array of (start, end, text, before): every match with its place and the NEAR characters before it."""
     gaps, matches = F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    pairs = F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("text")))
-    empty = F.array().cast("array<struct<start:int,end:int,text:string,gap:string>>")
 
-    def add(a: Column, p: Column) -> Column:
-        start = a["at"] + F.length(p["gap"])
-        end = start + F.length(p["text"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(start.alias("start"), end.alias("end"), p["text"].alias("text"), F.right(p["gap"], F.lit(NEAR)).alias("gap")))).alias("out"))
+    def placed(pairs: Column) -> Column:
+        ends = running_sums(F.transform(pairs, lambda p: F.length(p["gap"]) + F.length(p["text"])))
+        spans = F.zip_with(pairs, ends, lambda p, end: F.struct((end - F.length(p["text"])).alias("start"), p["text"].alias("text")))
+        return F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), (s["start"] + F.length(claimed(kind, s["text"]))).alias("end"),
+                                                        claimed(kind, s["text"]).alias("text"), context_before(pairs, i).alias("before")))
 
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), add, lambda a: a["out"])
+    pairs = F.when(F.size(matches) > 0, F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.struct(g.alias("gap"), m.alias("text"))))
+    none = F.array().cast("array<struct<start:int,end:int,text:string,before:string>>")
+    return F.coalesce(let(pairs, placed), none)
 
 
 def spans_of(kind: Kind, text: Column) -> Column:
     """Array of (start, end, score) of one kind, in order."""
-    good = F.filter(located(kind, text), lambda s: valid(kind, s["text"]))
+    good = F.filter(located(kind, text), lambda s: s["text"].isNotNull() & valid(kind, s["text"]))
     score = F.transform(good, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.least(
-        F.lit(1.0), F.lit(kind.weight) + F.when(F.lower(s["gap"]).rlike(kind.context), F.lit(CONTEXT)).otherwise(F.lit(0.0))).alias("score")))
+        F.lit(1.0), F.lit(kind.weight) + F.when(F.lower(s["before"]).rlike(kind.context), F.lit(CONTEXT)).otherwise(F.lit(0.0))).alias("score")))
     kept = score if kind.base else F.filter(score, lambda s: s["score"] >= THRESHOLD)
     return F.when(text.rlike(kind.hint), kept).otherwise(F.array().cast("array<struct<start:int,end:int,score:double>>"))
 

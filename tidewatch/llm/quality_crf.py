@@ -7,8 +7,8 @@ length-weighted mean over the lines is the document's raw quality, which a two-n
 probability.
 
 Training labels are whole documents, so all lines of one carry its label. The chain is fitted on a bounded sample:
-at most ``TRAIN_DOCS`` labelled documents of either label (least hashes of doc_id, held-out remainders left out) with
-their first ``TRAIN_LINES`` lines, weighted back to the labels' true shares. Scoring uses every line of every text.
+at most ``TRAIN_DOCS`` labelled documents of either label (least hashes of doc_id, held-out remainders left out),
+whole texts, weighted back to the labels' true shares; a document's lines weigh as much together as any other's. Scoring uses every line of every text.
 Labels, language, source and doc_id are never inputs of a score.
 
 Defined cases: null, empty and blank texts have no lines and get the share of label 1 among the training labels;
@@ -31,7 +31,6 @@ from tidewatch.llm.tables import stage
 from tidewatch.llm.words import Words, text_blocks
 
 TRAIN_DOCS = 2000
-TRAIN_LINES = 500
 STEPS = 150
 RATE = 0.1
 DECAY = 1e-4
@@ -176,7 +175,8 @@ def fit(row: np.ndarray, size: np.ndarray, features: np.ndarray, labels: np.ndar
     sampled = max(1e-9, truth.mean())
     weight = np.where(truth == 1, share / sampled, (1 - share) / max(1e-9, 1 - sampled))
     order = np.argsort(heads)
-    line_weight = np.repeat(weight[order], lengths[order])
+    # A line's weight falls with the length of its chain: documents count alike, however long.
+    line_weight = np.repeat((weight / lengths)[order], lengths[order])
     line_truth = labels[row]
     starts = np.repeat(heads[order], lengths[order])
     inner = np.flatnonzero(np.arange(len(row)) != starts)
@@ -184,14 +184,13 @@ def fit(row: np.ndarray, size: np.ndarray, features: np.ndarray, labels: np.ndar
     np.add.at(seen, (line_truth[inner], line_truth[inner]), line_weight[inner])
     theta = np.zeros(FEATURES + 4)
     first, second = np.zeros_like(theta), np.zeros_like(theta)
-    # A line's weight falls with the length of its chain: documents count alike, however long.
     for step in range(1, STEPS + 1):
         move = theta[FEATURES:].reshape(2, 2)
         emit = np.stack([np.zeros(len(features)), features @ theta[:FEATURES]], axis=1)
         label, moves, _ = marginals(emit, move, heads, lengths)
         slope = features.T @ (line_weight * (line_truth - label[:, 1]))
         change = seen - (moves * line_weight[inner][:, None, None]).sum(axis=0)
-        gradient = np.concatenate([slope, change.reshape(-1)]) / len(row) - DECAY * theta
+        gradient = np.concatenate([slope, change.reshape(-1)]) / len(heads) - DECAY * theta
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient * gradient
         theta += RATE * (first / (1 - 0.9 ** step)) / (np.sqrt(second / (1 - 0.999 ** step)) + 1e-8)
@@ -231,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             for part, data, bounds in text_blocks(batch):
                 row, size, features = line_features(data, bounds)
                 cuts = np.searchsorted(row, np.arange(part.num_rows + 1))
-                own = [slice(a, min(b, a + TRAIN_LINES)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                own = [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(2), pa.array([size[o].astype(np.float32) for o in own], pa.list_(pa.float32())),
                                                   pa.array([features[o].astype(np.float32).reshape(-1) for o in own], pa.list_(pa.float32()))], names=[f.name for f in schema])
 
@@ -246,10 +245,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def scores(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and score: the probability of label 1, from the whole text alone."""
-    kept = list(keep)
-    rows = docs.select(*kept, docs["text"].cast("string").alias("__text"))
-    schema = T.StructType([*[rows.schema[c] for c in kept], T.StructField("score", T.DoubleType())])
+    """The ``keep`` columns as __0, __1 and so on, and __score: the probability of label 1, from the whole text alone."""
+    rows = docs.select(*[docs[c].alias(f"__{i}") for i, c in enumerate(keep)], docs["text"].cast("string").alias("__text"))
+    schema = T.StructType([*rows.schema.fields[: len(keep)], T.StructField("__score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,18 +257,17 @@ def scores(docs: DataFrame, model: Model, keep: list[str] = ("doc_id",)) -> Data
                 if len(row):
                     heads, lengths = chains(row)
                     score[row[heads]] = sigmoid(model.slope * logit(weighted_mean(model.raw(features, heads, lengths), size, heads)) + model.shift)
-                yield pa.RecordBatch.from_arrays([*[part.column(i) for i in range(len(kept))], pa.array(score)], names=[f.name for f in schema])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score)], names=[f.name for f in schema])
 
     return rows.mapInArrow(run, schema)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    scored = scores(docs, train(docs, labels))
+    scored = scores(docs, train(docs, labels)).select(F.col("__0").alias("doc_id"), F.col("__score").alias("score"))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents whose score reaches the cut, with their columns."""
-    columns = [c for c in docs.columns if c != "text"]
-    scored = scores(docs.withColumn("__whole", F.col("text")), train(docs, labels), [*columns, "__whole"])
-    return scored.where(F.col("score") >= CUT).withColumnRenamed("__whole", "text").select(*docs.columns)
+    """The documents whose score reaches the cut, with their columns, whatever these are called."""
+    scored = scores(docs, train(docs, labels), docs.columns)
+    return scored.where(F.col("__score") >= CUT).select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)])
