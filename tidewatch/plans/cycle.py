@@ -1,7 +1,8 @@
 """One load cycle over landing files: Bronze, checks, Silver, quarantine, findings, gates and Gold.
 
-Tables live below ``root/tables``. Append-only tables get one folder per cycle that a repeated cycle
-overwrites; the registry is written last, so a cycle that failed half-way is simply run again.
+Tables live below ``root/tables``. Each step (a source's files in one cycle or micro-batch, the gate, Gold, a repair) writes all its
+tables and then one commit, so Bronze, findings, quarantine, Silver, owners and registry of a load become visible together; a
+step that failed anywhere left no trace and is simply run again.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from tidewatch.operators import alerts, batches, checks, gold, silver
 from tidewatch.operators.contracts import CONTRACTS, Contract
 from tidewatch.session import cut_lineage
 from tidewatch.sources import landing, tables
+from tidewatch.sources.commits import Commits
 
 ORDER = ["batch_file", "split", "seq"]
 REGISTRY = "file string, source string, n_rows long, ingested_at timestamp"
@@ -41,17 +43,28 @@ class Cycle:
     mappings: dict[str, dict[str, str]] = field(default_factory=dict)  # source -> {from: to, "" drops}
     policy_ends: DataFrame | None = None
 
+    def __post_init__(self):
+        object.__setattr__(self, "commits", Commits(self.spark, f"{self.root}/tables"))
+
     def path(self, name: str) -> str:
         return f"{self.root}/tables/{name}"
 
     def now(self):
         return F.lit(self.as_of).cast("timestamp")
 
+    def committed(self, rows: DataFrame, name: str) -> DataFrame:
+        """Rows of an append-only table whose folder (source, cycle) belongs to a commit."""
+        folder = F.concat(F.lit("source="), F.col("source"), F.lit("/cycle="), F.col("cycle").cast("string"))
+        return rows.withColumn("__path", folder).join(self.commits.added(name).withColumnRenamed("path", "__path"), "__path", "left_semi").drop("__path")
+
     def log(self, name: str, schema: str) -> DataFrame:
-        return tables.read_or_empty(self.spark, self.path(name), schema)
+        wanted = self.spark.createDataFrame([], schema).schema
+        plain = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in wanted if f.name != "cycle")
+        rows = tables.read_or_empty(self.spark, self.path(name), f"{plain}, cycle string", [f.name for f in wanted])
+        return self.committed(rows, name).select(*[F.col(f.name).cast(f.dataType) for f in wanted])
 
-    def append(self, df: DataFrame, name: str, source: str) -> None:
-        df.drop("source").write.mode("overwrite").parquet(f"{self.path(name)}/source={source}/cycle={self.number}")
+    def append(self, df: DataFrame, name: str, source: str, folder: str | None = None) -> None:
+        self.commits.add(df.drop("source"), name, f"source={source}/cycle={folder or self.number}")
 
     def stage(self, df: DataFrame, name: str) -> DataFrame:
         """A written intermediate table: read several times, and its plan starts afresh from files."""
@@ -60,10 +73,13 @@ class Cycle:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def current(self, name: str) -> DataFrame | None:
-        return tables.current(self.spark, self.path("current"), name)
+        return self.commits.current(name)
 
     def replace(self, name: str, df: DataFrame) -> None:
-        tables.replace(df, self.path("current"), name)
+        self.commits.replace(df, name)
+
+    def upsert(self, contract: Contract, rows: DataFrame) -> None:
+        self.commits.upsert(rows, contract.silver, [contract.key], "arrived")
 
 
 def new_paths(c: Cycle, contract: Contract) -> tuple[DataFrame, list[str]]:
@@ -74,11 +90,24 @@ def new_paths(c: Cycle, contract: Contract) -> tuple[DataFrame, list[str]]:
 
 
 def load_source(c: Cycle, contract: Contract) -> None:
-    source = contract.source
     files, paths = new_paths(c, contract)
-    if not paths:
-        return
-    raw = landing.read_ndjson(c.spark, paths) if contract.format == "json" else landing.read_csv(c.spark, paths)
+    if paths:
+        load_rows(c, contract, files, landing.read_ndjson(c.spark, paths) if contract.format == "json" else landing.read_csv(c.spark, paths))
+
+
+def load_lines(c: Cycle, contract: Contract, lines: DataFrame) -> bool:
+    """One micro-batch of landing lines (batch_file, split, seq, value); False where its step is committed already."""
+    if c.commits.has(f"load {contract.source} {c.number}"):
+        return False
+    lines = c.stage(lines, f"lines_{contract.source}")
+    load_rows(c, contract, lines.select("batch_file").distinct(), landing.parse_json(lines) if contract.format == "json" else landing.parse_csv(lines))
+    return True
+
+
+def load_rows(c: Cycle, contract: Contract, files: DataFrame, raw: DataFrame) -> None:
+    """Everything that follows from one source's raw rows, as one commit."""
+    source = contract.source
+    c.commits.forget()  # of a step that failed before
     c.append(tables.bronze_rows(raw, source, c.now()), "bronze", source)
 
     rules = c.mappings.get(source, {})
@@ -130,8 +159,9 @@ def load_source(c: Cycle, contract: Contract) -> None:
     if contract.key is None:
         c.append(good.drop("split", "seq", "arrived"), contract.silver, source)
     else:
-        c.replace(contract.silver, silver.merge(c.current(contract.silver), good.drop("split", "seq"), [contract.key], "arrived"))
+        c.upsert(contract, good.drop("split", "seq"))
     c.append(tables.registry_rows(raw, files, source, c.now()), "registry", source)
+    c.commits.commit(f"load {source} {c.number}")
 
 
 def arrival(number):
@@ -165,6 +195,7 @@ def silver_table(c: Cycle, contract: Contract) -> DataFrame:
         empty = empty.withColumn("masked", F.lit(0))
     if contract.key is None:
         found = tables.if_there(lambda: c.spark.read.parquet(c.path(contract.silver)))
+        found = None if found is None else c.committed(found, contract.silver)
     else:
         found = c.current(contract.silver)
     return empty if found is None else found.select(*empty.columns)
@@ -181,6 +212,7 @@ def gate(c: Cycle) -> set[str]:
         state = c.spark.createDataFrame([(p, 0, None) for p in PRODUCTS], GATES)
     after = batches.pii_gate(silver_table(c, CONTRACTS["customer_kyc"]), state).drop("leaks")
     c.replace("gates", after)
+    c.commits.commit(f"gate {c.number}")
     return {r["node"] for r in c.current("gates").where("blocked = 1").collect()}  # five products
 
 
@@ -194,7 +226,25 @@ def build_gold(c: Cycle, blocked: set[str]) -> list[str]:
         "gold_customer_360": lambda: gold.customer_360(t["customer_kyc"], t["policy"], t["claims"]),
         "gold_compliance_report": lambda: gold.compliance(t["customer_kyc"], held),
     }
-    return gold.refresh(products, blocked, c.replace)
+    built = gold.refresh(products, blocked, c.replace)
+    stamped = c.spark.createDataFrame([(p,) for p in built], "node string").withColumn("last_refreshed", c.now())
+    c.append(stamped, "refreshes", "gold")
+    c.append(run_row(c), "runs", "cycle")
+    c.commits.commit(f"gold {c.number}")
+    return built
+
+
+def run_row(c: Cycle) -> DataFrame:
+    """What this cycle loaded: files, rows, failures, from its own registry and findings."""
+    loaded = c.log("registry", f"{REGISTRY}, cycle string").where(F.col("cycle") == str(c.number))
+    failed = c.log("findings", f"{FINDINGS}, cycle string").where(F.col("cycle") == str(c.number))
+    files = loaded.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"))
+    return files.select(c.now().alias("ran_at"), "files", "n_rows", failed.agg(F.coalesce(F.sum("failure_count"), F.lit(0))).scalar().alias("failures"))
+
+
+def refreshed(c: Cycle) -> DataFrame:
+    """When each product was last rebuilt; one that a gate holds back keeps its older time."""
+    return c.log("refreshes", "node string, last_refreshed timestamp, source string").groupBy("node").agg(F.max("last_refreshed").alias("last_refreshed"))
 
 
 def load(c: Cycle) -> None:
@@ -225,6 +275,7 @@ def remask(c: Cycle) -> bool:
     stored = c.current("silver_customer")
     if stored is not None:
         c.replace("silver_customer", silver.remask(stored))
+        c.commits.commit(f"remask {c.number}")
     return silver.repair_verify(silver_table(c, CONTRACTS["customer_kyc"])).first()["passed"]
 
 
@@ -232,17 +283,18 @@ def reload_quarantine(c: Cycle, source: str) -> None:
     """Repair after an approved mapping or a renewed token: release held rows that now pass, into Silver.
 
     Released rows go to an append-only log that later replays leave out, and they keep the place at which they
-    arrived, so a newer row of the same key stays. The log is written last, and folders are named after what it held
-    before: a replay that failed half-way overwrites its own when repeated, and never those of one that went through.
+    arrived, so a newer row of the same key stays. Folders are named after what the log held before: a replay that failed
+    half-way overwrites its own when repeated, and never those of one that went through.
     """
     from tidewatch.operators import repair
     contract, rules = CONTRACTS[source], c.mappings.get(source, {})
     held = c.log("quarantine", f"{QUARANTINE}, cycle int").where(F.col("source") == source)
     released = c.log("released", RELEASED).where(F.col("source") == source).select(*ORDER)
-    folder = f"cycle=replay-{c.number}-{released.count()}"
+    folder = f"replay-{c.number}-{released.count()}"
+    c.commits.forget()
     held = held.join(released, ORDER, "left_anti")
     if source == "customer_kyc":  # held copies are masked, so the rows come from Bronze
-        arrived = c.log("bronze", "source string").where(F.col("source") == source).select(
+        arrived = c.log("bronze", "source string, batch_file string, split long, seq long, payload string").where(F.col("source") == source).select(
             *ORDER, F.from_json("payload", "map<string,string>").alias("payload"))
         held = held.drop("payload").join(arrived, ORDER)
     held = c.stage(held, f"held_{source}")
@@ -259,8 +311,8 @@ def reload_quarantine(c: Cycle, source: str) -> None:
         c.replace("pan_owner", checks.first_owners(result, ORDER, owners))
     good = c.stage(good.join(held.select(*ORDER, "cycle"), ORDER).withColumn("arrived", arrival(F.col("cycle"))).drop("cycle"), f"freed_{source}")
     if contract.key is None:
-        good.drop("split", "seq", "arrived").write.mode("overwrite").parquet(
-            f"{c.path(contract.silver)}/source={source}/{folder}")
+        c.append(good.drop("split", "seq", "arrived"), contract.silver, source, folder)
     else:
-        c.replace(contract.silver, silver.merge(c.current(contract.silver), good.drop("split", "seq"), [contract.key], "arrived"))
-    good.select(*ORDER).write.mode("overwrite").parquet(f"{c.path('released')}/source={source}/{folder}")
+        c.upsert(contract, good.drop("split", "seq"))
+    c.append(good.select(*ORDER), "released", source, folder)
+    c.commits.commit(f"replay {source} {folder}")

@@ -41,9 +41,12 @@ def if_there(read: Callable[[], DataFrame]) -> DataFrame | None:
         raise
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_or_empty(spark: SparkSession, path: str, schema: str, columns: list[str] | None = None) -> DataFrame:
+    """A written table, or none of its rows. With ``columns`` only these and the folder name ``cycle``, as text."""
     found = if_there(lambda: spark.read.parquet(path))
-    return spark.createDataFrame([], schema) if found is None else found
+    if found is None:
+        return spark.createDataFrame([], schema)
+    return found if columns is None else found.select(*[c for c in columns if c != "cycle"], F.col("cycle").cast("string").alias("cycle"))
 
 
 def _latest(spark: SparkSession, root: str, name: str) -> tuple[int, str] | None:
