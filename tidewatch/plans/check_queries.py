@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,45 +78,56 @@ BILLS_T = f"garage_bills_t AS ({typed_sql('garage_bills')})"
 KYC_T = f"customer_kyc_t AS ({typed_sql('customer_kyc')})"
 
 
-@query("type_coerce", sql=f"""
-WITH {TELEMATICS_T}, {POLICY_T}
-SELECT batch_file, 'telematics' AS source, count(t_speed_kmph) AS numbers,
-       sum(CASE WHEN t_harsh_brake THEN 1 ELSE 0 END)::BIGINT AS trues,
-       sum(CASE WHEN t_harsh_brake THEN 0 ELSE 1 END)::BIGINT AS falses,
-       min(t_timestamp) AS first_ts, sum(CAST(t_odometer_km AS BIGINT))::BIGINT AS whole FROM telematics_t GROUP BY 1
-UNION ALL
-SELECT batch_file, 'policy', count(t_premium), 0, 0, min(CAST(t_start_date AS TIMESTAMP)), sum(t_year)::BIGINT
-FROM policy_t GROUP BY 1""")
+# Every feed as ``<source>_t`` with its typed columns.
+ALL_T = ", ".join((TELEMATICS_T, POLICY_T, CLAIMS_T, BILLS_T, KYC_T))
+
+
+def _of_type(source: str, *kinds: str) -> list[str]:
+    return [f.name for f in CONTRACTS[source].fields if f.type in kinds]
+
+
+def _coerced_sql(source: str) -> str:
+    """Values per type in every file of a feed: numbers, booleans either way, earliest time, sum of whole numbers."""
+    added = lambda items: " + ".join(items) or "0"
+    times = [f"min(cast(t_{n} AS TIMESTAMP))" for n in _of_type(source, "date", "timestamp")]
+    return (f"SELECT batch_file, '{source}' AS source, ({added([f'count(t_{n})' for n in _of_type(source, 'double')])})::BIGINT AS numbers, "
+            f"({added([f'count(CASE WHEN t_{n} THEN 1 END)' for n in _of_type(source, 'boolean')])})::BIGINT AS trues, "
+            f"({added([f'count(CASE WHEN NOT t_{n} THEN 1 END)' for n in _of_type(source, 'boolean')])})::BIGINT AS falses, "
+            f"least({', '.join(times)}) AS first_ts, ({added([f'coalesce(sum(t_{n}), 0)' for n in _of_type(source, 'int')])})::BIGINT AS whole "
+            f"FROM {source}_t GROUP BY 1")
+
+
+@query("type_coerce", sql=f"WITH {ALL_T} {' UNION ALL '.join(map(_coerced_sql, CONTRACTS))}")
 def type_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    zero = F.lit(0).cast("long")
-    brake = coerce(F.col("harsh_brake"), "boolean")
-    tel = feed(spark, sf_dir, "telematics").groupBy("batch_file").agg(
-        F.lit("telematics").alias("source"), F.count(coerce(F.col("speed_kmph"), "double")).alias("numbers"),
-        F.count_if(brake).alias("trues"), F.count_if(~brake).alias("falses"),
-        F.min(coerce(F.col("timestamp"), "timestamp")).alias("first_ts"),
-        F.sum(coerce(F.col("odometer_km"), "int")).alias("whole"))
-    pol = feed(spark, sf_dir, "policy").groupBy("batch_file").agg(
-        F.lit("policy").alias("source"), F.count(coerce(F.col("premium"), "double")).alias("numbers"),
-        zero.alias("trues"), zero.alias("falses"),
-        F.min(coerce(F.col("start_date"), "date")).cast("timestamp").alias("first_ts"),
-        F.sum(coerce(F.col("year"), "int")).alias("whole"))
-    return tel.unionByName(pol)
-
-
-@query("check_type", sql=f"WITH {TELEMATICS_T}, {CLAIMS_T} {_type_sql('telematics')} UNION ALL {_type_sql('claims')}")
+    def counted(source: str) -> DataFrame:
+        typed = {f.name: coerce(F.col(f.name), f.type) for f in CONTRACTS[source].fields}
+        total = lambda items: reduce(lambda a, b: a + b, items, F.lit(0).cast("long"))
+        times = [F.min(typed[n].cast("timestamp")) for n in _of_type(source, "date", "timestamp")]
+        return feed(spark, sf_dir, source).groupBy("batch_file").agg(
+            F.lit(source).alias("source"), total([F.count(typed[n]) for n in _of_type(source, "double")]).alias("numbers"),
+            total([F.count_if(typed[n]) for n in _of_type(source, "boolean")]).alias("trues"),
+            total([F.count_if(~typed[n]) for n in _of_type(source, "boolean")]).alias("falses"),
+            (F.least(*times) if len(times) > 1 else times[0]).alias("first_ts"),
+            total([F.coalesce(F.sum(typed[n]), F.lit(0)) for n in _of_type(source, "int")]).alias("whole"))
+    return reduce(DataFrame.unionByName, map(counted, CONTRACTS))
+
+
+BOUNDED = [s for s, c in CONTRACTS.items() if any(f.min is not None or f.max is not None for f in c.fields)]
+
+
+@query("check_type", sql=f"WITH {ALL_T} {' UNION ALL '.join(map(_type_sql, CONTRACTS))}")
 def check_type(spark, sf_dir):
-    return failing(spark, sf_dir, "type", "telematics", "claims")
+    return failing(spark, sf_dir, "type", *CONTRACTS)
 
 
-@query("check_nulls", sql=f"WITH {TELEMATICS_T}, {CLAIMS_T} {_nulls_sql('telematics')} UNION ALL {_nulls_sql('claims')}")
+@query("check_nulls", sql=f"WITH {ALL_T} {' UNION ALL '.join(map(_nulls_sql, CONTRACTS))}")
 def check_nulls(spark, sf_dir):
-    return failing(spark, sf_dir, "nulls", "telematics", "claims")
+    return failing(spark, sf_dir, "nulls", *CONTRACTS)
 
 
-@query("check_range", sql=f"WITH {TELEMATICS_T}, {POLICY_T}, {CLAIMS_T} {_bounds_sql('telematics')} "
-                          f"UNION ALL {_bounds_sql('policy')} UNION ALL {_bounds_sql('claims')}")
+@query("check_range", sql=f"WITH {ALL_T} {' UNION ALL '.join(map(_bounds_sql, BOUNDED))}")
 def check_range(spark, sf_dir):
-    return failing(spark, sf_dir, "range", "telematics", "policy", "claims")
+    return failing(spark, sf_dir, "range", *BOUNDED)
 
 
 @query("check_allowed", sql=f"""
@@ -267,15 +280,50 @@ def finding_samples(spark, sf_dir):
     return out.select("batch_file", "check_name", F.col("sample_no").cast("long").alias("sample_no"), "claim_id", "reason")
 
 
+# Every row of every feed with the checks that it fails, in the order in which ``evaluate`` lists its reasons.
+_ROWS = {
+    "telematics": "SELECT *, row_number() OVER (PARTITION BY batch_file, t_device_id, t_timestamp ORDER BY pos) AS rn FROM telematics_t",
+    "policy": "SELECT * FROM policy_t",
+    "claims": f"SELECT d.*, policy_end FROM ({DUP_CLAIMS}) d LEFT JOIN ends ON ends.policy_id = d.t_policy_id",
+    "garage_bills": "SELECT b.*, c.claim_id IS NULL AND b.t_claim_id IS NOT NULL AS unknown FROM garage_bills_t b "
+                    "LEFT JOIN (SELECT DISTINCT claim_id FROM claims_t) c ON c.claim_id = b.t_claim_id",
+    "customer_kyc": "SELECT *, first_value(t_customer_id) OVER (PARTITION BY t_pan ORDER BY pos) AS owner FROM customer_kyc_t",
+}
+_OWN_RULES = {
+    "telematics": [("duplicates", "rn > 1")],
+    "policy": [("rule", "t_end_date <= t_start_date")],
+    "claims": [("referential", "t_accident_date > policy_end"), ("duplicates", "rn > 1")],
+    "garage_bills": [("reconciliation", "abs(t_parts_cost + t_labour_cost - t_total) > 1"), ("referential", "unknown")],
+    "customer_kyc": [("duplicates", "owner <> t_customer_id")],
+}
+
+
+def _failed_sql(source: str) -> str:
+    rules = []
+    for f in CONTRACTS[source].fields:
+        empty = f"nullif({f.name}, '') IS NULL"
+        rules += [("type", f"t_{f.name} IS NULL AND NOT {empty}"), ("nulls", f"t_{f.name} IS NULL AND {empty}")]
+        rules += [("range", f"t_{f.name} < {f.min}")] if f.min is not None else []
+        rules += [("range", f"t_{f.name} > {f.max}")] if f.max is not None else []
+        rules += [("allowed_values", f"t_{f.name} NOT IN {f.allowed}")] if f.allowed else []
+        rules += [("format", f"NOT regexp_matches(t_{f.name}, '{f.pattern}')")] if f.pattern else []
+    names = ", ".join(f"CASE WHEN {condition} THEN '{check}' END" for check, condition in rules + _OWN_RULES[source])
+    return f"SELECT '{source}' AS source, batch_file, coalesce(string_split(nullif(concat_ws(',', {names}), ''), ','), []) AS failed_checks FROM ({_ROWS[source]})"
+
+
+ALL_CHECKED = f"{ALL_T}, {ENDS}, all_checked AS ({' UNION ALL '.join(map(_failed_sql, CONTRACTS))})"
+
+
 @query("severity_map", sql=f"""
-WITH {CLAIMS_CHECKED}
-SELECT check_name, CASE check_name WHEN 'nulls' THEN 'HIGH' WHEN 'referential' THEN 'HIGH' WHEN 'reconciliation' THEN 'HIGH'
+WITH {ALL_CHECKED}
+SELECT source, check_name, CASE check_name WHEN 'nulls' THEN 'HIGH' WHEN 'referential' THEN 'HIGH' WHEN 'reconciliation' THEN 'HIGH'
        WHEN 'schema' THEN 'HIGH' WHEN 'freshness' THEN 'HIGH' WHEN 'pii' THEN 'CRITICAL' ELSE 'MEDIUM' END AS severity,
-       count(*) AS n FROM claims_reasons GROUP BY 1""")
+       count(*) AS n FROM (SELECT source, unnest(failed_checks) AS check_name FROM all_checked) GROUP BY 1, 2""")
 def severity_map(spark, sf_dir):
-    rows = evaluated(spark, sf_dir, "claims").select(F.explode("reasons").alias("r"))
-    counts = rows.groupBy(F.col("r.check").alias("check_name")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.select("check_name", checks.severity_of(F.col("check_name")).alias("severity"), "n")
+    rows = reduce(DataFrame.unionByName, [evaluated(spark, sf_dir, source).select(F.lit(source).alias("source"), F.explode("reasons").alias("r"))
+                                          for source in CONTRACTS])
+    counts = rows.groupBy("source", F.col("r.check").alias("check_name")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.select("source", "check_name", checks.severity_of(F.col("check_name")).alias("severity"), "n")
 
 
 def quarantine(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:

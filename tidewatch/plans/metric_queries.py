@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from tidewatch.operators import batches, incidents, metrics, reports
 from tidewatch.plans.alert_queries import (
     EPISODES_SQL, INCIDENTS_SQL, alert_table, log_lines, numbered, LOGS_SQL)
-from tidewatch.plans.check_queries import CLAIMS_CHECKED, POLICY_T, quarantine
+from tidewatch.plans.check_queries import ALL_CHECKED
 from tidewatch.plans.feeds import read_table
 from tidewatch.plans.registry import AS_OF, query
-from tidewatch.plans.silver_queries import CUSTOMER_SQL, POLICY_GOOD, silver_customer
+from tidewatch.plans.silver_queries import CUSTOMER_SQL, all_quarantine, silver_customer
 from tidewatch.session import spread
 
 # The event types are this feed's configured sources, with their expected interval.
@@ -223,12 +223,10 @@ def sla_status(spark, sf_dir):
 
 # ---------- ordered lists ----------
 @query("topk_quarantine", sql=f"""
-WITH {CLAIMS_CHECKED}, {POLICY_T}, q AS (SELECT 'claims' AS source, check_name FROM claims_split WHERE check_name IS NOT NULL
-  UNION ALL SELECT 'policy', CASE WHEN t_cover_type = 'Unspecified' THEN 'allowed_values' WHEN t_sum_insured < 1 OR t_premium < 1 THEN 'range' ELSE 'rule' END
-  FROM policy_t WHERE t_cover_type = 'Unspecified' OR t_sum_insured < 1 OR t_premium < 1 OR t_end_date <= t_start_date)
-SELECT source, check_name, count(*) AS n_rows FROM q GROUP BY 1, 2 ORDER BY n_rows DESC, source, check_name LIMIT 12""")
+WITH {ALL_CHECKED} SELECT source, failed_checks[1] AS check_name, count(*) AS n_rows FROM all_checked WHERE len(failed_checks) > 0
+GROUP BY 1, 2 ORDER BY n_rows DESC, source, check_name LIMIT 12""")
 def topk_quarantine(spark, sf_dir):
-    return reports.top_quarantine(quarantine(spark, sf_dir, "claims").unionByName(quarantine(spark, sf_dir, "policy")))
+    return reports.top_quarantine(all_quarantine(spark, sf_dir))
 
 
 @query("recent_alerts", sql=f"""
