@@ -241,3 +241,21 @@ def test_evidence_lasts_as_long_as_the_incident(spark):
     got = [(r.incident_id, r.ts, r.level, r.message) for r in alert_queries.evidence_of(frame, spark, sf_dir).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert any(ts > dict((i, o) for i, _, o, _ in rolled)[i] + datetime.timedelta(days=1) for i, ts, _, _ in got)
+
+
+def test_streamed_customers_pass_the_mask_gate(spark, tmp_path):
+    from tidewatch.operators.contracts import CUSTOMER_KYC
+    from tidewatch.streaming.checks import write_checked
+    row = {"customer_id": "C1", "name": "Asha Rao", "phone": "+919876543210", "email": "asha@mail.in", "licence_no": "MH1220190001234",
+           "pan": "ABCDE1234F", "address": "1 Hill Road", "dob": "1990-02-03", "city": "Pune", "updated_at": "2024-05-01T00:00:00+00:00",
+           "batch_file": "f", "pos": 1}
+    bad = {**row, "customer_id": "C2", "pan": "ABCDE12345", "pos": 2}
+    checked = checks.evaluate(spark.createDataFrame([row, bad]), CUSTOMER_KYC, ["pos"])
+    for token, silver_rows, held in (("valid", 1, {"format"}), ("expired", 0, {"format", "pii"})):
+        root = str(tmp_path / token)
+        write_checked(checked, CUSTOMER_KYC, root, 0, token)
+        stored = spark.read.parquet(f"{root}/silver").collect()
+        assert [(r["phone"], r["masked"]) for r in stored] == [("+91******3210", 1)] * silver_rows
+        kept = spark.read.parquet(f"{root}/quarantine").collect()
+        assert {r["check_name"] for r in kept} == held
+        assert all("Asha" not in r["payload"] and "9876543210" not in r["payload"] for r in kept)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import checks
-from tidewatch.operators.contracts import CLAIMS
-from tidewatch.plans.check_queries import CLAIMS_CHECKED
-from tidewatch.plans.feeds import FEEDS, policy_ends, read_table
+from tidewatch.operators.contracts import CONTRACTS
+from tidewatch.plans.check_queries import ALL_CHECKED
+from tidewatch.plans.feeds import FEEDS, feed, policy_ends, read_table
 from tidewatch.plans.metric_queries import INTERVALS
 from tidewatch.plans.registry import query
 from tidewatch.session import scratch_path
@@ -37,21 +40,33 @@ def bronze_stream(spark, sf_dir):
 
 
 @query("stream_checks", sql=f"""
-WITH {CLAIMS_CHECKED}
-SELECT batch_file, check_name, count(*) AS n_rows FROM claims_split GROUP BY 1, 2""")
+WITH {ALL_CHECKED}
+SELECT source, batch_file, failed_checks[1] AS check_name, count(*) AS n_rows FROM all_checked GROUP BY 1, 2, 3""")
 def stream_checks(spark, sf_dir):
+    """Each feed as a stream of raw rows into its own Silver, quarantine and findings; customers pass the mask gate.
+    The five streams run at the same time."""
     work = scratch_path(spark, "stream-checks")
-    ends = policy_ends(spark, sf_dir)
 
-    def evaluate(batch):
-        placed = batch.withColumn("place", F.monotonically_increasing_id())
-        return checks.evaluate(placed.selectExpr(*FEEDS["claims"].select_list("place")), CLAIMS, ["pos"], policy_ends=ends)
+    def started(source):
+        contract, ends = CONTRACTS[source], policy_ends(spark, sf_dir)
+
+        def evaluate(batch):
+            placed = batch.withColumn("place", F.monotonically_increasing_id())
+            return checks.evaluate(placed.selectExpr(*FEEDS[source].select_list("place")), contract, ["pos"], policy_ends=ends,
+                                   known_claims=feed(spark, sf_dir, "claims") if source == "garage_bills" else None)
+
+        return stream_checks_.start(table_stream(spark, sf_dir, FEEDS[source].table), contract, f"{work}/{source}/out",
+                                    f"{work}/{source}/checkpoint", evaluate, ONCE)
+
+    def loaded(source):
+        good = spark.read.parquet(f"{work}/{source}/out/silver").select("batch_file", F.lit(None).cast("string").alias("check_name"))
+        bad = spark.read.parquet(f"{work}/{source}/out/quarantine").select("batch_file", "check_name")
+        return good.unionByName(bad).select(F.lit(source).alias("source"), "*")
 
-    stream_checks_.start(table_stream(spark, sf_dir, "lineitem"), CLAIMS, f"{work}/out", f"{work}/checkpoint",
-                         evaluate, ONCE).awaitTermination()
-    good = spark.read.parquet(f"{work}/out/silver").select("batch_file", F.lit(None).cast("string").alias("check_name"))
-    bad = spark.read.parquet(f"{work}/out/quarantine").select("batch_file", "check_name")
-    return good.unionByName(bad).groupBy("batch_file", "check_name").agg(F.count(F.lit(1)).alias("n_rows"))
+    for running in [started(source) for source in CONTRACTS]:
+        running.awaitTermination()
+    rows = reduce(DataFrame.unionByName, map(loaded, CONTRACTS))
+    return rows.groupBy("source", "batch_file", "check_name").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
 @query("stream_throughput", sql="""

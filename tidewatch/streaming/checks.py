@@ -13,22 +13,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidewatch.functions.masking import mask_table
 from tidewatch.operators import checks, silver
 from tidewatch.operators.contracts import Contract
 
 
-def write_checked(checked: DataFrame, contract: Contract, root: str, batch_id: int) -> None:
-    """Findings, then quarantine, then Silver, from one evaluation of the rows."""
+def write_checked(checked: DataFrame, contract: Contract, root: str, batch_id: int, token_status: str = "valid",
+                  fail_open: bool = False) -> None:
+    """Findings, then quarantine, then Silver, from one evaluation of the rows.
+
+    Personal data goes through the mask gate before Silver, and is hidden in quarantine. With an expired token the rows that
+    would have been loaded are held as ``pii``, unless ``fail_open``.
+    """
     checked = checked.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         part = f"micro_batch={batch_id}"
-        bad = checks.bad_rows(checked)
+        bad, good = checks.bad_rows(checked), silver.project(checks.good_rows(checked), contract)
+        if contract.source == "customer_kyc":
+            bad = mask_table(bad)
+            good, refused = silver.mask_gate(good, token_status, fail_open)
+            waiting = refused.select("batch_file", F.lit("pii").alias("check_name"), F.lit("masking not available").alias("reason"),
+                                     *[F.col(n).cast("string").alias(n) for n in contract.columns])
+            bad = bad.select("batch_file", "check_name", "reason", *contract.columns).unionByName(mask_table(waiting), allowMissingColumns=True)
         raw = F.to_json(F.struct(*contract.columns))
         outputs = {
             "findings": checks.findings(checked, contract.source, contract.silver),
             "quarantine": bad.select(F.lit(contract.source).alias("source"), "batch_file", "check_name", "reason",
                                      raw.alias("payload"), F.lit(0).alias("released")),
-            "silver": silver.project(checks.good_rows(checked), contract),
+            "silver": good,
         }
         for name, df in outputs.items():
             df.write.mode("overwrite").parquet(f"{root}/{name}/{part}")
@@ -37,10 +49,11 @@ def write_checked(checked: DataFrame, contract: Contract, root: str, batch_id: i
 
 
 def start(rows: DataFrame, contract: Contract, root: str, checkpoint: str,
-          evaluate: Callable[[DataFrame], DataFrame], trigger: dict | None = None) -> StreamingQuery:
+          evaluate: Callable[[DataFrame], DataFrame], trigger: dict | None = None, token_status: str = "valid",
+          fail_open: bool = False) -> StreamingQuery:
     """``evaluate`` turns one micro-batch of raw rows into checked rows (``checks.evaluate`` with context)."""
     def each(batch: DataFrame, batch_id: int) -> None:
-        write_checked(evaluate(batch), contract, root, batch_id)
+        write_checked(evaluate(batch), contract, root, batch_id, token_status, fail_open)
 
     return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(
         **(trigger or {"processingTime": "10 seconds"})).start()
