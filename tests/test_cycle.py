@@ -246,3 +246,44 @@ def test_empty_file_and_unreadable_line(world):
     assert world.alerts()[("claims", "schema")].problem.startswith("Columns changed: missing claim_id, policy_id")
     assert [q[:2] for q in world.quarantine()] == [("telematics", "type")] * 2
     assert len(world.silver("telematics")) == 1
+
+
+def test_alerts_advanced_by_cycle_equal_the_fold_over_the_whole_log(world, tmp_path):
+    """Failures that stop, come back soon, come back late and overlap; one cycle without a watch; one watch repeated."""
+    import random
+    rng = random.Random(5)
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.log").write_text(json.dumps({
+        "ts": "2024-05-01T10:01:00+00:00", "source": "claims", "level": "ERROR", "message": "feed refused"}) + "\n")
+    for n in range(1, 9):
+        for source, row, faults in (("claims", CLAIM, {"claim_amount": -5, "claim_type": "Meteor"}), ("telematics", TELEMATICS, {"lat": 99})):
+            for k in range(rng.randint(0, 2)):
+                bad = {c: v for c, v in faults.items() if rng.random() < 0.4}
+                world.land(source, [{**row, **bad}], name=f"{source}_{n}_{k}.json")
+        world.run()
+        if n != 4:
+            assert cycle.watch(world.c)
+    assert not cycle.watch(world.c)
+    plain = lambda rows, names: sorted(tuple(str(r[x]) for x in names) for r in rows)
+    whole = cycle.alert_table(world.c)
+    stored = world.c.current("alerts")
+    assert len({r.status for r in stored.collect()}) == 2 and stored.count() > 3
+    assert plain(stored.collect(), whole.columns) == plain(whole.collect(), whole.columns)
+    rolled = world.c.current("incidents").collect()
+    assert sum(r.alerts for r in rolled) == stored.count()
+    causes = world.c.current("causes").collect()
+    assert {r.incident_id for r in causes} == {r.incident_id for r in rolled} and all(r.fix_action for r in causes)
+    assert {r.message for r in world.c.current("evidence").collect()} == {"feed refused"}
+
+
+def test_a_watch_that_failed_leaves_no_trace_and_is_caught_up_with(world, monkeypatch):
+    world.land("claims", [{**CLAIM, "claim_amount": -5}])
+    world.run()
+    with monkeypatch.context() as m:
+        m.setattr(cycle.incidents, "fix_lookup", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            cycle.watch(world.c)
+    assert world.c.current("alerts") is None and world.c.current("batch_counts") is None
+    world.run()
+    assert cycle.watch(world.c)
+    assert [(r.check_name, r.status, r.occurrences) for r in world.c.current("alerts").collect()] == [("range", "OPEN", 1)]

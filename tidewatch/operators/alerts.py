@@ -76,3 +76,44 @@ def state(failures: DataFrame, resolve_after: int = RESOLVE_AFTER_CLEAN_BATCHES)
         F.max_by("v", "batch_no").alias("v"))
     merged = merged.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("detail"))
     return shown.join(merged, key, "left")
+
+
+def advance(known: DataFrame, failures: DataFrame, batches: DataFrame, resolve_after: int = RESOLVE_AFTER_CLEAN_BATCHES) -> DataFrame:
+    """The alerts that one load opens, extends or clears: ``known`` (alerts so far) advanced by the load's failures and batches.
+
+    Applied load by load, this gives the same alerts as ``episodes`` and ``state`` over the whole log, while it orders and folds only
+    the load's own failures and the newest alert of each failing (source, check). Rows carry ``last_batch``, from which the
+    next load goes on. Batch numbers continue from load to load; ``failures`` and ``batches`` are as in ``state`` and ``episodes``.
+    """
+    newest = known.groupBy(*KEY).agg(F.max_by(F.struct("episode", "last_batch", "last_seen"), "episode").alias("a"))
+    seeds = newest.join(failures.select(*KEY).distinct(), KEY, "left_semi").select(
+        *KEY, F.col("a.last_batch").alias("batch_no"), F.col("a.last_seen").alias("ts"), F.col("a.episode").alias("base"))
+    marked = mark_episodes(failures.withColumn("base", F.lit(None).cast("long")).unionByName(seeds, allowMissingColumns=True), resolve_after)
+    base = seeds.select(*KEY, F.col("base").alias("before"))
+    new = marked.where(F.col("base").isNull()).join(base, KEY, "left").withColumn(
+        "episode", F.col("episode") + F.coalesce(F.col("before") - 1, F.lit(0)))
+    key = [*KEY, "episode"]
+    added = new.groupBy(*key).agg(
+        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("occurrences"),
+        F.max("batch_no").alias("last_batch"), F.min_by("severity", "batch_no").alias("severity"), F.min_by("node", "batch_no").alias("node"),
+        F.max_by("problem", "batch_no").alias("problem"))
+    details = new.select(*key, "batch_no", F.explode("detail").alias("k", "v")).groupBy(*key, "k").agg(F.max_by("v", "batch_no").alias("v")).groupBy(
+        *key).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("detail"))
+    added = added.join(details, key, "left")
+    # An alert that is still open may be extended or cleared; one that has cleared stays as it is.
+    both = known.where(F.col("status") == "OPEN").select(*added.columns).unionByName(added)
+    merged = both.groupBy(*key).agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("occurrences").alias("occurrences"),
+        F.min_by("severity", "last_batch").alias("severity"), F.min_by("node", "last_batch").alias("node"),
+        F.max_by("problem", "last_batch").alias("problem"), F.min_by("detail", "last_batch").alias("older"),
+        F.max_by("detail", "last_batch").alias("newer"), F.max("last_batch").alias("last_batch"))
+    blank = F.create_map().cast("map<string,string>")
+    detail = F.map_zip_with(F.coalesce("older", blank), F.coalesce("newer", blank), lambda k, a, b: F.coalesce(b, a))
+    closing = batches.select("source", (F.col("batch_no") - resolve_after).alias("last_batch"), F.col("ts").alias("resolved_at"))
+    reached = batches.groupBy("source").agg(F.max("batch_no").alias("newest_batch"))
+    out = merged.join(closing, ["source", "last_batch"], "left").join(reached, "source")
+    return out.select(
+        *key, "first_seen", "last_seen", "occurrences",
+        F.least(F.col("newest_batch") - F.col("last_batch"), F.lit(resolve_after)).cast("long").alias("clean_batches"),
+        F.when(F.col("resolved_at").isNull(), "OPEN").otherwise("RESOLVED").alias("status"), "resolved_at", "severity", "node", "problem",
+        F.map_from_entries(F.array_sort(F.map_entries(detail))).alias("detail"), "last_batch")

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.functions.masking import mask_payload
-from tidewatch.operators import alerts, batches, checks, gold, silver
+from tidewatch.operators import alerts, batches, checks, gold, incidents, silver
 from tidewatch.operators.contracts import CONTRACTS, Contract
 from tidewatch.session import cut_lineage
-from tidewatch.sources import landing, tables
+from tidewatch.sources import landing, logs, tables
 from tidewatch.sources.commits import Commits
 
 ORDER = ["batch_file", "split", "seq"]
@@ -26,6 +26,11 @@ QUARANTINE = ("source string, batch_file string, split long, seq long, check_nam
 FINDINGS = ("source string, batch_file string, check_name string, node string, severity string, failure_count long, "
             "failed_rows long, total_rows long, examples string, problem string, ts timestamp")
 RELEASED = "source string, batch_file string, split long, seq long"
+ALERTS = ("source string, check_name string, episode long, first_seen timestamp, last_seen timestamp, occurrences long, "
+          "clean_batches long, status string, resolved_at timestamp, severity string, node string, problem string, "
+          "detail map<string,string>, last_batch long")
+ALERT_KEY = ["source", "check_name", "episode"]
+COUNTS = "source string, batches long, cycle int"
 GATES = "node string, blocked int, reason string"
 PRODUCTS = ("gold_driver_risk_score", "gold_claims_summary", "gold_fraud_watchlist", "gold_customer_360",
             "gold_compliance_report")
@@ -253,9 +258,64 @@ def load(c: Cycle) -> None:
 
 
 def run(c: Cycle) -> list[str]:
-    """Load all new files, then the gates, then Gold. Returns the rebuilt products."""
+    """Load all new files, then the gates, then Gold, then alerts and incidents. Returns the rebuilt products."""
     load(c)
-    return build_gold(c, gate(c))
+    built = build_gold(c, gate(c))
+    watch(c)
+    return built
+
+
+def current_or(c: Cycle, name: str, schema: str) -> DataFrame:
+    found = c.current(name)
+    return c.spark.createDataFrame([], schema) if found is None else found
+
+
+def watch(c: Cycle, decisions: DataFrame | None = None) -> bool:
+    """Alerts, incidents, evidence and causes after this cycle, as one commit; False where that was done before.
+
+    Alerts advance by the findings and files of the cycles since the last watch (cycles that were loaded without one are caught
+    up with), and only changed alerts are written. Incidents and causes follow from the alerts, which are few; log lines are
+    read from ``root/logs`` where there are any. Times of loads must rise from cycle to cycle.
+    """
+    step = f"watch {c.number}"
+    if c.commits.has(step):
+        return False
+    c.commits.forget()
+    before = current_or(c, "batch_counts", COUNTS)
+    seen = before.agg(F.coalesce(F.max("cycle"), F.lit(0))).first()[0]
+    no = F.col("cycle").try_cast("int")
+    since = lambda rows: rows.where((no > seen) & (no <= c.number))
+    arrived = since(c.log("registry", f"{REGISTRY}, cycle string")).select("source", "file", "ingested_at")
+    numbered = alerts.number_batches(arrived).join(before.select("source", "batches"), "source", "left")
+    numbered = c.stage(numbered.select("source", F.col("file").alias("batch_file"), F.col("ingested_at").alias("ts"), (
+        F.col("batch_no") + F.coalesce("batches", F.lit(0))).alias("batch_no")), "numbered")
+    text = lambda n: F.col(n).cast("string")
+    found = since(c.log("findings", f"{FINDINGS}, cycle string")).drop("ts", "cycle").join(numbered, ["source", "batch_file"]).select(
+        "source", "check_name", "batch_no", "ts", "severity", "node", "problem", F.create_map(
+            F.lit("failed_rows"), text("failure_count"), F.lit("total_rows"), text("total_rows")).alias("detail"))
+    known = current_or(c, "alerts", f"{ALERTS}, arrived int")
+    changed = c.stage(alerts.advance(known.drop("arrived"), c.stage(found, "failures"), numbered).withColumn("arrived", F.lit(c.number)), "changed_alerts")
+    c.commits.upsert(changed, "alerts", ALERT_KEY, "arrived", buckets=8)
+    now_known = c.stage(silver.merge(known, changed.select(*known.columns), ALERT_KEY, "arrived"), "alerts_now")
+
+    rolled = c.stage(incidents.rollup(now_known, decisions), "incidents_now")
+    linked = incidents.link_alerts(now_known, decisions).join(rolled.select("source", "incident_no", "incident_id"), ["source", "incident_no"])
+    spans = rolled.select("incident_id", "source", "opened_at", F.coalesce("closed_at", c.now()).alias("until"))
+    lines = c.stage(incidents.evidence(spans, log_lines(c)), "evidence_now")
+    c.replace("incidents", rolled)
+    c.replace("evidence", lines)
+    c.replace("causes", incidents.fix_lookup(incidents.root_cause(linked, lines)))
+    counts = before.select("source", "batches").unionByName(numbered.groupBy("source").agg(F.count(F.lit(1)).alias("batches")))
+    # A row without source keeps the cycle reached also where nothing has ever arrived.
+    mark = c.spark.createDataFrame([(None, 0)], "source string, batches long")
+    c.replace("batch_counts", counts.unionByName(mark).groupBy("source").agg(F.sum("batches").alias("batches")).withColumn("cycle", F.lit(c.number)))
+    c.commits.commit(step)
+    return True
+
+
+def log_lines(c: Cycle) -> DataFrame:
+    found = tables.if_there(lambda: logs.evidence_lines(logs.read_logs(c.spark, f"{c.root}/logs")))
+    return c.spark.createDataFrame([], "ts timestamp, source string, level string, message string") if found is None else found
 
 
 def alert_table(c: Cycle) -> DataFrame:
