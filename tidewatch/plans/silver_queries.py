@@ -208,7 +208,9 @@ def remask_test(spark, sf_dir):
     return silver.remask_test(silver_customer(spark, sf_dir), "customer_id")
 
 
-@query("repair_verify", sql="SELECT 0::BIGINT AS leaks, true AS passed FROM customer HAVING count(*) > 0")
+@query("repair_verify", sql=f"""
+WITH {CUSTOMER_SQL}, remasked AS (SELECT {', '.join(f'{m} AS {c}' for c, m in MASK_SQL.items())}, 1 AS masked FROM customer_good)
+SELECT count(*) AS leaks, count(*) = 0 AS passed FROM remasked WHERE {LEAKS_SQL}""")
 def repair_verify(spark, sf_dir):
     return silver.repair_verify(silver.remask(silver_customer(spark, sf_dir)))
 
