@@ -193,9 +193,9 @@ def node_metrics(spark, sf_dir):
 
 
 @query("compliance_counts", sql=f"""
-WITH {CUSTOMER_SQL}, {EPISODES_SQL}
-SELECT count(*) AS total, count(CASE WHEN masked = 0 THEN 1 END) AS unmasked, 0::BIGINT AS pii_alerts,
-  CASE WHEN count(CASE WHEN masked = 0 THEN 1 END) > 0 THEN 'AT RISK' ELSE 'PASS' END AS state FROM silver_customer""")
+WITH {CUSTOMER_SQL}, {EPISODES_SQL}, pii AS (SELECT count(*) AS pii_alerts FROM episodes WHERE check_name = 'pii' AND status = 'OPEN'),
+c AS (SELECT count(*) AS total, count(CASE WHEN masked = 0 THEN 1 END) AS unmasked FROM silver_customer)
+SELECT total, unmasked, pii_alerts, CASE WHEN unmasked > 0 OR pii_alerts > 0 THEN 'AT RISK' ELSE 'PASS' END AS state FROM c, pii""")
 def compliance_counts(spark, sf_dir):
     return metrics.compliance_counts(silver_customer(spark, sf_dir), alert_table(spark, sf_dir))
 
