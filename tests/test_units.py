@@ -1,6 +1,8 @@
 """Small literal inputs and property tests for the helpers and folds."""
 
+import csv
 import datetime
+import io
 import random
 
 import pytest
@@ -97,7 +99,7 @@ def test_first_owner_and_missing_reference(spark):
         first.setdefault(pan, owner)
     assert got == {pos: (first[pan] if pan else None) for pos, pan, _ in rows}
     known = spark.createDataFrame([("p1",), ("p1",), (None,)], "pan string")
-    out = {r.pos: r.gone for r in skew.mark_missing(df, "pan", known, ["pos"], "gone").collect()}
+    out = {r.pos: r.gone for r in skew.mark_missing(df, "pan", known, "gone").collect()}
     assert out == {pos: pan in ("p2", "p3") for pos, pan, _ in rows}
 
 
@@ -205,6 +207,18 @@ def test_csv_files_with_different_headers_do_not_mix(spark, tmp_path):
         ({"a": "007", "b": "x, y"}, None), ({"a": "1.50", "b": ""}, None), ({"a": "1", "z": "2"}, None), (None, "1,2,3")]
 
 
+def test_cells_equal_the_standard_reader(spark):
+    rng = random.Random(23)
+    cell = lambda: "".join(rng.choice('ab ,"\\é') for _ in range(rng.randint(0, 5)))
+    rows = [[cell() for _ in range(rng.randint(1, 6))] for _ in range(400)] + [[""], ["", ""], ["x" * 100_000, 'q"' * 20_000]]
+    out = io.StringIO()
+    csv.writer(out, lineterminator="\n").writerows(rows)
+    lines = out.getvalue().split("\n")[:-1] + ["a,b\r", ",", '"",', 'a"b,c']
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, t string").select("i", landing.split_cells(F.col("t")).alias("c"))
+    want = [next(csv.reader([t.rstrip("\r")])) if t else [""] for t in lines]
+    assert [r.c for r in got.orderBy("i").collect()] == want
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.lists(st.tuples(st.sampled_from(["D1", "D2", ""]), st.sampled_from(["10", "400", "x", ""]),
                           st.sampled_from(["10", "99"])), min_size=1, max_size=25))

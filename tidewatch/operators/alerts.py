@@ -56,7 +56,7 @@ def episodes(failures: DataFrame, batches: DataFrame, resolve_after: int = RESOL
     closing = batches.select("source", (F.col("batch_no") - resolve_after).alias("last_batch"), F.col("ts").alias("cleared_at"))
     newest = batches.groupBy("source").agg(F.max("batch_no").alias("newest_batch"))
     alerts = alerts.join(closing, ["source", "last_batch"], "left")
-    alerts = skew.lookup(alerts, ["source"], newest, ["check_name", "episode"])
+    alerts = skew.lookup(alerts, ["source"], newest)
     resolved = F.least("cleared_at", "repaired_at")
     return alerts.select(
         *KEY, "episode", "first_seen", "last_seen", "occurrences",

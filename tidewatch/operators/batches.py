@@ -91,11 +91,11 @@ def schema_drift(rows: DataFrame, contract: Contract, order: Sequence[str], file
         F.concat(F.lit("Columns changed: "), F.array_join(parts, "; ")).alias("problem"))
 
 
-def schema_gate(rows: DataFrame, drift: DataFrame, spread: Sequence[str]) -> DataFrame:
+def schema_gate(rows: DataFrame, drift: DataFrame) -> DataFrame:
     """Add ``gate_reason``: set on every row of a batch that lacks a required column."""
     blocked = drift.where(F.size("blocking") > 0).select(
         "batch_file", F.concat(F.lit("missing column "), F.array_join("blocking", ", ")).alias("gate_reason"))
-    return skew.lookup(rows, ["batch_file"], blocked, spread)
+    return skew.lookup(rows, ["batch_file"], blocked)
 
 
 def gate_reasons(checked: DataFrame) -> DataFrame:

@@ -133,7 +133,7 @@ def evaluate(
         rules.append(reconcile_rule("parts_cost", "labour_cost", "total"))
         if known_claims is not None and "referential" in only:
             known = known_claims.select(F.col("claim_id").alias("t_claim_id"))
-            df = skew.mark_missing(df, "t_claim_id", known, order, "unknown_claim")
+            df = skew.mark_missing(df, "t_claim_id", known, "unknown_claim")
             rules.append(Rule("referential", "claim_id", F.col("unknown_claim"),
                               F.concat(F.lit("claim "), F.col("t_claim_id"), F.lit(" does not exist"))))
     rules += extra_rules

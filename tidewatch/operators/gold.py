@@ -19,13 +19,13 @@ def _total(value: Column) -> Column:
 
 def risk_score(telematics: DataFrame, policies: DataFrame) -> DataFrame:
     """Score per vehicle and policy. Readings shrink to one row per vehicle before the join; a vehicle
-    may have any number of policies, so they look it up by salted key."""
+    may have any number of policies, so they look it up in a written table."""
     harsh = (F.col("harsh_brake") + F.col("harsh_accel")).cast("long")
     per_vehicle = telematics.groupBy("vehicle_id").agg(
         F.count(F.lit(1)).alias("readings"), _total(F.col("speed_kmph")).alias("speed"), F.sum(harsh).alias("harsh"),
         F.count("speed_kmph").alias("n_speed"))
     owners = policies.select("vehicle_id", "policy_id", F.concat("make", F.lit(" "), "model").alias("car"))
-    owned = skew.lookup(owners, ["vehicle_id"], per_vehicle, ["policy_id"]).where(F.col("readings").isNotNull())
+    owned = skew.lookup(owners, ["vehicle_id"], per_vehicle).where(F.col("readings").isNotNull())
     free = per_vehicle.join(owners.select("vehicle_id").distinct(), "vehicle_id", "left_anti")
     joined = owned.unionByName(free, allowMissingColumns=True)
     speed = F.col("speed").cast("double") / F.col("n_speed")
@@ -49,10 +49,10 @@ def claims_summary(claims: DataFrame) -> DataFrame:
 def fraud_watchlist(bills: DataFrame, claims: DataFrame, quarantine: DataFrame) -> DataFrame:
     """Bills well above their claim, and duplicate claims stopped in quarantine (JSON payload).
 
-    A claim is one Silver row but may have many bills, so bills look their claim up by salted key.
+    A claim is one Silver row but may have many bills, so bills look their claim up in a written table.
     """
     facts = claims.select("claim_id", "vehicle_id", "claim_amount")
-    billed = skew.lookup(bills.select("bill_id", "claim_id", "total", "garage_id"), ["claim_id"], facts, ["bill_id"])
+    billed = skew.lookup(bills.select("bill_id", "claim_id", "total", "garage_id"), ["claim_id"], facts)
     over = billed.where(F.col("total") > F.col("claim_amount") * BILL_TOLERANCE).select(
         "claim_id", "vehicle_id", "claim_amount", F.col("total").alias("bill_total"), "garage_id",
         F.lit("Repair bill above claim amount").alias("flag"))

@@ -51,7 +51,7 @@ def replay(quarantined: DataFrame, contract: Contract, order: Sequence[str], ren
     held = quarantined.where((F.col("released") == 0) & F.col("check_name").isin(*held_for))
     mapped = remapped(held, rename, drop)
     drift = batches.schema_drift(mapped, contract, order)
-    gated = batches.schema_gate(mapped, drift, order)
+    gated = batches.schema_gate(mapped, drift)
     view = batches.contract_view(gated, contract, list(dict.fromkeys(["batch_file", "gate_reason", *order])))
     checked = check(view) if check else checks.evaluate(view, contract, order)
     return batches.gate_reasons(checked)

@@ -1,68 +1,47 @@
 """Per-key facts attached to every row without sending all rows of one key to one task.
 
-A plain ``window over (key)`` or ``rows join (aggregate by key)`` puts a key that holds a third
-of the data into a single reducer, and adaptive skew handling does not split a join whose
-other side is an aggregate. Here each key is cut into salts by a hash of the row position:
+A plain ``window over (key)`` puts a key that holds a third of the data into a single reducer, and adaptive skew handling
+does not split a join whose other side is an aggregate. Here
 
-1. aggregate by (key, salt), combined on the map side;
-2. combine the partial rows of a key, at most one per salt, in a small window;
-3. join the rows back on (key, salt), which spreads a hot key over all reducers.
-
-Step 2 may drop keys that do not matter (keys seen once), which leaves a small right-hand
-side that the adaptive planner can turn into a broadcast once it has measured it.
+1. facts are aggregated by key, combined on the map side, so a hot key sends one row per task;
+2. keys without a fact worth telling (keys seen once, references that exist) are dropped, and the rest is written;
+3. rows join that table. Its size is then known: a small one is broadcast by Spark's own threshold and no row moves; a large
+   one is a plain scan, so adaptive execution splits the partition of a hot key.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.session import salt_count
-
-_SALT = "__salt"
-
+from tidewatch.session import written
 
-def _same(names: Sequence[str]) -> Column:
-    pairs = [F.col(n).eqNullSafe(F.col(f"__r_{n}")) for n in names]
-    return reduce(lambda a, b: a & b, pairs)
 
-
-def _salted(df: DataFrame, spread: Sequence[str | Column], salts: int | None) -> DataFrame:
-    n = salts or salt_count(df.sparkSession)
-    cols = [F.col(c) if isinstance(c, str) else c for c in spread]
-    return df.withColumn(_SALT, F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int"))
+def _joined(df: DataFrame, keys: Sequence[str], facts: DataFrame) -> DataFrame:
+    """Left join with written ``facts``, one row per key. NULL key parts meet each other."""
+    values = [c for c in facts.columns if c not in keys]
+    table = written(facts.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *values), "facts")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
+    return df.join(table, same, "left").drop(*[f"__r_{k}" for k in keys])
 
 
 def attach_group(
     df: DataFrame,
     keys: Sequence[str],
-    spread: Sequence[str | Column],
-    partial: Mapping[str, Column],
-    final: Mapping[str, Callable[[Window], Column]],
+    facts: Mapping[str, Column],
     keep: Column | None = None,
     where: Column | None = None,
-    salts: int | None = None,
 ) -> DataFrame:
-    """Add the ``final`` columns, computed over all rows with the same ``keys``.
+    """Add the aggregates ``facts``, computed over all rows with the same ``keys``.
 
-    ``partial`` are aggregates by (key, salt); each ``final`` entry combines them over the
-    window it is given. Keys failing ``keep`` (a condition on final columns) and rows failing
-    ``where`` get NULL.
+    Keys failing ``keep`` (a condition on the facts) and keys that only rows failing ``where`` have get NULL.
     """
-    salted = _salted(df, spread, salts)
-    counted = salted if where is None else salted.where(where)
-    parts = counted.groupBy(*keys, _SALT).agg(*[c.alias(f"__p_{n}") for n, c in partial.items()])
-    window = Window.partitionBy(*keys)
-    facts = parts.select(*keys, _SALT, *[f(window).alias(n) for n, f in final.items()])
-    if keep is not None:
-        facts = facts.where(keep)
-    names = [*keys, _SALT]
-    facts = facts.select(*[F.col(n).alias(f"__r_{n}") for n in names], *final)
-    joined = salted.join(facts, _same(names), "left")
-    return joined.drop(_SALT, *[f"__r_{n}" for n in names])
+    counted = df if where is None else df.where(where)
+    per_key = counted.groupBy(*keys).agg(*[c.alias(n) for n, c in facts.items()])
+    return _joined(df, keys, per_key if keep is None else per_key.where(keep))
 
 
 def _position(order: Sequence[str]) -> Column:
@@ -76,53 +55,31 @@ def mark_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
     NULL key parts count as equal to each other.
     """
     pos = _position(order)
-    out = attach_group(
-        df, keys, order,
-        {"first": F.min(pos), "n": F.count(F.lit(1))},
-        {"__first": lambda w: F.min("__p_first").over(w), "__n": lambda w: F.sum("__p_n").over(w)},
-        keep=F.col("__n") > 1,
-    )
+    out = attach_group(df, keys, {"__first": F.min(pos), "__n": F.count(F.lit(1))}, keep=F.col("__n") > 1)
     repeated = F.col("__first").isNotNull() & (pos != F.col("__first"))
     return out.withColumn(name, repeated).drop("__first", "__n")
 
 
 def attach_first_owner(df: DataFrame, key: str, owner: str, order: Sequence[str], name: str) -> DataFrame:
     """Owner of the first row carrying ``key``, for keys that more than one owner uses (else NULL)."""
-    first = F.min(F.struct(F.struct(*order).alias("pos"), F.col(owner).alias("owner")))
     known = F.coalesce(F.col(owner), F.lit("None"))
     out = attach_group(
-        df, [key], order,
-        {"first": first, "low": F.min(known), "high": F.max(known)},
-        {"__first": lambda w: F.min("__p_first").over(w),
-         "__low": lambda w: F.min("__p_low").over(w),
-         "__high": lambda w: F.max("__p_high").over(w)},
-        keep=F.col("__low") != F.col("__high"),
-        where=F.col(key).isNotNull(),
-    )
-    owner_of = F.when(F.col("__first").isNotNull(), F.coalesce(F.col("__first.owner"), F.lit("None")))
-    return out.withColumn(name, owner_of).drop("__first", "__low", "__high")
-
-
-def mark_missing(df: DataFrame, key: str, reference: DataFrame, spread: Sequence[str], name: str) -> DataFrame:
+        df, [key],
+        {"__first": F.min(F.struct(F.struct(*order).alias("pos"), known.alias("owner"))), "__low": F.min(known), "__high": F.max(known)},
+        keep=F.col("__low") != F.col("__high"), where=F.col(key).isNotNull())
+    return out.withColumn(name, F.col("__first.owner")).drop("__first", "__low", "__high")
+
+
+def mark_missing(df: DataFrame, key: str, reference: DataFrame, name: str) -> DataFrame:
     """Boolean column: ``key`` is set but absent from ``reference`` (one column of the same name).
 
     Both sides shrink to distinct keys before they meet; rows join only the absent keys.
     """
-    salted = _salted(df, spread, None)
-    wanted = salted.where(F.col(key).isNotNull()).select(key, _SALT).distinct()
-    absent = wanted.join(reference.select(key).distinct(), key, "left_anti")
-    absent = absent.select(F.col(key).alias(f"__r_{key}"), F.col(_SALT).alias(f"__r_{_SALT}"),
-                           F.lit(True).alias("__absent"))
-    joined = salted.join(absent, _same([key, _SALT]), "left")
-    return joined.withColumn(name, F.coalesce("__absent", F.lit(False))).drop(
-        "__absent", _SALT, f"__r_{key}", f"__r_{_SALT}")
+    wanted = df.where(F.col(key).isNotNull()).select(key).distinct()
+    absent = wanted.join(reference.select(key).distinct(), key, "left_anti").withColumn("__absent", F.lit(True))
+    return _joined(df, [key], absent).withColumn(name, F.coalesce("__absent", F.lit(False))).drop("__absent")
 
 
-def lookup(df: DataFrame, keys: Sequence[str], facts: DataFrame, spread: Sequence[str | Column]) -> DataFrame:
+def lookup(df: DataFrame, keys: Sequence[str], facts: DataFrame) -> DataFrame:
     """Left join with ``facts`` (one row per key) where a key may hold a large share of ``df``."""
-    names = [*keys, _SALT]
-    salted = _salted(df, spread, None)
-    wanted = salted.select(*names).distinct().join(facts, list(keys))
-    values = [c for c in facts.columns if c not in keys]
-    wanted = wanted.select(*[F.col(n).alias(f"__r_{n}") for n in names], *values)
-    return salted.join(wanted, _same(names), "left").drop(_SALT, *[f"__r_{n}" for n in names])
+    return _joined(df, keys, facts)

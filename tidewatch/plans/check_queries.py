@@ -405,7 +405,7 @@ FROM events e JOIN drift d ON d.batch_file = e.event_type || '_' || strftime(e.t
 def schema_gate(spark, sf_dir):
     rows = event_maps(spark, sf_dir)
     drift = batches.schema_drift(rows, event_contract(), ["event_id"])
-    return batches.schema_gate(rows, drift, ["event_id"]).select("event_id", "batch_file", "gate_reason")
+    return batches.schema_gate(rows, drift).select("event_id", "batch_file", "gate_reason")
 
 
 @query("column_mapping", sql="""

@@ -124,7 +124,7 @@ def load_rows(c: Cycle, contract: Contract, files: DataFrame, raw: DataFrame) ->
     judged = files.select("batch_file").join(unreadable, "batch_file", "left_anti").unionByName(
         parsed.select("batch_file").distinct())
     drift = cut_lineage(batches.schema_drift(parsed, contract, ["split", "seq"], judged))
-    gated = batches.schema_gate(parsed, drift, ["split", "seq"])
+    gated = batches.schema_gate(parsed, drift)
     view = batches.contract_view(gated, contract, ["batch_file", "split", "seq", "payload", "gate_reason"])
     open_rows = view.where(F.col("gate_reason").isNull())
     checked = checks.evaluate(

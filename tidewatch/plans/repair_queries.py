@@ -25,7 +25,7 @@ def quarantined(spark, sf_dir):
 
     drifted = as_map({"vehicle_id": "vehicle_ref"}, F.lit("sales_channel"), F.lit("web"))
     maps = rows.select("batch_file", "pos", F.when(F.expr(DRIFTED), drifted).otherwise(as_map({})).alias("payload"))
-    gated = batches.schema_gate(maps, batches.schema_drift(maps, POLICY, POS), POS)
+    gated = batches.schema_gate(maps, batches.schema_drift(maps, POLICY, POS))
     return cut_lineage(gated.where(F.col("gate_reason").isNotNull()).select(
         "batch_file", "pos", "payload", F.lit("schema").alias("check_name"), F.lit(0).alias("released")))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import csv
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,45 +49,47 @@ def read_ndjson(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return parse_json(read_lines(spark, paths))
 
 
-def csv_headers(lines: DataFrame) -> DataFrame:
-    """The header line of each file. Only first splits are looked at; the minimum combines map-side."""
-    return lines.where(F.col("split") == 0).groupBy("batch_file").agg(
-        F.min_by("value", "seq").alias("header"), F.min("seq").alias("header_seq"))
+# A cell after its comma: quoted, with doubled quotes inside, or up to the next comma.
+CELL = r',(?:"(?:[^"]++|"")*+"(?=,|$)|[^,]*+)'
+
+
+def split_cells(line: Column) -> Column:
+    """The cells of one CSV line as an array of any length."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), F.regexp_replace(line, "\\r$", "")), F.lit(CELL), F.lit(0))
 
+    def bare(cell: Column) -> Column:
+        inner = F.substring(cell, F.lit(3), F.length(cell) - 3)
+        return F.when((F.length(cell) > 2) & F.startswith(cell, F.lit(',"')) & F.endswith(cell, F.lit('"')),
+                      F.replace(inner, F.lit('""'), F.lit('"'))).otherwise(F.substring(cell, F.lit(2), F.length(cell)))
 
-def _cells(line: Column, n: int) -> Column:
-    return F.from_csv(line, ", ".join(f"c{i} string" for i in range(n)), {"mode": "PERMISSIVE", "quote": '"'})
+    return F.transform(found, bare)
+
+
+def csv_headers(lines: DataFrame) -> DataFrame:
+    """The header line of each file with its column names and the places that count: of a repeated name, the last.
+    Only first splits are looked at; the minimum combines map-side."""
+    first = lines.where(F.col("split") == 0).groupBy("batch_file").agg(
+        F.min_by("value", "seq").alias("header"), F.min("seq").alias("header_seq"))
+    named = first.select("batch_file", "header_seq", split_cells(F.regexp_replace("header", "^\ufeff", "")).alias("names"))
+    places = F.filter(F.sequence(F.lit(0), F.size("names") - 1), lambda i: ~F.array_contains(
+        F.slice("names", i + 2, F.size("names")), F.get("names", i)))
+    return named.withColumn("places", places)
 
 
 def parse_csv(lines: DataFrame) -> DataFrame:
     """CSV rows as maps under their own file's header, so files with different headers never mix.
 
-    Files are grouped by header (a handful of distinct texts, one per schema version) and each group
-    is read with its own column list. A cell count that differs from the header is malformed. Cells
-    with line breaks are not supported.
+    Each line becomes an array of cells and is zipped with the column names of its file, which a join attaches: one plan for any
+    number of headers. A row with more cells than its header is malformed, absent trailing cells are empty. Cells with
+    line breaks are not supported.
     """
-    headers = csv_headers(lines)
-    versions = [r["header"] for r in headers.select("header").distinct().collect()]
-    headed = skew.lookup(lines, ["batch_file"], headers, ["split", "seq"]).where(
+    headed = skew.lookup(lines, ["batch_file"], csv_headers(lines)).where(
         ((F.col("split") > 0) | (F.col("seq") > F.col("header_seq"))) & (F.trim("value") != ""))
-    out = None
-    for header in versions:
-        rows = headed.where(F.col("header") == header)
-        names = _split_header(header)
-        n = len(names)
-        cells = rows.withColumn("__cells", _cells(F.col("value"), n + 1))
-        bad = F.col("__cells").isNull() | F.col(f"__cells.c{n}").isNotNull()
-        # An absent trailing cell reads as NULL: that row has fewer cells than the header.
-        place = {name: i for i, name in enumerate(names)}  # of a repeated column name the last cell counts
-        payload = F.create_map(*[x for name, i in place.items() for x in (F.lit(name), F.coalesce(F.col(f"__cells.c{i}"), F.lit("")))])
-        part = cells.select("batch_file", "split", "seq", F.when(~bad, payload).alias("payload"),
-                            F.when(bad, F.col("value")).alias("malformed"))
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else lines.sparkSession.createDataFrame([], RAW_SCHEMA)
-
-
-def _split_header(header: str) -> list[str]:
-    return next(csv.reader([header.lstrip("﻿").rstrip("\r")]))
+    cells = headed.withColumn("__cells", split_cells(F.col("value")))
+    bad = F.size("__cells") > F.size("names")
+    payload = F.map_from_arrays(F.transform("places", lambda i: F.get("names", i)),
+                                F.transform("places", lambda i: F.coalesce(F.get("__cells", i), F.lit(""))))
+    return cells.select("batch_file", "split", "seq", F.when(~bad, payload).alias("payload"), F.when(bad, F.col("value")).alias("malformed"))
 
 
 def read_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
