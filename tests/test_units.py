@@ -273,3 +273,50 @@ def test_streamed_customers_pass_the_mask_gate(spark, tmp_path):
         kept = spark.read.parquet(f"{root}/quarantine").collect()
         assert {r["check_name"] for r in kept} == held
         assert all("Asha" not in r["payload"] and "9876543210" not in r["payload"] for r in kept)
+
+
+def test_blast_radius_and_first_cause_on_random_graphs(spark):
+    """Trees, shared nodes, cycles and self-loops, against a plain walk."""
+    rng = random.Random(31)
+    edges = set()
+    for g, (n, extra) in enumerate([(12, 0), (10, 3), (9, 6), (6, 9), (1, 1)]):
+        name = lambda i: f"g{g}n{i}"  # noqa: B023, E731
+        edges |= {(name(rng.randrange(i)), name(i)) for i in range(1, n)} | {(name(rng.randrange(n)), name(rng.randrange(n))) for _ in range(extra)}
+    names = sorted({x for e in edges for x in e})
+    layer = {x: rng.choice(["gold", "silver"]) for x in names}
+    owner = {x: rng.choice(["o1", "o2", "o3", None]) for x in names}
+
+    def below(start):
+        seen, todo = set(), [start]
+        while todo:
+            at = todo.pop()
+            new = {d for s, d in edges if s == at} - seen
+            seen |= new
+            todo += new
+        return seen
+
+    e = spark.createDataFrame(sorted(edges) * 2, "src string, dst string")
+    nodes = spark.createDataFrame([(x, layer[x], owner[x]) for x in names], "id string, layer string, owner string")
+    got = {r.start: (r.steps, r.products, r.owners) for r in lineage.blast_radius(e, nodes).collect()}
+    gold = lambda s: [x for x in below(s) if layer[x] == "gold"]
+    assert got == {s: (len(below(s)), len(gold(s)), len({owner[x] for x in gold(s)} - {None})) for s in names if below(s)}
+
+    reds = rng.sample(names, 8)
+    starts = spark.createDataFrame([(x, i) for i, x in enumerate(reds)], "start string, pos long")
+    want = {x: next(r for r in reds if x in below(r)) for x in names if any(x in below(r) for r in reds)}
+    assert {r.node: r.cause for r in lineage.first_cause(starts, e).collect()} == want
+    assert lineage.first_cause(starts.limit(0), e).count() == 0 and lineage.blast_radius(e.limit(0), nodes).count() == 0
+
+
+def test_impact_text(spark):
+    gold = spark.createDataFrame(
+        [("one", "gold_b", "x", 5.0, False, []), ("one", "gold_a", "x", 5.0, False, ["law"]), ("held", "gold_c", "x", 7.6, True, []),
+         ("held", "gold_d", "y", -3.0, True, ["law"]), *[("many", f"gold_{i:02d}", "x", 1.0, False, []) for i in range(12)]],
+        "incident_id string, node string, owner string, minutes_left double, blocked boolean, regulation array<string>")
+    everyone = spark.createDataFrame([("one",), ("held",), ("many",), ("none",)], "incident_id string")
+    got = {r.incident_id: (r.products, r.regulated, r.summary) for r in lineage.impact_summary(gold, everyone).collect()}
+    assert got == {
+        "one": (2, 1, "2 data products receive incomplete data: a, b. None blocked yet."),
+        "held": (2, 1, "2 data products affected; 2 blocked. gold_d (y) breaches its SLA in 0 min."),
+        "many": (12, 0, "12 data products receive incomplete data: 00, 01, 02, 03, 04, 05, 06, 07, 08, 09 and 2 more. None blocked yet."),
+        "none": (0, 0, "No data products affected.")}

@@ -5,16 +5,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.session import cut_lineage
 
 DEFAULT_SLA_MINUTES = 60
+NAMED = 10  # products that a summary spells out
 # The colour of each severity.
 COLOUR = {"CRITICAL": "red", "HIGH": "red", "MEDIUM": "yellow", "LOW": "yellow"}
 
 
+def no_rules() -> Column:
+    return F.array().cast("array<string>")
+
+
 def downstream(starts: DataFrame, edges: DataFrame) -> DataFrame:
     """(start, node, hops) for every node reachable from ``starts(start)``; cycles end.
 
@@ -40,6 +45,27 @@ def upstream(starts: DataFrame, edges: DataFrame) -> DataFrame:
     return downstream(starts, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
+def first_cause(starts: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, cause) for every node below ``starts(start, pos)``: its ancestor among them with the least ``pos``.
+
+    Each node keeps one candidate and passes it on when it improves, so no (ancestor, node) pairs are formed: a round holds at most
+    one row per node, and there are no more rounds than steps on the longest path without a cycle.
+    """
+    edges = cut_lineage(edges.select("src", "dst").distinct())
+    least = F.min(F.struct("pos", "start")).alias("at")
+    moving = starts.groupBy(F.col("start").alias("node")).agg(F.min("pos").alias("pos")).select("node", F.struct("pos", F.col("node").alias("start")).alias("at"))
+    best = None
+    while True:
+        sent = moving.join(edges, moving["node"] == edges["src"]).select(F.col("dst").alias("node"), "at.pos", "at.start").groupBy("node").agg(least)
+        if best is not None:
+            old = best.select(F.col("node").alias("__node"), F.col("at").alias("__at"))
+            sent = sent.join(old, F.col("node") == F.col("__node"), "left").where(F.col("__at").isNull() | (F.col("at") < F.col("__at"))).select("node", "at")
+        moving = cut_lineage(sent)
+        if moving.isEmpty():
+            return (moving if best is None else best).select("node", F.col("at.start").alias("cause"))
+        best = moving if best is None else cut_lineage(best.unionByName(moving).groupBy("node").agg(F.min("at").alias("at")))
+
+
 def node_status(nodes: DataFrame, edges: DataFrame, open_alerts: DataFrame, blocked: DataFrame) -> DataFrame:
     """Colour and reason per node.
 
@@ -56,10 +82,8 @@ def node_status(nodes: DataFrame, edges: DataFrame, open_alerts: DataFrame, bloc
         "id", "pos", F.when(F.col("held").isNotNull(), 2).otherwise(F.coalesce("rank", F.lit(0))).alias("rank"),
         F.coalesce("held", "problem", F.lit("")).alias("detail"))
     own = cut_lineage(own)
-    reds = own.where(F.col("rank") == 2).select(F.col("id").alias("start"), F.col("pos").alias("start_pos"))
-    below = downstream(reds.select("start"), edges).join(reds, "start").groupBy(F.col("node").alias("id")).agg(
-        F.min_by("start", "start_pos").alias("cause"))
-    joined = own.join(below, "id", "left")
+    reds = own.where(F.col("rank") == 2).select(F.col("id").alias("start"), "pos")
+    joined = own.join(first_cause(reds, edges).withColumnRenamed("node", "id"), "id", "left")
     risk = (F.col("rank") == 0) & F.col("cause").isNotNull()
     return joined.select(
         F.col("id").alias("node"),
@@ -75,43 +99,88 @@ def _minutes_since(then: Column, as_of: Column) -> Column:
 def impact(steps: DataFrame, nodes: DataFrame, edges: DataFrame, refresh: DataFrame, as_of: Column) -> DataFrame:
     """Affected data products per incident with their SLA clock.
 
-    ``steps(incident_id, step)`` are the failing nodes, ``refresh(node, last_refreshed, blocked)``.
+    ``steps(incident_id, step)`` are the failing nodes, ``refresh(node, last_refreshed, blocked)``. ``regulation`` lists the rules that a
+    product answers to, if ``nodes`` has that column.
     """
     pairs = downstream(steps.select(F.col("step").alias("start")), edges)
     reached = steps.select("incident_id", F.col("step").alias("node")).unionByName(
         steps.join(pairs, steps["step"] == pairs["start"]).select("incident_id", "node")).distinct()
-    gold = nodes.where(F.col("layer") == "gold").select(F.col("id").alias("node"), "owner", "sla_minutes")
+    rules = F.coalesce(F.col("regulation"), no_rules()) if "regulation" in nodes.columns else no_rules()
+    gold = nodes.where(F.col("layer") == "gold").select(
+        F.col("id").alias("node"), "owner", "sla_minutes", rules.alias("regulation"))
     since = F.coalesce(_minutes_since(F.col("last_refreshed"), as_of), F.lit(0.0))
     sla = F.coalesce("sla_minutes", F.lit(DEFAULT_SLA_MINUTES))
     return reached.join(gold, "node").join(refresh, "node", "left").select(
         "incident_id", "node", F.coalesce("owner", F.lit("-")).alias("owner"), sla.alias("sla_minutes"),
         F.round(since, 1).alias("minutes_since_refresh"), F.round(sla - since, 1).alias("minutes_left"),
-        (F.coalesce("blocked", F.lit(0)) == 1).alias("blocked"))
+        (F.coalesce("blocked", F.lit(0)) == 1).alias("blocked"), "regulation")
 
 
-def impact_summary(gold: DataFrame) -> DataFrame:
-    """One sentence per incident; with blocked products, the one that breaches first is named."""
+def impact_summary(gold: DataFrame, incidents: DataFrame) -> DataFrame:
+    """One sentence for each of ``incidents(incident_id)``; with blocked products, the one that breaches first is named.
+
+    Without blocked ones the products are named by name, the first ten and how many more: a text stays bounded where thousands are
+    affected, and ``impact`` has them all.
+    """
     worst = F.min(F.when(F.col("blocked"), F.struct("minutes_left", "node", "owner")))
     per = gold.groupBy("incident_id").agg(
-        F.count(F.lit(1)).alias("products"), F.count_if("blocked").alias("blocked"), worst.alias("worst"))
+        F.count(F.lit(1)).alias("products"), F.count_if("blocked").alias("blocked"), F.count_if(F.size("regulation") > 0).alias("regulated"), worst.alias("worst"))
+    first = Window.partitionBy("incident_id").orderBy("node")
+    named = gold.select("incident_id", "node", F.row_number().over(first).alias("k")).where(F.col("k") <= NAMED).groupBy("incident_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list("node")), lambda n: F.replace(n, F.lit("gold_"), F.lit(""))), ", ").alias("names"))
+    all_ = incidents.select("incident_id").distinct().join(per, "incident_id", "left").join(named, "incident_id", "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     left = F.bround(F.greatest(F.col("worst.minutes_left"), F.lit(0.0)), 0).cast("int").cast("string")
     n = F.col("products").cast("string")
-    return per.select(
-        "incident_id", "products", "blocked", F.col("worst.node").alias("worst_node"),
-        F.when(F.col("blocked") > 0, F.concat(
+    more = F.when(F.col("products") > NAMED, F.concat(F.lit(" and "), (F.col("products") - NAMED).cast("string"), F.lit(" more"))).otherwise("")
+    return all_.select(
+        "incident_id", count("products"), count("blocked"), count("regulated"), F.col("worst.node").alias("worst_node"),
+        F.when(F.col("products").isNull(), "No data products affected.").when(F.col("blocked") > 0, F.concat(
             n, F.lit(" data products affected; "), F.col("blocked").cast("string"), F.lit(" blocked. "), F.col("worst.node"),
             F.lit(" ("), F.col("worst.owner"), F.lit(") breaches its SLA in "), left, F.lit(" min."))).otherwise(
-            F.concat(n, F.lit(" data products receive incomplete data. None blocked yet."))).alias("summary"))
+            F.concat(n, F.lit(" data products receive incomplete data: "), "names", more, F.lit(". None blocked yet."))).alias("summary"))
 
 
-def blast_radius(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Downstream steps and data products per start node, and how many owners they have."""
-    kinds = nodes.select(F.col("id").alias("node"), "layer", "owner")
-    joined = pairs.join(kinds, "node")
+def _folded(edges: DataFrame, own: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fold the tree-like parts of a graph from their leaves up.
+
+    A leaf with a single parent is below a node exactly if its parent is, or if that node is the parent; so what it counts for moves to the
+    parent and its edge goes. Returns the edges left over, ``mass(node, owner, steps, products)`` of what was folded into a node that
+    remains, and the same for the nodes that went. A forest folds up whole; rows never exceed the nodes.
+    """
+    edges = cut_lineage(edges.select("src", "dst").distinct())
+    single = cut_lineage(edges.groupBy("dst").agg(F.count(F.lit(1)).alias("n"), F.min("src").alias("parent")).where("n = 1").select(F.col("dst").alias("node"), "parent"))
+    sums = [F.sum("steps").alias("steps"), F.sum("products").alias("products")]
+    mass, gone = own.limit(0), None
+    while True:
+        leaves = cut_lineage(edges.select(F.col("dst").alias("node")).distinct().join(single, "node").join(
+            edges.select(F.col("src").alias("node")), "node", "left_anti"))
+        if leaves.isEmpty():
+            return edges, mass, own.limit(0) if gone is None else gone
+        finished = cut_lineage(mass.join(leaves.select("node"), "node", "left_semi"))
+        moved = finished.unionByName(own.join(leaves.select("node"), "node", "left_semi")).join(leaves, "node").select(
+            F.col("parent").alias("node"), "owner", "steps", "products")
+        mass = cut_lineage(mass.join(leaves.select("node"), "node", "left_anti").unionByName(moved).groupBy("node", "owner").agg(*sums))
+        edges = cut_lineage(edges.join(leaves.select(F.col("node").alias("dst")), "dst", "left_anti"))
+        gone = finished if gone is None else gone.unionByName(finished)
+
+
+def blast_radius(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Downstream steps and data products of every node that feeds another, and how many owners they have.
+
+    Tree-like parts are folded first; only what then remains (nodes above shared ones or on cycles) is walked in pairs.
+    """
     gold = F.col("layer") == "gold"
+    own = cut_lineage(nodes.select(F.col("id").alias("node"), F.when(gold, F.col("owner")).alias("owner"), F.lit(1).cast("long").alias("steps"),
+                                   gold.cast("long").alias("products")))
+    core, mass, gone = _folded(edges, own)
+    pairs = downstream(core.select(F.col("src").alias("start")), core).select("start", "node")
+    others = pairs.where(F.col("start") != F.col("node"))  # a node on a cycle reaches itself, and what was folded into it counts once
+    folded = mass.unionByName(gone).withColumn("start", F.col("node"))
+    columns = ["start", "owner", "steps", "products"]
+    rows = pairs.join(own, "node").select(*columns).unionByName(others.join(mass, "node").select(*columns)).unionByName(folded.select(*columns))
     # Owners first, so distinct owners are counted from combined rows.
-    per_owner = joined.groupBy("start", F.when(gold, F.col("owner")).alias("owner")).agg(
-        F.count(F.lit(1)).alias("steps"), F.count_if(gold).alias("products"))
+    per_owner = rows.groupBy("start", "owner").agg(F.sum("steps").alias("steps"), F.sum("products").alias("products"))
     return per_owner.groupBy("start").agg(
         F.sum("steps").alias("steps"), F.sum("products").alias("products"), F.count("owner").alias("owners"))
 

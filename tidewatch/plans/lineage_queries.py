@@ -52,11 +52,12 @@ def edges(spark, sf_dir):
 def nodes(spark, sf_dir):
     none = F.lit(None).cast("string")
 
-    def layer(table, prefix, key, base, name, owner=none, secret=none, sla=None):
+    def layer(table, prefix, key, base, name, owner=none, secret=none, sla=None, regulation=None):
         sla = F.lit(None).cast("int") if sla is None else sla
         return read_table(spark, sf_dir, table).select(
             _id(prefix, key).alias("id"), (F.lit(base).cast("long") + F.col(key)).alias("pos"), F.lit(name).alias("layer"),
-            owner.alias("owner"), secret.alias("secret"), sla.alias("sla_minutes"))
+            owner.alias("owner"), secret.alias("secret"), sla.alias("sla_minutes"),
+            (lineage.no_rules() if regulation is None else regulation).alias("regulation"))
 
     level = F.substring("o_orderpriority", 1, 1)
     sla = F.when(level == "1", 30).when(level == "2", 60).when(level == "3", 120).otherwise(240)
@@ -64,7 +65,8 @@ def nodes(spark, sf_dir):
             .unionByName(layer("nation", "nat_", "n_nationkey", 1000, "bronze",
                                secret=F.when(F.col("n_regionkey") == 2, "vault_token")))
             .unionByName(layer("customer", "cus_", "c_custkey", 10**6, "silver"))
-            .unionByName(layer("orders", "gold_", "o_orderkey", 10**12, "gold", owner=F.col("o_orderpriority"), sla=sla)))
+            .unionByName(layer("orders", "gold_", "o_orderkey", 10**12, "gold", owner=F.col("o_orderpriority"), sla=sla,
+                               regulation=F.when(level == "1", F.array(F.lit("audit"))))))
 
 
 def open_alerts(spark, sf_dir):
@@ -112,19 +114,24 @@ def node_status(spark, sf_dir):
 @query("impact_assess", sql=f"""
 WITH RECURSIVE {DOWN_SQL}, {ALERTS_SQL}, reached AS (
   SELECT DISTINCT 'INC-' || a.step AS incident_id, p.node FROM alerts a JOIN pairs p ON p.start = a.step),
+everyone AS (SELECT DISTINCT 'INC-' || step AS incident_id FROM alerts),
 g AS (SELECT incident_id, r.node, owner, sla_minutes, blocked,
   round(sla_minutes - (epoch_us({NOW}) - epoch_us(last_refreshed)) / 6e7::DOUBLE, 1) AS minutes_left FROM reached JOIN refresh r ON r.node = reached.node),
-s AS (SELECT incident_id, count(*) AS products, sum(blocked)::BIGINT AS blocked FROM g GROUP BY 1),
+s AS (SELECT incident_id, count(*) AS products, sum(blocked)::BIGINT AS blocked, count(CASE WHEN owner LIKE '1%' THEN 1 END) AS regulated FROM g GROUP BY 1),
+named AS (SELECT incident_id, string_agg(replace(node, 'gold_', ''), ', ' ORDER BY node) AS names FROM (
+  SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY node) AS k FROM g) WHERE k <= 10 GROUP BY 1),
 w AS (SELECT incident_id, node, owner, minutes_left FROM (SELECT *, row_number() OVER (PARTITION BY incident_id ORDER BY minutes_left, node) AS k
   FROM g WHERE blocked = 1) WHERE k = 1)
-SELECT s.incident_id, products, blocked, w.node AS worst_node, CASE WHEN blocked > 0 THEN products || ' data products affected; ' || blocked || ' blocked. ' || w.node ||
+SELECT e.incident_id, coalesce(products, 0) AS products, coalesce(blocked, 0) AS blocked, coalesce(regulated, 0) AS regulated, w.node AS worst_node,
+  CASE WHEN products IS NULL THEN 'No data products affected.' WHEN blocked > 0 THEN products || ' data products affected; ' || blocked || ' blocked. ' || w.node ||
   ' (' || w.owner || ') breaches its SLA in ' || round_even(greatest(0, minutes_left), 0)::INTEGER || ' min.'
-  ELSE products || ' data products receive incomplete data. None blocked yet.' END AS summary
-FROM s LEFT JOIN w ON w.incident_id = s.incident_id""")
+  ELSE products || ' data products receive incomplete data: ' || names || CASE WHEN products > 10 THEN ' and ' || (products - 10) || ' more' ELSE '' END ||
+  '. None blocked yet.' END AS summary
+FROM everyone e LEFT JOIN s ON s.incident_id = e.incident_id LEFT JOIN w ON w.incident_id = e.incident_id LEFT JOIN named ON named.incident_id = e.incident_id""")
 def impact_assess(spark, sf_dir):
     steps = open_alerts(spark, sf_dir).select(F.concat(F.lit("INC-"), "step").alias("incident_id"), "step").distinct()
     refresh = refresh_table(spark, sf_dir).select("node", "last_refreshed", "blocked")
-    return lineage.impact_summary(lineage.impact(steps, nodes(spark, sf_dir), edges(spark, sf_dir), refresh, now()))
+    return lineage.impact_summary(lineage.impact(steps, nodes(spark, sf_dir), edges(spark, sf_dir), refresh, now()), steps)
 
 
 @query("blast_radius", sql=f"""
@@ -132,7 +139,7 @@ WITH RECURSIVE {DOWN_SQL}, {NODES_SQL}
 SELECT start, count(*) AS steps, count(CASE WHEN layer = 'gold' THEN 1 END) AS products, count(DISTINCT owner) AS owners
 FROM pairs JOIN nodes ON nodes.id = pairs.node GROUP BY 1""")
 def blast_radius(spark, sf_dir):
-    return lineage.blast_radius(lineage.downstream(all_starts(spark, sf_dir), edges(spark, sf_dir)), nodes(spark, sf_dir))
+    return lineage.blast_radius(edges(spark, sf_dir), nodes(spark, sf_dir))
 
 
 @query("evidence_upstream", sql=f"""
