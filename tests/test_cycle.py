@@ -287,3 +287,28 @@ def test_a_watch_that_failed_leaves_no_trace_and_is_caught_up_with(world, monkey
     world.run()
     assert cycle.watch(world.c)
     assert [(r.check_name, r.status, r.occurrences) for r in world.c.current("alerts").collect()] == [("range", "OPEN", 1)]
+
+
+def test_leaks_and_silence_stand_as_alerts_until_they_are_gone(world):
+    """Readable personal data in Silver and a feed without files: raised once, extended, resolved, raised anew; batches do not clear them."""
+    def alerts():
+        return [(r.check_name, r.episode, r.status, r.occurrences, r.severity, r.node) for r in world.c.current("alerts").orderBy("check_name", "episode").collect()]
+
+    watched = {"intervals": {"customer_kyc": 10, "policy": 3600, "claims": 10}}
+    world.land("customer_kyc", [KYC])
+    world.land("policy", [POLICY])
+    world.run(build=True, token_status="expired", fail_open=True, **watched)
+    leak = ("pii", 1, "OPEN", 1, "CRITICAL", "mask_pii")
+    assert alerts() == [leak]
+    assert [(r.source, r.severity) for r in world.c.current("incidents").collect()] == [("customer_kyc", "CRITICAL")]
+    world.run(build=True, **watched)
+    silent = ("freshness", 1, "OPEN", 1, "HIGH", "src_customer_kyc")
+    assert alerts() == [silent, ("pii", 1, "OPEN", 2, "CRITICAL", "mask_pii")]
+    assert cycle.remask(world.c)
+    world.land("customer_kyc", [{**KYC, "customer_id": "C2", "pan": "ZZCDE1234F"}])
+    world.run(build=True, **watched)
+    gone = [("freshness", 1, "RESOLVED", 1, "HIGH", "src_customer_kyc"), ("pii", 1, "RESOLVED", 2, "CRITICAL", "mask_pii")]
+    assert alerts() == gone
+    world.run(build=True, **watched)
+    assert alerts() == [gone[0], ("freshness", 2, "OPEN", 1, "HIGH", "src_customer_kyc"), gone[1]]
+    assert "unmasked_rows" in world.c.current("alerts").where("check_name = 'pii'").first().detail

@@ -85,13 +85,18 @@ def advance(known: DataFrame, failures: DataFrame, batches: DataFrame, resolve_a
     the load's own failures and the newest alert of each failing (source, check). Rows carry ``last_batch``, from which the
     next load goes on. Batch numbers continue from load to load; ``failures`` and ``batches`` are as in ``state`` and ``episodes``.
     """
-    newest = known.groupBy(*KEY).agg(F.max_by(F.struct("episode", "last_batch", "last_seen"), "episode").alias("a"))
+    by_batch = known.where(F.col("last_batch").isNotNull())  # alerts of ``stand`` follow no batches
+    newest = by_batch.groupBy(*KEY).agg(F.max_by(F.struct("episode", "last_batch", "last_seen"), "episode").alias("a"))
+    top = known.groupBy(*KEY).agg(F.max("episode").alias("top"))
     seeds = newest.join(failures.select(*KEY).distinct(), KEY, "left_semi").select(
         *KEY, F.col("a.last_batch").alias("batch_no"), F.col("a.last_seen").alias("ts"), F.col("a.episode").alias("base"))
     marked = mark_episodes(failures.withColumn("base", F.lit(None).cast("long")).unionByName(seeds, allowMissingColumns=True), resolve_after)
     base = seeds.select(*KEY, F.col("base").alias("before"))
-    new = marked.where(F.col("base").isNull()).join(base, KEY, "left").withColumn(
-        "episode", F.col("episode") + F.coalesce(F.col("before") - 1, F.lit(0)))
+    # The first episode here goes on with the newest alert, if there is one; later ones count on from the last number used.
+    seeded = F.col("before").isNotNull()
+    new = marked.where(F.col("base").isNull()).join(base, KEY, "left").join(top, KEY, "left").withColumn("episode", F.when(
+        seeded & (F.col("episode") == 1), F.col("before")).otherwise(
+        F.col("episode") + F.coalesce("top", F.lit(0)) - F.when(seeded, 1).otherwise(0))).drop("top")
     key = [*KEY, "episode"]
     added = new.groupBy(*key).agg(
         F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("occurrences"),
@@ -101,7 +106,7 @@ def advance(known: DataFrame, failures: DataFrame, batches: DataFrame, resolve_a
         *key).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("detail"))
     added = added.join(details, key, "left")
     # An alert that is still open may be extended or cleared; one that has cleared stays as it is.
-    both = known.where(F.col("status") == "OPEN").select(*added.columns).unionByName(added)
+    both = by_batch.where(F.col("status") == "OPEN").select(*added.columns).unionByName(added)
     merged = both.groupBy(*key).agg(
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("occurrences").alias("occurrences"),
         F.min_by("severity", "last_batch").alias("severity"), F.min_by("node", "last_batch").alias("node"),
@@ -117,3 +122,27 @@ def advance(known: DataFrame, failures: DataFrame, batches: DataFrame, resolve_a
         F.least(F.col("newest_batch") - F.col("last_batch"), F.lit(resolve_after)).cast("long").alias("clean_batches"),
         F.when(F.col("resolved_at").isNull(), "OPEN").otherwise("RESOLVED").alias("status"), "resolved_at", "severity", "node", "problem",
         F.map_from_entries(F.array_sort(F.map_entries(detail))).alias("detail"), "last_batch")
+
+
+def stand(known: DataFrame, judged: DataFrame, as_of: Column) -> DataFrame:
+    """Alerts of checks on a state, not on a batch: silence of a feed, readable personal data in Silver.
+
+    ``judged(source, check_name, failing, severity, node, problem, detail)`` says how things stand now, one row per pair. A failing
+    check opens an alert or extends the one that stands open; one that holds again resolves it at once. Returns the changed alerts; their
+    ``last_batch`` is NULL, which keeps batches from clearing them.
+    """
+    columns = ["episode", "first_seen", "last_seen", "occurrences", "severity", "node", "problem", "detail"]
+    standing = known.where((F.col("status") == "OPEN") & F.col("last_batch").isNull()).select(*KEY, F.struct(*columns).alias("a"))
+    top = known.groupBy(*KEY).agg(F.max("episode").alias("top"))
+    j = judged.join(standing, KEY, "left").join(top, KEY, "left").where(F.col("failing") | F.col("a").isNotNull())
+    failing = F.col("failing")
+    blank = F.create_map().cast("map<string,string>")
+    merged = F.map_zip_with(F.coalesce("a.detail", blank), F.when(failing, F.coalesce("detail", blank)).otherwise(blank), lambda k, old, new: F.coalesce(new, old))
+    return j.select(
+        *KEY, F.coalesce("a.episode", F.coalesce("top", F.lit(0)) + 1).cast("long").alias("episode"),
+        F.coalesce("a.first_seen", as_of).alias("first_seen"), F.when(failing, as_of).otherwise(F.col("a.last_seen")).alias("last_seen"),
+        (F.coalesce("a.occurrences", F.lit(0)) + failing.cast("long")).cast("long").alias("occurrences"), F.lit(0).cast("long").alias("clean_batches"),
+        F.when(failing, "OPEN").otherwise("RESOLVED").alias("status"), F.when(~failing, as_of).alias("resolved_at"),
+        F.coalesce("a.severity", "severity").alias("severity"), F.coalesce("a.node", "node").alias("node"),
+        F.when(failing, F.col("problem")).otherwise(F.col("a.problem")).alias("problem"),
+        F.map_from_entries(F.array_sort(F.map_entries(merged))).alias("detail"), F.lit(None).cast("long").alias("last_batch"))

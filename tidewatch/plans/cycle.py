@@ -31,7 +31,8 @@ ALERTS = ("source string, check_name string, episode long, first_seen timestamp,
           "detail map<string,string>, last_batch long")
 ALERT_KEY = ["source", "check_name", "episode"]
 COUNTS = "source string, batches long, cycle int"
-GATES = "node string, blocked int, reason string"
+GATES = "node string, blocked int, reason string, leaks long"
+JUDGED = "source string, check_name string, failing boolean, severity string, node string, problem string, detail map<string,string>"
 PRODUCTS = ("gold_driver_risk_score", "gold_claims_summary", "gold_fraud_watchlist", "gold_customer_360",
             "gold_compliance_report")
 
@@ -47,6 +48,7 @@ class Cycle:
     fail_open: bool = False
     mappings: dict[str, dict[str, str]] = field(default_factory=dict)  # source -> {from: to, "" drops}
     policy_ends: DataFrame | None = None
+    intervals: dict[str, int] = field(default_factory=dict)  # seconds between files of a source; named sources are watched for silence
 
     def __post_init__(self):
         object.__setattr__(self, "commits", Commits(self.spark, f"{self.root}/tables"))
@@ -214,8 +216,8 @@ def gate(c: Cycle) -> set[str]:
     """Scan Silver for readable personal data and keep the block state of each product."""
     state = c.current("gates")
     if state is None:
-        state = c.spark.createDataFrame([(p, 0, None) for p in PRODUCTS], GATES)
-    after = batches.pii_gate(silver_table(c, CONTRACTS["customer_kyc"]), state).drop("leaks")
+        state = c.spark.createDataFrame([(p, 0, None, 0) for p in PRODUCTS], GATES)
+    after = batches.pii_gate(silver_table(c, CONTRACTS["customer_kyc"]), state)
     c.replace("gates", after)
     c.commits.commit(f"gate {c.number}")
     return {r["node"] for r in c.current("gates").where("blocked = 1").collect()}  # five products
@@ -273,7 +275,7 @@ def current_or(c: Cycle, name: str, schema: str) -> DataFrame:
 def watch(c: Cycle, decisions: DataFrame | None = None) -> bool:
     """Alerts, incidents, evidence and causes after this cycle, as one commit; False where that was done before.
 
-    Alerts advance by the findings and files of the cycles since the last watch (cycles that were loaded without one are caught
+    Alerts advance by the state checks and by the findings and files of the cycles since the last watch (cycles that were loaded without one are caught
     up with), and only changed alerts are written. Incidents and causes follow from the alerts, which are few; log lines are
     read from ``root/logs`` where there are any. Times of loads must rise from cycle to cycle.
     """
@@ -295,6 +297,9 @@ def watch(c: Cycle, decisions: DataFrame | None = None) -> bool:
             F.lit("failed_rows"), text("failure_count"), F.lit("total_rows"), text("total_rows")).alias("detail"))
     known = current_or(c, "alerts", f"{ALERTS}, arrived int")
     changed = c.stage(alerts.advance(known.drop("arrived"), c.stage(found, "failures"), numbered).withColumn("arrived", F.lit(c.number)), "changed_alerts")
+    by_batch = silver.merge(known, changed.select(*known.columns), ALERT_KEY, "arrived")
+    stood = c.stage(alerts.stand(by_batch.drop("arrived"), standing(c), c.now()).withColumn("arrived", F.lit(c.number)), "standing_alerts")
+    changed = changed.unionByName(stood)
     c.commits.upsert(changed, "alerts", ALERT_KEY, "arrived", buckets=8)
     now_known = c.stage(silver.merge(known, changed.select(*known.columns), ALERT_KEY, "arrived"), "alerts_now")
 
@@ -313,6 +318,25 @@ def watch(c: Cycle, decisions: DataFrame | None = None) -> bool:
     return True
 
 
+def standing(c: Cycle) -> DataFrame:
+    """How the checks on a state stand: silence of each source with an interval, and readable personal data where the gate has looked."""
+    limits = c.spark.createDataFrame(list(c.intervals.items()), "source string, interval_seconds long")
+    text = lambda n: F.col(n).cast("string")
+    high = lambda check: checks.severity_of(F.lit(check)).alias("severity")
+    silent = batches.freshness(c.log("registry", REGISTRY), limits, c.now()).select(
+        "source", F.lit("freshness").alias("check_name"), F.col("stale").alias("failing"), high("freshness"), F.concat(F.lit("src_"), "source").alias("node"), "problem",
+        F.create_map(F.lit("silent_seconds"), text("silent_seconds"), F.lit("limit_seconds"), text("limit_seconds")).alias("detail"))
+    found = silent.unionByName(c.spark.createDataFrame([], JUDGED))
+    gates = c.current("gates")
+    if gates is None or "leaks" not in gates.columns:
+        return found
+    leaks = gates.agg(F.max("leaks").alias("leaks")).select(
+        F.lit("customer_kyc").alias("source"), F.lit("pii").alias("check_name"), (F.col("leaks") > 0).alias("failing"), high("pii"), F.lit("mask_pii").alias("node"),
+        F.concat(text("leaks"), F.lit(" customer rows in Silver contain unmasked personal data (phone, PAN, licence)")).alias("problem"),
+        F.create_map(F.lit("unmasked_rows"), text("leaks")).alias("detail"))
+    return found.unionByName(leaks)
+
+
 def log_lines(c: Cycle) -> DataFrame:
     found = tables.if_there(lambda: logs.evidence_lines(logs.read_logs(c.spark, f"{c.root}/logs")))
     return c.spark.createDataFrame([], "ts timestamp, source string, level string, message string") if found is None else found
