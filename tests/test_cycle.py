@@ -130,6 +130,12 @@ def test_owner_of_a_pan_is_remembered_across_files(world):
     world.land("customer_kyc", [{**KYC, "customer_id": "C9"}, KYC])
     world.run()
     assert world.quarantine() == [("customer_kyc", "duplicates", "PAN already registered to C1")]
+    buckets = world.c.commits.state()[1]["pan_owner"]
+    world.land("customer_kyc", [{**KYC, "customer_id": "C9"}, {**KYC, "customer_id": "C8", "pan": "QQQQQ1111Q"}])
+    world.run()
+    after = world.c.commits.state()[1]["pan_owner"]
+    assert len([b for b in after if after[b] != buckets.get(b)]) == 1  # only the new number was written
+    assert {(r.pan, r.customer_id) for r in world.c.current("pan_owner").collect()} >= {("ABCDE1234F", "C1"), ("QQQQQ1111Q", "C8")}
 
 
 def test_expired_token_fail_open_blocks_until_remasked(world):

@@ -139,8 +139,10 @@ def evaluate(
     rules += extra_rules
     if "duplicates" in only and source == "customer_kyc":
         if known_owners is not None:
+            # Of all history only the owners of numbers in this load take part; Spark filters that scan by the load's numbers.
+            numbers = df.select("t_pan").distinct()
             earlier = known_owners.select(F.col("pan").alias("t_pan"), F.col("customer_id").alias("t_customer_id"))
-            earlier = earlier.withColumn("era", F.lit(0))
+            earlier = earlier.join(numbers, "t_pan", "left_semi").withColumn("era", F.lit(0))
             df = df.withColumn("era", F.lit(1)).unionByName(earlier, allowMissingColumns=True)
             df = skew.attach_first_owner(df, "t_pan", "t_customer_id", ["era", *order], "first_owner")
             df = df.where(F.col("era") == 1).drop("era")
@@ -160,13 +162,10 @@ def evaluate(
 
 
 def first_owners(rows: DataFrame, order: Sequence[str], earlier: DataFrame | None = None) -> DataFrame:
-    """The compact (pan, customer_id) table of first owners; rejected rows own as well."""
+    """(pan, customer_id): the first owner of each number that ``earlier`` does not know; rejected rows own as well."""
     new = rows.where(F.col("t_pan").isNotNull()).groupBy(F.col("t_pan").alias("pan")).agg(
         F.min_by("t_customer_id", F.struct(*order)).alias("customer_id"))
-    if earlier is None:
-        return new
-    both = earlier.select("pan", "customer_id", F.lit(0).alias("era")).unionByName(new.withColumn("era", F.lit(1)))
-    return both.groupBy("pan").agg(F.min_by("customer_id", "era").alias("customer_id"))
+    return new if earlier is None else new.join(earlier.select("pan"), "pan", "left_anti")
 
 
 def good_rows(checked: DataFrame) -> DataFrame:

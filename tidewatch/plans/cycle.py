@@ -151,7 +151,7 @@ def load_rows(c: Cycle, contract: Contract, files: DataFrame, raw: DataFrame) ->
         refused_findings = held_findings(waiting, checked, contract)
         bad = bad.unionByName(waiting)
         bad = bad.withColumn("payload", mask_payload(F.col("payload"), contract.columns))
-        c.replace("pan_owner", checks.first_owners(checked, ORDER, c.current("pan_owner")))
+        remember_owners(c, checked)
 
     schema_findings = drift.join(raw.groupBy("batch_file").agg(F.count(F.lit(1)).alias("n")), "batch_file", "left").select(
         F.lit(source).alias("source"), "batch_file", F.lit("schema").alias("check_name"), F.lit(contract.bronze).alias("node"),
@@ -171,6 +171,12 @@ def load_rows(c: Cycle, contract: Contract, files: DataFrame, raw: DataFrame) ->
     c.commits.commit(f"load {source} {c.number}")
 
 
+def remember_owners(c: Cycle, rows: DataFrame) -> None:
+    """Add the first owners of new numbers; owners known before are neither changed nor, outside touched buckets, rewritten."""
+    new = c.stage(checks.first_owners(rows, ORDER, c.current("pan_owner")), "new_owners")
+    c.commits.upsert(new.withColumn("arrived", F.lit(c.number)), "pan_owner", ["pan"], "arrived")
+
+
 def arrival(number):
     """Where a row arrived: cycle, file and place. Silver keeps it, so a row replayed later still counts as of then."""
     return F.struct(number.cast("int").alias("cycle"), "batch_file", "split", "seq")
@@ -392,7 +398,7 @@ def reload_quarantine(c: Cycle, source: str) -> None:
     good = silver.project(checks.good_rows(result), contract, ["split", "seq"])
     if source == "customer_kyc":
         good, _ = silver.mask_gate(good, c.token_status, c.fail_open)
-        c.replace("pan_owner", checks.first_owners(result, ORDER, owners))
+        remember_owners(c, result)
     good = c.stage(good.join(held.select(*ORDER, "cycle"), ORDER).withColumn("arrived", arrival(F.col("cycle"))).drop("cycle"), f"freed_{source}")
     if contract.key is None:
         c.append(good.drop("split", "seq", "arrived"), contract.silver, source, folder)
