@@ -117,25 +117,39 @@ def evaluate(
     ``policy_ends(policy_id, policy_end)``: unknown policies pass. ``known_claims(claim_id)``:
     every claim loaded so far. ``known_owners(pan, customer_id)``: first owners from earlier loads.
     """
+    typed = typed_columns(contract)
+    source = contract.source
+    checks_ends = source == "claims" and policy_ends is not None and "referential" in only
+    checks_claims = source == "garage_bills" and known_claims is not None and "referential" in only
+    repeats = "duplicates" in only and source != "customer_kyc" and bool(contract.duplicate_key)
+    keys = [f"t_{k}" for k in contract.duplicate_key]
+    # Facts are looked up before the other columns are typed: the rows that move for them are narrow.
+    early = dict.fromkeys([*(["t_policy_id", "t_accident_date"] if checks_ends else []), *(["t_claim_id"] if checks_claims else []), *(keys if repeats else [])])
+    keyed = rows.select("*", *[typed[n].alias(n) for n in early])
+    tables: list[skew.Facts] = []
+    if checks_ends:
+        tables += skew.past(keyed, "t_policy_id", "t_accident_date", policy_ends.select(F.col("policy_id").alias("t_policy_id"), "policy_end"), "policy_end")
+    if checks_claims:
+        tables.append(skew.missing(keyed, "t_claim_id", known_claims.select(F.col("claim_id").alias("t_claim_id")), "unknown_claim"))
+    if repeats:
+        tables.append(skew.repeats(keyed, ["batch_file", *keys], order))
     # The running number keeps filters on good or bad rows above this projection. Below it, each
     # predicate would repeat the whole text-to-type expression of every column it reads.
-    df = rows.select("*", *[c.alias(n) for n, c in typed_columns(contract).items()],
-                     F.monotonically_increasing_id().alias(NUMBER))
+    values = [v for t in tables for v in t.values]
+    df = skew.attach(keyed, tables).select(*rows.columns, *[F.col(n) if n in early else c.alias(n) for n, c in typed.items()],
+                                           F.monotonically_increasing_id().alias(NUMBER), *values)
     rules = [r for f in contract.fields for r in field_rules(f)]
-    source = contract.source
     if source == "policy":
         rules.append(date_order_rule("start_date", "end_date"))
-    if source == "claims" and policy_ends is not None and "referential" in only:
-        ends = policy_ends.select(F.col("policy_id").alias("t_policy_id"), "policy_end")
-        df = df.join(ends, "t_policy_id", "left").select(*df.columns, "policy_end")
+    if checks_ends:
+        if "policy_end_often" in values:
+            df = df.withColumn("policy_end", F.coalesce("policy_end_often", "policy_end"))
         rules.append(active_rule("policy_id", "accident_date"))
     if source == "garage_bills":
         rules.append(reconcile_rule("parts_cost", "labour_cost", "total"))
-        if known_claims is not None and "referential" in only:
-            known = known_claims.select(F.col("claim_id").alias("t_claim_id"))
-            df = skew.mark_missing(df, "t_claim_id", known, "unknown_claim")
-            rules.append(Rule("referential", "claim_id", F.col("unknown_claim"),
-                              F.concat(F.lit("claim "), F.col("t_claim_id"), F.lit(" does not exist"))))
+    if checks_claims:
+        rules.append(Rule("referential", "claim_id", F.coalesce("unknown_claim", F.lit(False)),
+                          F.concat(F.lit("claim "), F.col("t_claim_id"), F.lit(" does not exist"))))
     rules += extra_rules
     if "duplicates" in only and source == "customer_kyc":
         if known_owners is not None:
@@ -151,14 +165,12 @@ def evaluate(
         rules.append(Rule("duplicates", "pan", ~F.col("first_owner").eqNullSafe(
             F.coalesce("t_customer_id", F.lit("None"))) & F.col("first_owner").isNotNull(),
             F.concat(F.lit("PAN already registered to "), F.col("first_owner"))))
-    elif "duplicates" in only and contract.duplicate_key:
-        keys = [f"t_{k}" for k in contract.duplicate_key]
-        df = skew.mark_repeats(df, ["batch_file", *keys], order, "repeated")
-        rules.append(Rule("duplicates", contract.duplicate_key[0], F.col("repeated"),
+    elif repeats:
+        rules.append(Rule("duplicates", contract.duplicate_key[0], skew.is_repeat(order),
                           F.concat(F.lit("duplicate record for "), F.coalesce(_text(F.col(keys[0])), F.lit("None")))))
     wanted = [r for r in rules if r.check in only]
     df = df.withColumns({"reasons": reasons_array(wanted), "failed": any_failed(wanted)})
-    return df.drop("policy_end", "unknown_claim", "first_owner", "repeated")
+    return df.drop(*values, "first_owner")
 
 
 def first_owners(rows: DataFrame, order: Sequence[str], earlier: DataFrame | None = None) -> DataFrame:

@@ -7,11 +7,15 @@ does not split a join whose other side is an aggregate. Here
 2. keys without a fact worth telling (keys seen once, references that exist) are dropped, and the rest is written;
 3. rows join that table. Its size is then known: a small one is broadcast by Spark's own threshold and no row moves; a large
    one is a plain scan, so adaptive execution splits the partition of a hot key.
+
+``attach`` joins several such tables whose keys few rows have. Beside a large table a row is first tested against a bit filter
+of its keys: the few rows that may have one move and are joined exactly, all others stay where they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,13 +23,91 @@ from pyspark.sql import functions as F
 
 from tidewatch.session import written
 
+# A table of at most this many keys is joined as it is. A filter has 16 bits a key, and never more words than this (64 bits each).
+PLAIN_KEYS = 50_000
+FILTER_WORDS = 1 << 20
+
+
+@dataclass(frozen=True)
+class Facts:
+    """A written table of facts about the keys that it lists; most rows have none of them. It may list a key more than once."""
+    keys: tuple[str, ...]
+    table: DataFrame
+    n_keys: int
+
+    @property
+    def values(self) -> list[str]:
+        return [c for c in self.table.columns if c not in self.keys]
+
+
+def facts(table: DataFrame, keys: Sequence[str]) -> Facts:
+    stored = written(table, "facts")
+    return Facts(tuple(keys), stored, stored.count())
 
-def _joined(df: DataFrame, keys: Sequence[str], facts: DataFrame) -> DataFrame:
-    """Left join with written ``facts``, one row per key. NULL key parts meet each other."""
-    values = [c for c in facts.columns if c not in keys]
-    table = written(facts.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *values), "facts")
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys])
-    return df.join(table, same, "left").drop(*[f"__r_{k}" for k in keys])
+
+def _key_hash(keys: Sequence[str]) -> Column:
+    return F.xxhash64(*keys)
+
+
+def _bits(key: Column) -> Column:
+    """The two bits of a key in its word."""
+    one = lambda by: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(key, by).bitwiseAND(F.lit(63)).cast("int"))
+    return one(40).bitwiseOR(one(50))
+
+
+def _tested(df: DataFrame, keys: Sequence[str], listed: DataFrame, n_keys: int, name: str) -> DataFrame:
+    """Boolean column: the row's key may be one of ``listed`` (same column names). False is certain.
+
+    The filter is a table of at most FILTER_WORDS rows whatever the input, so it is broadcast.
+    """
+    n_words = min(FILTER_WORDS, 1 << max(10, (n_keys // 4).bit_length()))
+    word = lambda key: key.bitwiseAND(F.lit(n_words - 1))
+    hashed = listed.select(_key_hash(keys).alias("__h"))
+    words = written(hashed.groupBy(word(F.col("__h")).alias("__word")).agg(F.bit_or(_bits(F.col("__h"))).alias("__bits")), "key-filter")
+    out = df.withColumn("__h", _key_hash(keys))
+    out = out.join(F.broadcast(words), word(F.col("__h")) == F.col("__word"), "left")
+    bits = _bits(F.col("__h"))
+    return out.withColumn(name, F.coalesce(F.col("__bits").bitwiseAND(bits) == bits, F.lit(False))).select(*df.columns, name)
+
+
+def attach(df: DataFrame, tables: Sequence[Facts]) -> DataFrame:
+    """Left join with every table. NULL key parts meet each other. Only rows that may have a key of a large table move."""
+    large = [t for t in tables if t.n_keys > PLAIN_KEYS]
+    out = df
+    if large:
+        tested, marks = df, [f"__may_{i}" for i in range(len(large))]
+        for mark, t in zip(marks, large, strict=True):
+            tested = _tested(tested, t.keys, t.table, t.n_keys, mark)
+        near = reduce(lambda a, b: a | b, [F.col(m) for m in marks])
+        away = tested.where(~near).select(*df.columns, *[F.lit(None).cast(t.table.schema[v].dataType).alias(v) for t in large for v in t.values])
+        out = tested.where(near).select(*df.columns)
+        for t in large:
+            out = _met(out, t)
+        out = away.unionByName(out)
+    for t in tables:
+        if t not in large:
+            out = _met(out, t)
+    return out
+
+
+def _met(df: DataFrame, t: Facts) -> DataFrame:
+    table = t.table.select(*[F.col(k).alias(f"__r_{k}") for k in t.keys], *t.values)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in t.keys])
+    return df.join(table, same, "left").drop(*[f"__r_{k}" for k in t.keys])
+
+
+def with_repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows whose key comes twice or more, and maybe some others. Keys meet as hashes, so what moves is a number per row."""
+    twice = facts(df.select(_key_hash(keys).alias("__key")).groupBy("__key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__key"), ["__key"])
+    hashed = df.withColumn("__key", _key_hash(keys))
+    if twice.n_keys > PLAIN_KEYS:
+        hashed = _tested(hashed, ["__key"], twice.table, twice.n_keys, "__may").where("__may").drop("__may")
+    return hashed.join(twice.table, "__key", "left_semi").drop("__key")
+
+
+def _joined(df: DataFrame, keys: Sequence[str], table: DataFrame) -> DataFrame:
+    """Left join with ``table``, written first: one row per key. NULL key parts meet each other."""
+    return _met(df, Facts(tuple(keys), written(table, "facts"), 0))
 
 
 def attach_group(
@@ -49,15 +131,21 @@ def _position(order: Sequence[str]) -> Column:
     return F.col(order[0]) if len(order) == 1 else F.struct(*order)
 
 
-def mark_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
-    """Boolean column: the row is not the first one with its key. ``order`` must be unique per row.
+def repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Facts:
+    """``__first_pos`` of every key that comes more than once. NULL key parts count as equal to each other."""
+    per_key = with_repeated_keys(df.select(*keys, _position(order).alias("__pos")), keys).groupBy(*keys).agg(
+        F.min("__pos").alias("__first_pos"), F.count(F.lit(1)).alias("__n"))
+    return facts(per_key.where("__n > 1").drop("__n"), keys)
 
-    NULL key parts count as equal to each other.
-    """
-    pos = _position(order)
-    out = attach_group(df, keys, {"__first": F.min(pos), "__n": F.count(F.lit(1))}, keep=F.col("__n") > 1)
-    repeated = F.col("__first").isNotNull() & (pos != F.col("__first"))
-    return out.withColumn(name, repeated).drop("__first", "__n")
+
+def is_repeat(order: Sequence[str]) -> Column:
+    """With ``__first_pos`` of ``repeats``: the row is not the first one with its key. ``order`` must be unique per row."""
+    return F.col("__first_pos").isNotNull() & (_position(order) != F.col("__first_pos"))
+
+
+def mark_repeats(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Boolean column: the row is not the first one with its key."""
+    return attach(df, [repeats(df, keys, order)]).withColumn(name, is_repeat(order)).drop("__first_pos")
 
 
 def attach_first_owner(df: DataFrame, key: str, owner: str, order: Sequence[str], name: str) -> DataFrame:
@@ -70,14 +158,31 @@ def attach_first_owner(df: DataFrame, key: str, owner: str, order: Sequence[str]
     return out.withColumn(name, F.col("__first.owner")).drop("__first", "__low", "__high")
 
 
-def mark_missing(df: DataFrame, key: str, reference: DataFrame, name: str) -> DataFrame:
-    """Boolean column: ``key`` is set but absent from ``reference`` (one column of the same name).
+def missing(df: DataFrame, key: str, reference: DataFrame, name: str) -> Facts:
+    """``name``, true, for every key that is set but absent from ``reference`` (one column of the same name).
 
     Both sides shrink to distinct keys before they meet; rows join only the absent keys.
     """
     wanted = df.where(F.col(key).isNotNull()).select(key).distinct()
-    absent = wanted.join(reference.select(key).distinct(), key, "left_anti").withColumn("__absent", F.lit(True))
-    return _joined(df, [key], absent).withColumn(name, F.coalesce("__absent", F.lit(False))).drop("__absent")
+    return facts(wanted.join(reference.select(key).distinct(), key, "left_anti").withColumn(name, F.lit(True)), [key])
+
+
+def mark_missing(df: DataFrame, key: str, reference: DataFrame, name: str) -> DataFrame:
+    """Boolean column: ``key`` is set but absent from ``reference``."""
+    return attach(df, [missing(df, key, reference, name)]).withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def past(df: DataFrame, key: str, on: str, ends: DataFrame, until: str) -> list[Facts]:
+    """``ends(key, until)`` where it tells: for the pairs of ``key`` and ``on`` with ``on`` after ``until``, and all of its rows of a
+    key that it lists more than once, which a join repeats rows for. Rows without such facts have one that they keep, or none."""
+    ends = ends.select(key, until).where(F.col(key).isNotNull())
+    often = facts(ends.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(key), [key])
+    single = ends.join(often.table, key, "left_anti") if often.n_keys else ends
+    late = df.select(key, on).join(single, key).where(F.col(on) > F.col(until)).repartition(key, on).distinct()
+    out = [facts(late.select(key, on, until), [key, on])]
+    if often.n_keys:
+        out.append(facts(ends.join(often.table, key, "left_semi").withColumnRenamed(until, f"{until}_often"), [key]))
+    return out
 
 
 def lookup(df: DataFrame, keys: Sequence[str], facts: DataFrame) -> DataFrame:
