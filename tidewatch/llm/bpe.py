@@ -24,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -137,11 +138,16 @@ def decode(encoded: DataFrame, ranks: bytes) -> DataFrame:
     shared = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = tokens_of(shared.value)
+        table = pa.array(tokens_of(shared.value), pa.large_binary())
         for batch in batches:
             ids = batch.column(1)
-            texts = [b"".join([table[i] for i in (one.values.to_numpy() if one.is_valid else ())]) for one in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(texts, pa.binary())], names=[f.name for f in schema])
+            # Taken tokens lie one behind the other, so a text is the stretch from its first token to its last.
+            bounds = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))])
+            taken = table.take(ids.flatten())
+            offsets, data = taken.buffers()[1:]
+            starts = np.frombuffer(offsets, dtype=np.int64)[taken.offset: taken.offset + len(taken) + 1] if len(taken) else np.zeros(1, dtype=np.int64)
+            texts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(np.ascontiguousarray(starts[bounds])), data])
+            yield pa.RecordBatch.from_arrays([batch.column(0), ids, texts.cast(pa.binary())], names=[f.name for f in schema])
 
     return rows.mapInArrow(run, schema)
 

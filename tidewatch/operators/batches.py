@@ -32,6 +32,25 @@ def map_columns(payload: Column, rename: Mapping[str, str], drop: Sequence[str]
     return F.map_from_entries(last)
 
 
+def mapped_keys(keys: Column, rename: Mapping[str, str], drop: Sequence[str] = ()) -> Column:
+    """The keys that ``map_columns`` leaves of a row with these, in their order."""
+    if not rename and not drop:
+        return keys
+    return F.map_keys(map_columns(F.map_from_arrays(keys, keys), rename, drop))
+
+
+def mapped_value(payload: Column, name: str, rename: Mapping[str, str], drop: Sequence[str] = ()) -> Column:
+    """What ``map_columns`` puts under ``name`` (NULL if nothing), looked up without building the mapped row."""
+    names = [k for k in dict.fromkeys([name, *rename]) if rename.get(k, k) == name and k not in drop]
+    if not names:
+        return F.lit(None).cast("string")
+    if len(names) == 1:
+        return F.try_element_at(payload, F.lit(names[0]))
+    keys = F.map_keys(payload)
+    last = F.greatest(*[F.array_position(keys, F.lit(k)) for k in names])
+    return F.when(last > 0, F.try_element_at(F.map_values(payload), last.cast("int")))
+
+
 def map_frame(df: DataFrame, rename: Mapping[str, str], drop: Sequence[str] = ()) -> DataFrame:
     """The same on columns; a renamed column replaces an existing one of that name."""
     clash = [to for frm, to in rename.items() if frm in df.columns and to in df.columns]
@@ -56,21 +75,23 @@ def apply_mappings(rows: DataFrame, mappings: DataFrame) -> DataFrame:
     return joined.withColumn("payload", mapped).select(*rows.columns)
 
 
-def contract_view(rows: DataFrame, contract: Contract, keep: Sequence[str]) -> DataFrame:
-    """Raw map rows as one text column per contract field."""
-    return rows.select(*keep, *[F.try_element_at("payload", F.lit(c)).alias(c) for c in contract.columns])
+def contract_view(rows: DataFrame, contract: Contract, keep: Sequence[str], rename: Mapping[str, str] | None = None,
+                  drop: Sequence[str] = ()) -> DataFrame:
+    """Raw map rows, mapped by ``rename`` and ``drop``, as one text column per contract field."""
+    return rows.select(*keep, *[mapped_value(F.col("payload"), c, rename or {}, drop).alias(c) for c in contract.columns])
 
 
-def schema_drift(rows: DataFrame, contract: Contract, order: Sequence[str], files: DataFrame | None = None) -> DataFrame:
+def schema_drift(rows: DataFrame, contract: Contract, order: Sequence[str], files: DataFrame | None = None,
+                 rename: Mapping[str, str] | None = None, drop: Sequence[str] = ()) -> DataFrame:
     """Per batch: contract columns that never arrived and arrived columns the contract lacks.
 
     ``rows`` carries ``batch_file``, the ``order`` columns and ``payload`` (raw map). Rows shrink to
     distinct key lists first, which map-side combining does before any shuffle. ``files(batch_file)``
-    adds files without rows: every column is missing there.
+    adds files without rows: every column is missing there. ``rename`` and ``drop`` are applied to the key lists.
     """
     key_lists = rows.select("batch_file", F.map_keys("payload").alias("ks"), F.struct(*order).alias("pos")).groupBy(
         "batch_file", "ks").agg(F.min("pos").alias("pos"))
-    keys = key_lists.select("batch_file", "pos", F.posexplode("ks").alias("i", "k")).groupBy("batch_file", "k").agg(
+    keys = key_lists.select("batch_file", "pos", F.posexplode(mapped_keys(F.col("ks"), rename or {}, drop)).alias("i", "k")).groupBy("batch_file", "k").agg(
         F.min(F.struct("pos", "i")).alias("at"))
     present = keys.groupBy("batch_file").agg(F.array_sort(F.collect_list(F.struct("at", "k"))).alias("seen"))
     arrived = F.transform("seen", lambda s: s["k"])

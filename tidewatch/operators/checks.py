@@ -185,11 +185,16 @@ def good_rows(checked: DataFrame) -> DataFrame:
     return checked.where((F.col(NUMBER) >= 0) & ~F.col("failed")).drop(NUMBER)
 
 
+def reason_text() -> Column:
+    """All reasons of a row as one text."""
+    return F.array_join(F.transform("reasons", lambda r: r["reason"]), "; ")
+
+
 def bad_rows(checked: DataFrame) -> DataFrame:
     """Failing rows with the first reason's check and all reasons as one text."""
     return checked.where((F.col(NUMBER) >= 0) & F.col("failed")).drop(NUMBER).select(
         "*", F.col("reasons")[0]["check"].alias("check_name"),
-        F.array_join(F.transform("reasons", lambda r: r["reason"]), "; ").alias("reason"))
+        reason_text().alias("reason"))
 
 
 def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -37,10 +37,6 @@ def suggest_mapping(drift: DataFrame) -> DataFrame:
         F.array_join(F.array_except("extra", taken), ",").alias("drops"))
 
 
-def remapped(quarantined: DataFrame, rename: Mapping[str, str], drop: Sequence[str]) -> DataFrame:
-    return quarantined.withColumn("payload", batches.map_columns(F.col("payload"), rename, drop))
-
-
 def replay(quarantined: DataFrame, contract: Contract, order: Sequence[str], rename: Mapping[str, str],
            drop: Sequence[str] = (), check: Callable[[DataFrame], DataFrame] | None = None, held_for: Sequence[str] = ("schema",)) -> DataFrame:
     """Re-check unreleased rows held for one of ``held_for`` under a mapping; ``reasons`` is empty on rows that may be released.
@@ -49,10 +45,9 @@ def replay(quarantined: DataFrame, contract: Contract, order: Sequence[str], ren
     ``payload`` (raw map), ``batch_file``, ``check_name``, ``released`` and the ``order`` columns.
     """
     held = quarantined.where((F.col("released") == 0) & F.col("check_name").isin(*held_for))
-    mapped = remapped(held, rename, drop)
-    drift = batches.schema_drift(mapped, contract, order)
-    gated = batches.schema_gate(mapped, drift)
-    view = batches.contract_view(gated, contract, list(dict.fromkeys(["batch_file", "gate_reason", *order])))
+    # The mapping works on the few distinct key lists and on one key per column; no row is rebuilt as a map.
+    gated = batches.schema_gate(held, batches.schema_drift(held, contract, order, rename=rename, drop=drop))
+    view = batches.contract_view(gated, contract, list(dict.fromkeys(["batch_file", "gate_reason", *order])), rename, drop)
     checked = check(view) if check else checks.evaluate(view, contract, order)
     return batches.gate_reasons(checked)
 

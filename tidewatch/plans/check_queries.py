@@ -326,9 +326,9 @@ def severity_map(spark, sf_dir):
     return counts.select("source", "check_name", checks.severity_of(F.col("check_name")).alias("severity"), "n")
 
 
-def quarantine(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
-    """Quarantine rows of one feed with the raw row as JSON; personal columns are masked first."""
-    bad = checks.bad_rows(evaluated(spark, sf_dir, source))
+def quarantined(checked: DataFrame, source: str) -> DataFrame:
+    """Quarantine rows of a checked feed with the raw row as JSON; personal columns are masked first."""
+    bad = checks.bad_rows(checked)
     if source == "customer_kyc":
         bad = mask_table(bad)
     raw = F.to_json(F.struct(*CONTRACTS[source].columns))
@@ -336,6 +336,10 @@ def quarantine(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
                       F.lit(0).alias("released"))
 
 
+def quarantine(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    return quarantined(evaluated(spark, sf_dir, source), source)
+
+
 @query("quarantine_write", sql=f"""
 WITH {KYC_T}, owners AS (
     SELECT *, first_value(t_customer_id) OVER (PARTITION BY t_pan ORDER BY pos) AS owner FROM customer_kyc_t),

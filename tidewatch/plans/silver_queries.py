@@ -11,7 +11,7 @@ from tidewatch.functions import masking
 from tidewatch.operators import batches, checks, gold, silver
 from tidewatch.operators.contracts import CONTRACTS
 from tidewatch.plans.check_queries import (
-    ALL_CHECKED, BILLS_T, CLAIMS_CHECKED, CLAIMS_T, KYC_T, POLICY_T, TELEMATICS_T, evaluated, quarantine)
+    ALL_CHECKED, BILLS_T, CLAIMS_CHECKED, CLAIMS_T, KYC_T, POLICY_T, TELEMATICS_T, evaluated, quarantine, quarantined)
 from tidewatch.plans.feeds import feed, feed_sql, read_table
 from tidewatch.plans.registry import ORACLES, query
 from tidewatch.session import scratch_path, spread
@@ -70,11 +70,10 @@ def read_csv(spark, sf_dir):
 def bronze_append(spark, sf_dir):
     path = scratch_path(spark, "bronze")
     for source in CONTRACTS:
-        rows = feed(spark, sf_dir, source)
-        rows.select(F.lit(source).alias("source"), "batch_file", "pos", F.to_json(F.struct(
-            *CONTRACTS[source].columns)).alias("payload")).write.mode("append").partitionBy("source").parquet(path)
-    key = F.coalesce(*[F.when(F.col("source") == s, F.get_json_object("payload", f"$.{c.columns[0]}")) for s, c in CONTRACTS.items()])
-    return spark.read.parquet(path).groupBy("source", "batch_file").agg(F.count(F.lit(1)).alias("n_rows"), F.min(key).alias("first_id"))
+        # A source's own folder: nothing is sorted by it. The record's id stands beside the payload, so readers need not parse that.
+        feed(spark, sf_dir, source).select("batch_file", "pos", F.col(CONTRACTS[source].columns[0]).alias("record_id"), F.to_json(F.struct(
+            *CONTRACTS[source].columns)).alias("payload")).write.mode("append").parquet(f"{path}/source={source}")
+    return spark.read.parquet(path).groupBy("source", "batch_file").agg(F.count(F.lit(1)).alias("n_rows"), F.min("record_id").alias("first_id"))
 
 
 @query("json_extract", sql="SELECT event_id, cast(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
@@ -239,11 +238,15 @@ def good(spark, sf_dir, source, keep=()):
     return silver.project(checks.good_rows(evaluated(spark, sf_dir, source)), CONTRACTS[source], keep)
 
 
-def silver_claims(spark, sf_dir):
-    rows = good(spark, sf_dir, "claims", keep=["pos"])
+def latest_claims(checked):
+    rows = silver.project(checks.good_rows(checked), CONTRACTS["claims"], keep=["pos"])
     return silver.upsert(None, rows, ["claim_id"], ["batch_file", "pos"]).drop("pos")
 
 
+def silver_claims(spark, sf_dir):
+    return latest_claims(evaluated(spark, sf_dir, "claims"))
+
+
 @query("silver_project", sql=f"WITH {TELEMATICS_T}, {TELEMATICS_GOOD} SELECT {TELEMATICS_COLUMNS} FROM telematics_good")
 def silver_project(spark, sf_dir):
     return good(spark, sf_dir, "telematics")
@@ -300,8 +303,11 @@ UNION ALL
 SELECT claim_id, vehicle_id, t_claim_amount, NULL, garage_id, 'Duplicate claim stopped by checks'
 FROM claims_split WHERE check_name = 'duplicates'""")
 def gold_fraud_watchlist(spark, sf_dir):
-    return gold.fraud_watchlist(good(spark, sf_dir, "garage_bills"), silver_claims(spark, sf_dir),
-                                quarantine(spark, sf_dir, "claims"))
+    # Claims are checked once for both sides. A bill that meets a Silver claim names a known one, so that is not checked beforehand.
+    claims = evaluated(spark, sf_dir, "claims")
+    bills = evaluated(spark, sf_dir, "garage_bills", [c for c in checks.ALL_CHECKS if c != "referential"])
+    return gold.fraud_watchlist(silver.project(checks.good_rows(bills), CONTRACTS["garage_bills"]), latest_claims(claims),
+                                quarantined(claims, "claims"))
 
 
 @query("gold_customer_360", sql=f"""
@@ -363,15 +369,29 @@ PRODUCT_KEYS = {"gold_driver_risk_score": "gold_risk_score", "gold_claims_summar
                 "gold_customer_360": "gold_customer_360", "gold_compliance_report": "gold_compliance"}
 
 
+def checked_once(spark, sf_dir, source, root):
+    """(good rows with ``pos``, quarantine) of one feed, read from one table, so the feed is checked once for both."""
+    checked, raw = evaluated(spark, sf_dir, source), F.to_json(F.struct(*CONTRACTS[source].columns))
+    told = checked.withColumns({"check_name": F.when(F.col("failed"), F.col("reasons")[0]["check"]),
+                                "reason": F.when(F.col("failed"), checks.reason_text()), "payload": F.when(F.col("failed"), raw)})
+    extra = ["failed", "check_name", "reason", "payload"]
+    rows = spark.read.parquet(tables.replace(silver.project(told, CONTRACTS[source], ["pos", *extra]), root, f"checked_{source}"))
+    bad = rows.where("failed").select(F.lit(source).alias("source"), "batch_file", "check_name", "reason", "payload", F.lit(0).alias("released"))
+    return rows.where("NOT failed").drop(*extra), bad
+
+
 @query("gold_refresh", sql=" UNION ALL ".join(
     f"SELECT '{node}' AS node, {1 if node in batches.PII_GATED_PRODUCTS else 2} AS builds, {_counted(key)} AS n_rows" for node, key in PRODUCT_KEYS.items()))
 def gold_refresh(spark, sf_dir):
     """Build all five products, then again with the two that personal data blocks: those keep their earlier copy."""
     root = scratch_path(spark, "gold")
     write = lambda node, df: tables.replace(df, root, node)
-    stored = {s: spark.read.parquet(tables.replace(df, root, s)) for s, df in {
-        "claims": silver_claims(spark, sf_dir), "customers": silver_customer(spark, sf_dir), "policies": good(spark, sf_dir, "policy"),
-        "telematics": good(spark, sf_dir, "telematics"), "bills": good(spark, sf_dir, "garage_bills"), "held": all_quarantine(spark, sf_dir)}.items()}
+    split = {s: checked_once(spark, sf_dir, s, root) for s in CONTRACTS if s != "customer_kyc"}
+    again = lambda name, df: spark.read.parquet(tables.replace(df, root, name))
+    held = [bad for _, bad in split.values()] + [again("held_customers", quarantine(spark, sf_dir, "customer_kyc"))]
+    stored = {"claims": again("claims", silver.upsert(None, split["claims"][0], ["claim_id"], ["batch_file", "pos"]).drop("pos")),
+              "customers": again("customers", silver_customer(spark, sf_dir)), "held": reduce(DataFrame.unionByName, held)}
+    stored |= {name: split[source][0].drop("pos") for name, source in {"policies": "policy", "telematics": "telematics", "bills": "garage_bills"}.items()}
     products = {
         "gold_driver_risk_score": lambda: gold.risk_score(stored["telematics"], stored["policies"]),
         "gold_claims_summary": lambda: gold.claims_summary(stored["claims"]),
