@@ -51,3 +51,12 @@ def test_rows_without_facts_do_not_move(spark, monkeypatch):
     near = skew._tested(rows, ["k"], table.table, table.n_keys, "may").where("may")
     assert 20 <= near.count() < 100
     assert skew.mark_repeats(rows, ["k"], ["pos"], "again").where("again").count() == 10
+
+
+def test_exploded_reasons_are_worked_out_once(spark):
+    """The filter that Spark infers for an explode stays above the rules, which are typed and listed once."""
+    from pyspark.sql import functions as F
+
+    checked = checks.evaluate(claims(spark), CLAIMS, ["pos"])
+    plan = checks.settled(checked).select("batch_file", F.explode("reasons").alias("r"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_compact") + plan.count("filter(array(") <= 1

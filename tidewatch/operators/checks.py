@@ -133,11 +133,8 @@ def evaluate(
         tables.append(skew.missing(keyed, "t_claim_id", known_claims.select(F.col("claim_id").alias("t_claim_id")), "unknown_claim"))
     if repeats:
         tables.append(skew.repeats(keyed, ["batch_file", *keys], order))
-    # The running number keeps filters on good or bad rows above this projection. Below it, each
-    # predicate would repeat the whole text-to-type expression of every column it reads.
     values = [v for t in tables for v in t.values]
-    df = skew.attach(keyed, tables).select(*rows.columns, *[F.col(n) if n in early else c.alias(n) for n, c in typed.items()],
-                                           F.monotonically_increasing_id().alias(NUMBER), *values)
+    df = skew.attach(keyed, tables).select(*rows.columns, *[F.col(n) if n in early else c.alias(n) for n, c in typed.items()], *values)
     rules = [r for f in contract.fields for r in field_rules(f)]
     if source == "policy":
         rules.append(date_order_rule("start_date", "end_date"))
@@ -169,8 +166,10 @@ def evaluate(
         rules.append(Rule("duplicates", contract.duplicate_key[0], skew.is_repeat(order),
                           F.concat(F.lit("duplicate record for "), F.coalesce(_text(F.col(keys[0])), F.lit("None")))))
     wanted = [r for r in rules if r.check in only]
-    df = df.withColumns({"reasons": reasons_array(wanted), "failed": any_failed(wanted)})
-    return df.drop(*values, "first_owner")
+    # The running number keeps filters on good or bad rows above this projection, for readers that refer to it (``settled``). Below,
+    # each filter would repeat all rules and the text-to-type expression of every column they read.
+    return df.select(*rows.columns, *typed, F.monotonically_increasing_id().alias(NUMBER),
+                     reasons_array(wanted).alias("reasons"), any_failed(wanted).alias("failed"))
 
 
 def first_owners(rows: DataFrame, order: Sequence[str], earlier: DataFrame | None = None) -> DataFrame:
@@ -180,9 +179,15 @@ def first_owners(rows: DataFrame, order: Sequence[str], earlier: DataFrame | Non
     return new if earlier is None else new.join(earlier.select("pan"), "pan", "left_anti")
 
 
+def settled(checked: DataFrame) -> DataFrame:
+    """All rows, with their reasons worked out once. What explodes or filters reasons starts here: Spark moves the filter that goes
+    with it below a projection that holds no running number, and would work the reasons out twice, untyped columns included."""
+    return checked.where(F.col(NUMBER) >= 0)
+
+
 def good_rows(checked: DataFrame) -> DataFrame:
     """Rows without a reason."""
-    return checked.where((F.col(NUMBER) >= 0) & ~F.col("failed")).drop(NUMBER)
+    return settled(checked).where(~F.col("failed")).drop(NUMBER)
 
 
 def reason_text() -> Column:
@@ -192,7 +197,7 @@ def reason_text() -> Column:
 
 def bad_rows(checked: DataFrame) -> DataFrame:
     """Failing rows with the first reason's check and all reasons as one text."""
-    return checked.where((F.col(NUMBER) >= 0) & F.col("failed")).drop(NUMBER).select(
+    return settled(checked).where("failed").drop(NUMBER).select(
         "*", F.col("reasons")[0]["check"].alias("check_name"),
         reason_text().alias("reason"))
 
@@ -237,7 +242,7 @@ def findings(checked: DataFrame, source: str, node: str) -> DataFrame:
 
 def samples(checked: DataFrame, order: Sequence[str], n: int = 3) -> DataFrame:
     """The first ``n`` failures per (batch_file, check) in row order; pruned to ``n`` before the shuffle."""
-    one = checked.select("*", F.posexplode("reasons").alias("reason_no", "r"))
+    one = settled(checked).select("*", F.posexplode("reasons").alias("reason_no", "r"))
     first = Window.partitionBy("batch_file", "check_name").orderBy(*order, "reason_no")
     return one.withColumn("check_name", F.col("r.check")).withColumn("reason", F.col("r.reason")).withColumn(
         "sample_no", F.row_number().over(first)).where(F.col("sample_no") <= n).drop("r", "reason_no")

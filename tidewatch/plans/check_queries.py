@@ -28,7 +28,7 @@ def evaluated(spark: SparkSession, sf_dir: str, source: str, only=checks.ALL_CHE
 def failing(spark: SparkSession, sf_dir: str, check: str, *sources: str) -> DataFrame:
     out = None
     for source in sources:
-        part = evaluated(spark, sf_dir, source, {check}).select("batch_file", F.explode("reasons").alias("r")).select(
+        part = checks.settled(evaluated(spark, sf_dir, source, {check})).select("batch_file", F.explode("reasons").alias("r")).select(
             "batch_file", F.col("r.column").alias("column_name"), F.col("r.reason").alias("reason"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -320,7 +320,7 @@ SELECT source, check_name, CASE check_name WHEN 'nulls' THEN 'HIGH' WHEN 'refere
        WHEN 'schema' THEN 'HIGH' WHEN 'freshness' THEN 'HIGH' WHEN 'pii' THEN 'CRITICAL' ELSE 'MEDIUM' END AS severity,
        count(*) AS n FROM (SELECT source, unnest(failed_checks) AS check_name FROM all_checked) GROUP BY 1, 2""")
 def severity_map(spark, sf_dir):
-    rows = reduce(DataFrame.unionByName, [evaluated(spark, sf_dir, source).select(F.lit(source).alias("source"), F.explode("reasons").alias("r"))
+    rows = reduce(DataFrame.unionByName, [checks.settled(evaluated(spark, sf_dir, source)).select(F.lit(source).alias("source"), F.explode("reasons").alias("r"))
                                           for source in CONTRACTS])
     counts = rows.groupBy("source", F.col("r.check").alias("check_name")).agg(F.count(F.lit(1)).alias("n"))
     return counts.select("source", "check_name", checks.severity_of(F.col("check_name")).alias("severity"), "n")

@@ -20,36 +20,32 @@ from tidewatch.operators.contracts import Contract
 
 def write_checked(checked: DataFrame, contract: Contract, root: str, batch_id: int, token_status: str = "valid",
                   fail_open: bool = False) -> None:
-    """Silver, quarantine and findings. Only failing rows are kept between the writes: passing rows go straight to Silver, and
-    the findings count them there.
+    """Findings, then quarantine, then Silver, from one evaluation of the rows.
 
     Personal data goes through the mask gate before Silver, and is hidden in quarantine. With an expired token the rows that
     would have been loaded are held as ``pii``, unless ``fail_open``.
     """
-    part = f"micro_batch={batch_id}"
-    failing = checked.where((F.col(checks.NUMBER) >= 0) & F.col("failed")).persist(StorageLevel.MEMORY_AND_DISK)
+    checked = checked.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        bad, good = checks.bad_rows(failing), silver.project(checks.good_rows(checked), contract)
-        passed = []
+        part = f"micro_batch={batch_id}"
+        bad, good = checks.bad_rows(checked), silver.project(checks.good_rows(checked), contract)
         if contract.source == "customer_kyc":
             bad = mask_table(bad)
             good, refused = silver.mask_gate(good, token_status, fail_open)
             waiting = refused.select("batch_file", F.lit("pii").alias("check_name"), F.lit("masking not available").alias("reason"),
                                      *[F.col(n).cast("string").alias(n) for n in contract.columns])
             bad = bad.select("batch_file", "check_name", "reason", *contract.columns).unionByName(mask_table(waiting), allowMissingColumns=True)
-            passed.append(refused)
         raw = F.to_json(F.struct(*contract.columns))
-        write = lambda name, df: df.write.mode("overwrite").parquet(f"{root}/{name}/{part}")
-        write("silver", good)
-        write("quarantine", bad.select(F.lit(contract.source).alias("source"), "batch_file", "check_name", "reason",
-                                       raw.alias("payload"), F.lit(0).alias("released")))
-        passed.append(checked.sparkSession.read.schema(good.schema).parquet(f"{root}/silver/{part}"))
-        rows = failing.select("batch_file", "reasons")
-        for clean in passed:
-            rows = rows.unionByName(clean.select("batch_file", F.array().cast(checks.REASONS_TYPE).alias("reasons")))
-        write("findings", checks.findings(rows, contract.source, contract.silver))
+        outputs = {
+            "findings": checks.findings(checked, contract.source, contract.silver),
+            "quarantine": bad.select(F.lit(contract.source).alias("source"), "batch_file", "check_name", "reason",
+                                     raw.alias("payload"), F.lit(0).alias("released")),
+            "silver": good,
+        }
+        for name, df in outputs.items():
+            df.write.mode("overwrite").parquet(f"{root}/{name}/{part}")
     finally:
-        failing.unpersist()
+        checked.unpersist()
 
 
 def start(rows: DataFrame, contract: Contract, root: str, checkpoint: str,
