@@ -216,6 +216,25 @@ def test_bpe_offsets_and_pieces(spark, monkeypatch):
     assert [i for _, p in pieces for i in coder.encode(p, add_special_tokens=False).ids] == whole_text[1]["ids"]
 
 
+def test_bpe_merges_each_word_once(monkeypatch):
+    tiktoken, public = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    ranks = bpe.rank_file()
+    plain = tiktoken.Encoding("own", pat_str=public.PATTERN, mergeable_ranks={t: i for i, t in enumerate(bpe.tokens_of(ranks))}, special_tokens={})
+    bpe.tokenizer(ranks, public.PATTERN)
+    model, merged = bpe.merge_model(ranks), []
+    monkeypatch.setattr(bpe, "merge_model", lambda _: type("Counted", (), {"tokenize": lambda _, word: merged.append(word) or model.tokenize(word)})())
+    bpe.word_encoder.cache_clear()
+    encode = bpe.word_encoder(ranks, public.PATTERN)
+    # Every character, beside letters, digits and blanks: engines of another Unicode than tiktoken's must not split it.
+    every = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}1 {c}" for c in every[i: i + 4096]) for i in range(0, 0x30000, 4096)]
+    texts += ["qzxv'll  qzxv\n\n qzxv" * 50, "", "'", "''s 's", " \u3000 x "]
+    for _ in range(2):
+        encode(texts[-5:])
+    assert "Ġqzxv" in merged and len(merged) == len(set(merged))
+    assert [ids.tolist() for ids in encode(texts)] == [plain.encode_ordinary(t) for t in texts]
+
+
 def junk(i):
     return " ".join(f"{w}{'#*$%'[j % 4] * 3}" for j, w in enumerate(["er", "the", "in", "of", "thand"] * (3 + i % 5)))
 

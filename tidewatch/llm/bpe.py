@@ -6,6 +6,11 @@ one, at its token's rank. Bytes stand for characters by the usual table (printab
 moved up), which decoding reverses, so a character whose bytes lie in two tokens comes back whole once the bytes
 are joined. Offsets are characters of the text; tokens that share a character share its offset.
 
+Texts come back to the same words, so a text is first split by the pattern and the library encodes each word once while
+it is remembered; a text's ids are those of its words, joined. Splits come from the regex package, whose letters and digits
+are of a newer Unicode than tiktoken's and the library's: texts with characters that Python's older one does not know,
+or that the pattern does not cover, go through the library whole.
+
 Long texts are encoded in pieces cut between a non-blank and a blank, where no match of the pattern can reach
 over, so memory is bounded by the piece and the ids are those of the whole text.
 
@@ -19,8 +24,11 @@ from __future__ import annotations
 import base64
 import os
 import re
-from collections.abc import Iterator
+import unicodedata
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +42,7 @@ from tidewatch.llm.words import text_blocks
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 PIECE_CHARS = 1 << 16
+KNOWN_WORDS = 50_000
 CUT = re.compile(r"(?<=\S)[ \n]")
 
 
@@ -61,20 +70,68 @@ def tokens_of(ranks: bytes) -> list[bytes]:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(ranks: bytes, pattern: str):
+def merge_model(ranks: bytes):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+    from tokenizers import models
 
     letters, tokens = byte_table(), tokens_of(ranks)
     known = {t: i for i, t in enumerate(tokens)}
     spelled = ["".join(letters[b] for b in t) for t in tokens]
     merges = [(spelled[known[t[:cut]]], spelled[known[t[cut:]]]) for t in tokens for cut in range(1, len(t)) if t[:cut] in known and t[cut:] in known]
-    made = Tokenizer(models.BPE(vocab={s: i for i, s in enumerate(spelled)}, merges=merges, ignore_merges=True))
+    return models.BPE(vocab={s: i for i, s in enumerate(spelled)}, merges=merges, ignore_merges=True)
+
+
+@lru_cache(maxsize=2)
+def tokenizer(ranks: bytes, pattern: str):
+    from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+    made = Tokenizer(merge_model(ranks))
     made.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), behavior="isolated"),
                                                   pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=False, use_regex=False)])
     return made
 
 
+def newer(word: str) -> bool:
+    """The word has a character that Python's Unicode tables do not know."""
+    return not word.isascii() and any(unicodedata.category(c) == "Cn" for c in word)
+
+
+@lru_cache(maxsize=2)
+def single_tokens(ranks: bytes) -> dict[str, bytes]:
+    """Words that are a token, with its id."""
+    tokens = ((i, t.decode("utf-8", "replace")) for i, t in enumerate(tokens_of(ranks)))
+    return {t: array("i", [i]).tobytes() for i, t in tokens if "\ufffd" not in t and not newer(t)}
+
+
+@lru_cache(maxsize=2)
+def word_encoder(ranks: bytes, pattern: str) -> Callable[[list[str]], list[np.ndarray]]:
+    """Ids of texts. Each word is encoded once while it is remembered: single tokens, ``KNOWN_WORDS`` others, and those of the last call."""
+    import regex
+
+    made, split, tokens, letters = tokenizer(ranks, pattern), regex.compile(pattern), single_tokens(ranks), dict(enumerate(byte_table()))
+    merged, known = merge_model(ranks).tokenize, dict(tokens)
+
+    def words_of(text: str) -> list[str] | None:
+        words = [] if split.groups else split.findall(text)
+        return words if sum(map(len, words)) == len(text) else None
+
+    def run(texts: list[str]) -> list[np.ndarray]:
+        if len(known) > len(tokens) + KNOWN_WORDS:
+            known.clear()
+            known.update(tokens)
+        words = [words_of(text) for text in texts]
+        new = [w for w in set(chain.from_iterable(ws for ws in words if ws)) if w not in known]
+        if odd := {w for w in new if newer(w)}:
+            words = [ws if ws is None or odd.isdisjoint(ws) else None for ws in words]
+            new = [w for w in new if w not in odd]
+        for w in new:
+            known[w] = array("i", [t.id for t in merged(w.encode().decode("latin-1").translate(letters))]).tobytes()
+        others = iter(made.encode_batch_fast([text for text, ws in zip(texts, words, strict=True) if ws is None], add_special_tokens=False))
+        return [np.array(next(others).ids, dtype=np.int32) if ws is None else np.frombuffer(b"".join(map(known.__getitem__, ws)), dtype=np.int32) for ws in words]
+
+    return run
+
+
 def pieces(text: str) -> Iterator[tuple[int, str]]:
     """(first character, piece) of a text, cut where no match reaches over."""
     start = 0
@@ -96,7 +153,6 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, offsets: bool = False) -
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = tokenizer(shared.value, pattern)
         for batch in batches:
             for part, _, _ in text_blocks(batch):
                 ids: list[np.ndarray] = []
@@ -107,12 +163,15 @@ def encode(docs: DataFrame, ranks: bytes, pattern: str, offsets: bool = False) -
 
                 def flush() -> None:
                     strings = [piece for _, _, piece in queue]
-                    coded = made.encode_batch(strings, add_special_tokens=False) if offsets else made.encode_batch_fast(strings, add_special_tokens=False)
-                    for (row, start, _), got in zip(queue, coded, strict=True):
-                        ids.append(np.array(got.ids, dtype=np.int32))
-                        counts[row] += len(ids[-1])
-                        if offsets:
-                            spans.append(np.array(got.offsets, dtype=np.int32).reshape(-1, 2) + start)
+                    if offsets:
+                        coded = tokenizer(shared.value, pattern).encode_batch(strings, add_special_tokens=False)
+                        spans.extend(np.array(got.offsets, dtype=np.int32).reshape(-1, 2) + start for (_, start, _), got in zip(queue, coded, strict=True))
+                        found = [np.array(got.ids, dtype=np.int32) for got in coded]
+                    else:
+                        found = word_encoder(shared.value, pattern)(strings)
+                    for (row, _, _), got in zip(queue, found, strict=True):
+                        ids.append(got)
+                        counts[row] += len(got)
                     queue.clear()
 
                 for row, text in enumerate(texts):
