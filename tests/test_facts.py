@@ -60,3 +60,16 @@ def test_exploded_reasons_are_worked_out_once(spark):
     checked = checks.evaluate(claims(spark), CLAIMS, ["pos"])
     plan = checks.settled(checked).select("batch_file", F.explode("reasons").alias("r"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_compact") + plan.count("filter(array(") <= 1
+
+
+@pytest.mark.parametrize("hot", [0, 10**9], ids=["hot", "plain"])
+def test_missing_keys_without_a_table_of_all_keys(spark, monkeypatch, hot):
+    """Absent keys come once each, with hot keys combined first or not; no task holds all keys of its rows."""
+    monkeypatch.setattr(skew, "HOT_ROWS", hot)
+    rows = spark.range(3000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN NULL ELSE concat('k', id) END AS k")
+    known = spark.range(2000).selectExpr("CASE WHEN id % 2 = 0 THEN 'known' ELSE concat('k', id) END AS k").unionByName(spark.sql("SELECT NULL AS k"))
+    table = skew.missing(rows, "k", known, "gone")
+    want = {"hot"} | {f"k{i}" for i in range(2, 3000, 3) if i % 2 == 0 or i >= 2000}
+    assert sorted(r.k for r in table.table.collect()) == sorted(want) and table.n_keys == len(want)
+    plan = skew.thinned(rows, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert ("Aggregate" in plan) == (hot == 0)

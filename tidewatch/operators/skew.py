@@ -26,6 +26,9 @@ from tidewatch.session import written
 # A table of at most this many keys is joined as it is. A filter has 16 bits a key, and never more words than this (64 bits each).
 PLAIN_KEYS = 50_000
 FILTER_WORDS = 1 << 20
+# Keys are counted in this many buckets; those of a bucket with more rows than this are combined before they move.
+HOT_BUCKETS = 1 << 16
+HOT_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -96,9 +99,14 @@ def _met(df: DataFrame, t: Facts) -> DataFrame:
     return df.join(table, same, "left").drop(*[f"__r_{k}" for k in t.keys])
 
 
+def _repeated_hashes(df: DataFrame, keys: Sequence[str]) -> Facts:
+    """``__key``: hashes that rows of ``df`` have more than once. What moves is a number per row."""
+    return facts(df.select(_key_hash(keys).alias("__key")).groupBy("__key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__key"), ["__key"])
+
+
 def with_repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rows whose key comes twice or more, and maybe some others. Keys meet as hashes, so what moves is a number per row."""
-    twice = facts(df.select(_key_hash(keys).alias("__key")).groupBy("__key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__key"), ["__key"])
+    twice = _repeated_hashes(df, keys)
     hashed = df.withColumn("__key", _key_hash(keys))
     if twice.n_keys > PLAIN_KEYS:
         hashed = _tested(hashed, ["__key"], twice.table, twice.n_keys, "__may").where("__may").drop("__may")
@@ -158,13 +166,27 @@ def attach_first_owner(df: DataFrame, key: str, owner: str, order: Sequence[str]
     return out.withColumn(name, F.col("__first.owner")).drop("__first", "__low", "__high")
 
 
+def thinned(df: DataFrame, key: str) -> DataFrame:
+    """``key`` of all rows, with fewer repeats of keys that a large share of the rows has. Only these are held in a table of keys by
+    each task; all others pass through, so memory does not follow the number of keys."""
+    bucketed = df.select(key, _key_hash([key]).bitwiseAND(F.lit(HOT_BUCKETS - 1)).alias("__bucket"))
+    hot = facts(bucketed.groupBy("__bucket").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > HOT_ROWS).select("__bucket"), ["__bucket"])
+    if not hot.n_keys:
+        return df.select(key)
+    return bucketed.join(hot.table, "__bucket", "left_anti").select(key).unionByName(bucketed.join(hot.table, "__bucket", "left_semi").select(key).distinct())
+
+
 def missing(df: DataFrame, key: str, reference: DataFrame, name: str) -> Facts:
     """``name``, true, for every key that is set but absent from ``reference`` (one column of the same name).
 
-    Both sides shrink to distinct keys before they meet; rows join only the absent keys.
+    Keys meet as they come, but for hot ones; rows join only the absent keys.
     """
-    wanted = df.where(F.col(key).isNotNull()).select(key).distinct()
-    return facts(wanted.join(reference.select(key).distinct(), key, "left_anti").withColumn(name, F.lit(True)), [key])
+    wanted = thinned(df.where(F.col(key).isNotNull()), key)
+    known = thinned(reference.where(F.col(key).isNotNull()), key)
+    # Merged: the files of a long column of keys look small enough to broadcast, their table in memory is not. Written before
+    # repeats go: an aggregate above the join would keep adaptive execution from splitting it.
+    absent = written(wanted.join(known.hint("merge"), key, "left_anti"), "absent")
+    return facts(absent.distinct().withColumn(name, F.lit(True)), [key])
 
 
 def mark_missing(df: DataFrame, key: str, reference: DataFrame, name: str) -> DataFrame:
