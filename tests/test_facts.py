@@ -73,3 +73,15 @@ def test_missing_keys_without_a_table_of_all_keys(spark, monkeypatch, hot):
     assert sorted(r.k for r in table.table.collect()) == sorted(want) and table.n_keys == len(want)
     plan = skew.thinned(rows, "k")._jdf.queryExecution().optimizedPlan().toString()
     assert ("Aggregate" in plan) == (hot == 0)
+
+
+def test_newest_moves_repeated_keys_only(spark, monkeypatch):
+    from tidewatch.operators import silver
+
+    monkeypatch.setattr(skew, "PLAIN_KEYS", 0)
+    rows = spark.range(20000).selectExpr("id AS pos", "CASE WHEN id >= 19980 THEN NULL WHEN id % 2000 = 1 THEN id - 1 ELSE id END AS k", "id % 7 AS v")
+    once, more = skew.apart(rows, ["k"])
+    assert 40 <= more.count() < 120 and once.count() + more.count() == 20000
+    got = silver.newest(rows, ["k"], ["pos"])
+    assert got.columns == ["pos", "k", "v"]
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, silver.latest(rows, ["k"], ["pos"]).collect()))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.functions.masking import mask_table
+from tidewatch.operators import skew
 from tidewatch.operators.checks import scan_pii
 from tidewatch.operators.contracts import Contract
 
@@ -44,6 +45,12 @@ def latest(rows: DataFrame, keys: Sequence[str], arrival: Sequence[str | Column]
     return rows.withColumn("__n", F.row_number().over(newest)).where(F.col("__n") == 1).drop("__n")
 
 
+def newest(stored: DataFrame, keys: Sequence[str], arrival: Sequence[str]) -> DataFrame:
+    """``latest`` of a written table with few repeated keys: rows whose key comes once stay where they are, unsorted."""
+    once, more = skew.apart(stored, keys)
+    return once.unionByName(latest(more, keys, arrival))
+
+
 def upsert(current: DataFrame | None, incoming: DataFrame, keys: Sequence[str], arrival: Sequence[str]) -> DataFrame:
     """``current`` with ``incoming`` merged in by key; current rows are older than any incoming one."""
     new = incoming.withColumn("__era", F.lit(1))

@@ -104,6 +104,13 @@ def _repeated_hashes(df: DataFrame, keys: Sequence[str]) -> Facts:
     return facts(df.select(_key_hash(keys).alias("__key")).groupBy("__key").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__key"), ["__key"])
 
 
+def apart(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key comes once, all others). Few rows of the first kind may be among the others, all rows of a key are on one side."""
+    twice = _repeated_hashes(df, keys)
+    tested = _tested(df.withColumn("__key", _key_hash(keys)), ["__key"], twice.table, twice.n_keys, "__may").drop("__key")
+    return tested.where(~F.col("__may")).drop("__may"), tested.where("__may").drop("__may")
+
+
 def with_repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The rows whose key comes twice or more, and maybe some others. Keys meet as hashes, so what moves is a number per row."""
     twice = _repeated_hashes(df, keys)

@@ -14,7 +14,7 @@ from tidewatch.plans.check_queries import (
     ALL_CHECKED, BILLS_T, CLAIMS_CHECKED, CLAIMS_T, KYC_T, POLICY_T, TELEMATICS_T, evaluated, quarantine, quarantined)
 from tidewatch.plans.feeds import feed, feed_sql, read_table
 from tidewatch.plans.registry import ORACLES, query
-from tidewatch.session import scratch_path, spread
+from tidewatch.session import scratch_path, spread, written
 from tidewatch.sources import landing, logs, tables
 
 
@@ -240,7 +240,7 @@ def good(spark, sf_dir, source, keep=()):
 
 def latest_claims(checked):
     rows = silver.project(checks.good_rows(checked), CONTRACTS["claims"], keep=["pos"])
-    return silver.upsert(None, rows, ["claim_id"], ["batch_file", "pos"]).drop("pos")
+    return silver.newest(written(rows, "good-claims"), ["claim_id"], ["batch_file", "pos"]).drop("pos")
 
 
 def silver_claims(spark, sf_dir):
@@ -389,7 +389,7 @@ def gold_refresh(spark, sf_dir):
     split = {s: checked_once(spark, sf_dir, s, root) for s in CONTRACTS if s != "customer_kyc"}
     again = lambda name, df: spark.read.parquet(tables.replace(df, root, name))
     held = [bad for _, bad in split.values()] + [again("held_customers", quarantine(spark, sf_dir, "customer_kyc"))]
-    stored = {"claims": again("claims", silver.upsert(None, split["claims"][0], ["claim_id"], ["batch_file", "pos"]).drop("pos")),
+    stored = {"claims": again("claims", silver.newest(split["claims"][0], ["claim_id"], ["batch_file", "pos"]).drop("pos")),
               "customers": again("customers", silver_customer(spark, sf_dir)), "held": reduce(DataFrame.unionByName, held)}
     stored |= {name: split[source][0].drop("pos") for name, source in {"policies": "policy", "telematics": "telematics", "bills": "garage_bills"}.items()}
     products = {
