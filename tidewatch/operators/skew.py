@@ -3,7 +3,8 @@
 A plain ``window over (key)`` puts a key that holds a third of the data into a single reducer, and adaptive skew handling
 does not split a join whose other side is an aggregate. Here
 
-1. facts are aggregated by key, combined on the map side, so a hot key sends one row per task;
+1. facts are aggregated by key, combined on the map side, so a hot key sends one row per task; where all that counts is whether a
+   key is there (``missing``), only hot keys are combined, since a table of all keys would fill a task's memory;
 2. keys without a fact worth telling (keys seen once, references that exist) are dropped, and the rest is written;
 3. rows join that table. Its size is then known: a small one is broadcast by Spark's own threshold and no row moves; a large
    one is a plain scan, so adaptive execution splits the partition of a hot key.
