@@ -111,11 +111,13 @@ def evaluate(
     known_claims: DataFrame | None = None,
     known_owners: DataFrame | None = None,
     extra_rules: Sequence[Rule] = (),
+    again: bool = False,
 ) -> DataFrame:
     """Add typed columns and ``reasons``. ``order`` is the arrival position, unique per row.
 
     ``policy_ends(policy_id, policy_end)``: unknown policies pass. ``known_claims(claim_id)``:
     every claim loaded so far. ``known_owners(pan, customer_id)``: first owners from earlier loads.
+    ``again``: the result is read more than once, as in ``skew.attach``.
     """
     typed = typed_columns(contract)
     source = contract.source
@@ -134,7 +136,7 @@ def evaluate(
     if repeats:
         tables.append(skew.repeats(keyed, ["batch_file", *keys], order))
     values = [v for t in tables for v in t.values]
-    df = skew.attach(keyed, tables).select(*rows.columns, *[F.col(n) if n in early else c.alias(n) for n, c in typed.items()], *values)
+    df = skew.attach(keyed, tables, again).select(*rows.columns, *[F.col(n) if n in early else c.alias(n) for n, c in typed.items()], *values)
     rules = [r for f in contract.fields for r in field_rules(f)]
     if source == "policy":
         rules.append(date_order_rule("start_date", "end_date"))
@@ -206,7 +208,7 @@ def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good_rows(checked), bad_rows(checked)
 
 
-def findings(checked: DataFrame, source: str, node: str) -> DataFrame:
+def findings(checked: DataFrame, source: str, node: str, totals: DataFrame | None = None) -> DataFrame:
     """One row per (batch_file, failed check): reason count, failed rows, total rows, severity,
     node, the three smallest distinct reasons, and the problem text.
 
@@ -214,6 +216,8 @@ def findings(checked: DataFrame, source: str, node: str) -> DataFrame:
     count under an empty check that only an aggregate value filters out, and the example branch
     orders by the counts as well (reasons are already distinct), so both branches read the same
     exchange. Examples are cut to three rows per group before their own shuffle.
+
+    ``totals(batch_file, total_rows)``: where ``checked`` holds failing rows only, how many rows each batch has in all.
     """
     names = F.transform("reasons", lambda r: r["check"])
     parts = F.transform("reasons", lambda r, i: F.struct(
@@ -227,8 +231,11 @@ def findings(checked: DataFrame, source: str, node: str) -> DataFrame:
         F.sum(F.coalesce("r.row_of_batch", F.lit(1))).alias("starts"))
     per_check = counted.groupBy("batch_file", "check_name").agg(
         F.sum("n").alias("failure_count"), F.sum("rows").alias("failed_rows"), F.sum("starts").alias("starts"))
-    per_check = per_check.withColumn("total_rows", F.sum("starts").over(Window.partitionBy("batch_file"))).where(
-        F.col("failure_count") > 0)
+    if totals is None:
+        per_check = per_check.withColumn("total_rows", F.sum("starts").over(Window.partitionBy("batch_file")))
+    else:
+        per_check = per_check.join(totals, "batch_file")
+    per_check = per_check.where(F.col("failure_count") > 0)
     smallest = Window.partitionBy("batch_file", "check_name").orderBy("reason", "n", "rows", "starts")
     examples = counted.withColumn("k", F.row_number().over(smallest)).where(F.col("k") <= 3).groupBy(
         "batch_file", "check_name").agg(F.array_join(F.array_sort(F.collect_list("reason")), "; ").alias("examples"))

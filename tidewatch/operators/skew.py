@@ -10,7 +10,8 @@ does not split a join whose other side is an aggregate. Here
    one is a plain scan, so adaptive execution splits the partition of a hot key.
 
 ``attach`` joins several such tables whose keys few rows have. Beside a large table a row is first tested against a bit filter
-of its keys: the few rows that may have one move and are joined exactly, all others stay where they are.
+of its keys: the few rows that may have one move and are joined exactly, all others stay where they are. Where the result is
+read more than once, these few are written.
 """
 
 from __future__ import annotations
@@ -74,9 +75,13 @@ def _tested(df: DataFrame, keys: Sequence[str], listed: DataFrame, n_keys: int,
     return out.withColumn(name, F.coalesce(F.col("__bits").bitwiseAND(bits) == bits, F.lit(False))).select(*df.columns, name)
 
 
-def attach(df: DataFrame, tables: Sequence[Facts]) -> DataFrame:
-    """Left join with every table. NULL key parts meet each other. Only rows that may have a key of a large table move."""
-    large = [t for t in tables if t.n_keys > PLAIN_KEYS]
+def attach(df: DataFrame, tables: Sequence[Facts], again: bool = False) -> DataFrame:
+    """Left join with every table. NULL key parts meet each other. Only rows that may have a key of a large table move.
+
+    ``again``: the result is read more than once. Then this holds for every table, and the rows that may have a key are joined
+    once and written, so that each reader finds the same facts beside them.
+    """
+    large = [t for t in tables if t.n_keys > (0 if again else PLAIN_KEYS)]
     out = df
     if large:
         tested, marks = df, [f"__may_{i}" for i in range(len(large))]
@@ -87,7 +92,7 @@ def attach(df: DataFrame, tables: Sequence[Facts]) -> DataFrame:
         out = tested.where(near).select(*df.columns)
         for t in large:
             out = _met(out, t)
-        out = away.unionByName(out)
+        out = away.unionByName(written(out, "near") if again else out)
     for t in tables:
         if t not in large:
             out = _met(out, t)

@@ -53,7 +53,7 @@ def stream_checks(spark, sf_dir):
         def evaluate(batch):
             placed = batch.withColumn("place", F.monotonically_increasing_id())
             return checks.evaluate(placed.selectExpr(*FEEDS[source].select_list("place")), contract, ["pos"], policy_ends=ends,
-                                   known_claims=feed(spark, sf_dir, "claims") if source == "garage_bills" else None)
+                                   known_claims=feed(spark, sf_dir, "claims") if source == "garage_bills" else None, again=True)
 
         return stream_checks_.start(table_stream(spark, sf_dir, FEEDS[source].table), contract, f"{work}/{source}/out",
                                     f"{work}/{source}/checkpoint", evaluate, ONCE)
